@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacancia.llm import quality
+from vacancia.llm import jpeg, quality, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,23 @@ def op1_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.features(jpeg.store(_table(spark, sf_dir, "documents")))
+
+
+def op8_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op9_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_nbsvm": op1_quality_nbsvm,
+    "op7_media_jpeg": op7_media_jpeg,
+    "op8_simhash_neardup": op8_simhash_neardup,
+    "op9_substring_recompression": op9_substring_recompression,
 }
 
 ORACLE_SQL: dict[str, str] = {}
