@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vacancia.llm import jpeg, quality, simhash, substring_dedup
+from vacancia.llm import decontaminate, jpeg, line_dedup, packing, pst, quality, simhash, substring_dedup, token_rollup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,27 @@ def op1_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_lm_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.score(_table(spark, sf_dir, "documents"))
+
+
+def op3_decontaminate_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_packing_large_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op5_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op6_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(_table(spark, sf_dir, "pages")).drop("url")
+
+
 def op7_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.features(jpeg.store(_table(spark, sf_dir, "documents")))
 
@@ -29,11 +51,34 @@ def op9_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents come, a tenth of them goes, comes back revised, and one batch is replayed."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    rollup = token_rollup.Rollup(spark)
+    some = docs.where(F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+    gone = some.select("doc_id", F.lit(None).cast("string").alias("text"), "source", "lang")
+    rollup.commit("batch-1", _changes(docs, "insert", 1))
+    rollup.commit("batch-2", _changes(gone, "delete", 2))
+    rollup.commit("batch-3", _changes(some, "revise", 3))
+    rollup.commit("batch-2", _changes(gone, "delete", 2))
+    return rollup.totals()
+
+
+def _changes(docs: DataFrame, change: str, seq: int) -> DataFrame:
+    return docs.select("doc_id", F.lit(change).alias("change"), F.lit(seq).alias("seq"), "text", "source", "lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_nbsvm": op1_quality_nbsvm,
+    "op2_lm_suffix_tree": op2_lm_suffix_tree,
+    "op3_decontaminate_templates": op3_decontaminate_templates,
+    "op4_packing_large_items": op4_packing_large_items,
+    "op5_line_winnowing": op5_line_winnowing,
+    "op6_warc_capture_index": op6_warc_capture_index,
     "op7_media_jpeg": op7_media_jpeg,
     "op8_simhash_neardup": op8_simhash_neardup,
     "op9_substring_recompression": op9_substring_recompression,
+    "op10_token_rollup": op10_token_rollup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_line_winnowing": line_dedup.ORACLE_SQL}
