@@ -4,7 +4,7 @@ Words get global names (64-bit hashes). Rounds then rename locally: runs of one
 what is repeated and how often, and pairs ``ab`` with ``a`` in one half of the alphabet and ``b`` in the other (a
 bit of the name decides) become a pair symbol. Since every decision looks at neighbouring symbols only, each symbol
 has a context, the span of words that fixes it; a symbol whose context lies within a window arises wherever that
-window's words stand. Each window is filed under one such symbol, its longest (then of the least name, then the
+window's words stand. Each window is filed under one such symbol, a long one before a short one (then of the least name, then the
 first), or under its own words where it has none, so equal windows always meet under one name. Meeting there, their
 words are verified by a 48-bit hash of their own beside the 64-bit name; of equal windows all but those of the
 smallest document are repeats. A document's repeats reach it as spans, which are joined with its text once.
@@ -29,10 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import U64, WordHashes, mix, ranges, slices, utf8
+from vacancia.llm.common import U64, WordHashes, mix, ranges, slices, utf8, written
 
 WINDOW = 13
 ROUNDS = 2
+LONG = 3
+BITS = 26
 _LOW48 = U64((1 << 48) - 1)
 
 
@@ -93,7 +95,7 @@ def windows(words: np.ndarray, doc: np.ndarray, width: int = WINDOW) -> tuple[np
         hashed = hashed * U64(0x9FB21C651E98DF25) + spread[k : k + n]
     hashed = mix(hashed)
     name, start, end, low, high = recompress(words, doc)
-    length = np.minimum(end - start, width)
+    length = np.minimum(end - start, LONG)  # longer ones rank alike: neighbouring windows then share the least more often
     spread_name = mix(name)
     score = (length.astype(U64) << U64(56)) | (~spread_name >> U64(8))
     fits = high - low <= width
@@ -234,18 +236,37 @@ def kept(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
     return len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()
 
 
-def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of every row. doc_id is an integer."""
-    key = docs.schema["doc_id"].dataType.simpleString()
-    spans = repeated_spans(filed_windows(docs, width), width)
-    of = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    return _with_spans(docs, of, key)
-
+def remove_repeats(docs: DataFrame, width: int = WINDOW, bits: int = BITS) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every row. doc_id is an integer.
 
-def _with_spans(docs: DataFrame, of: DataFrame, key: str) -> DataFrame:
-    """Joins spans with texts by doc_id; the text's own hash picks among rows that repeat a doc_id."""
-    by_id = of.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "spans")).alias("found"))
-    joined = docs.select("doc_id", "text").join(by_id, "doc_id", "left")
+    Documents that a bitmap of fixed size shows to have no span don't move; the others are joined with their spans.
+    """
+    key = docs.schema["doc_id"].dataType.simpleString()
+    spans = written(repeated_spans(filed_windows(docs, width), width), "spans")
+    by_id = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    by_id = by_id.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "spans")).alias("found"))
+    narrow = docs.select("doc_id", "text")
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << bits)).cast("int")
+    flags = np.zeros(1 << bits, dtype=bool)
+    flags[spans.select(place.alias("place")).distinct().toPandas()["place"].to_numpy(dtype=np.int64)] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
+
+    def marked(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            packed = shared.value
+            for batch in slices(batches, "text"):
+                at = batch.column("place").to_numpy()
+                flag = (packed[at >> 3] >> (7 - (at & 7))) & 1 == 1
+                yield batch.filter(pa.array(flag == wanted)).select(["doc_id", "text"])
+
+        return narrow.withColumn("place", place).mapInArrow(run, f"doc_id {key}, text string")
+
+    free = marked(False).withColumn("found", F.lit(None).cast(by_id.schema["found"].dataType))
+    return _without(free.unionByName(marked(True).join(by_id, "doc_id", "left")), key)
+
+
+def _without(joined: DataFrame, key: str) -> DataFrame:
+    """Removes each text's spans; the text's own hash picks among rows that repeat a doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
