@@ -132,7 +132,7 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, fil
                         if out is not None:
                             out.close()
                         name, at = f"part-{part:05d}-{uuid.uuid4().hex}.warc.gz", 0
-                        out = store.open_output_stream(f"{path}/{name}")
+                        out = store.open_output_stream(f"{path}/{name}", compression=None)
                     data = _member(record(page_id, url, utf8(html), None if first is None or first == page_id else first, date))
                     out.write(data)
                     found.append((url_key(url), page_id, name, at, len(data)))
