@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def held_out(doc_id: Column, folds: int) -> Column:
 class Chunk:
     """The tokens of some documents and their distinct n-grams of each order up to ``order``."""
 
-    def __init__(self, table: pa.Table, order: int):
+    def __init__(self, table: pa.Table, order: int, indexed: bool = True):
         words = [utf8(t).lower().split() for t in table.column("text").to_pylist()]
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         self.sizes = sizes + 1
@@ -67,20 +68,31 @@ class Chunk:
         place = np.arange(len(token)) - np.repeat(ends - self.sizes, self.sizes)
         train = ~table.column("held_out").to_numpy()
         weight = train[self.doc]
-        # positions[k], keys[k], first[k], index[k], count[k]: of order k + 1; index is by position, -1 where no n-gram ends.
+        # Of order k + 1: distinct keys, how often each stands in training, and, if ``indexed``, a position of each and
+        # the index by position (-1 where no n-gram ends).
         self.keys, self.first, self.index, self.count = [], [], [], []
         code = token
         for k in range(order):
             if k:
                 code = np.concatenate([code[:1], mix(code[:-1] * U64(0x9E3779B97F4A7C15) + U64(k)) + token[1:]])
             at = np.flatnonzero(place >= k)
-            keys, first, inverse = np.unique(mix(code[at]), return_index=True, return_inverse=True)
-            index = np.full(len(token), -1, dtype=np.int32)
-            index[at] = inverse
+            own = mix(code[at])
+            if indexed:
+                keys, inverse = np.unique(own, return_inverse=True)
+                index = np.full(len(token), -1, dtype=np.int32)
+                index[at] = inverse
+                first = np.empty(len(keys), dtype=np.int64)
+                first[inverse] = at
+                self.first.append(first)
+                self.index.append(index)
+                self.count.append(np.bincount(inverse, weights=weight[at], minlength=len(keys)))
+            else:
+                keys = np.unique(own)
+                seen, times = np.unique(own[weight[at]], return_counts=True)
+                count = np.zeros(len(keys))
+                count[np.searchsorted(keys, seen)] = times
+                self.count.append(count)
             self.keys.append(keys)
-            self.first.append(at[first])
-            self.index.append(index)
-            self.count.append(np.bincount(inverse, weights=weight[at], minlength=len(keys)))
 
     def context(self, k: int) -> np.ndarray:
         """For each distinct n-gram of order k + 1 (k > 0), the index of its context among those of order k."""
@@ -90,20 +102,39 @@ class Chunk:
         return self.index[k - 1][self.first[k]]
 
 
-def _planes(keys: np.ndarray, width: int) -> bytes:
-    """Sorted keys byte by byte, low bytes first: the high ones compress."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+def _packed(values: np.ndarray, width: int) -> bytes:
+    """Unsigned values byte by byte, low bytes first, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return zstandard.ZstdCompressor(3).compress(planes.tobytes())
 
 
-def _keys(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
-    out[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T
     return out.reshape(-1).view("<u8").astype(U64)
 
 
 def _width(kind: int) -> int:
-    """Bytes of a key beside its target: whole 64-bit hashes for words, 48 bits for longer n-grams and contexts."""
-    return 8 if kind == 0 else 6
+    """Bytes of a key beside its target: whole 64-bit hashes for words, 40 bits for longer n-grams and contexts.
+
+    Targets grow with the data, so that 40 bits within one hold as sparsely as before at every size.
+    """
+    return 8 if kind == 0 else 5
+
+
+def _amounts(amounts: np.ndarray, kind: int) -> bytes:
+    """Counts, or sums of a test as floats of 16 bits."""
+    if kind < 100:
+        return _packed(amounts.astype(U64), 4)
+    bits = amounts.astype(np.float32).view(np.uint32).astype(U64)
+    return _packed((bits + U64(0x8000)) >> U64(16), 2)
+
+
+def _from_amounts(data: bytes, kind: int) -> np.ndarray:
+    if kind < 100:
+        return _unpacked(data, 4).astype(np.float64)
+    return (_unpacked(data, 2) << U64(16)).astype(np.uint32).view(np.float32).astype(np.float64)
 
 
 MESSAGE = "target int, chunk int, kind int, keys binary, amounts binary"
@@ -113,13 +144,12 @@ ANSWER = "chunk int, target int, kind int, sums binary, total double, different
 def cut(keys: np.ndarray, kind: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """What is sent of sorted keys, and where each of the 2**bits targets begins: a target is a key's leading bits."""
     begin = np.searchsorted(keys >> U64(64 - bits), np.arange((1 << bits) + 1).astype(U64))
-    return keys if _width(kind) == 8 else (keys << U64(bits)) >> U64(16), begin
+    return keys if _width(kind) == 8 else (keys << U64(bits)) >> U64(24), begin
 
 
 def requests(chunk: int, kind: int, keys: np.ndarray, amounts: np.ndarray, bits: int) -> pa.RecordBatch:
     sent, begin = cut(keys, kind, bits)
-    amounts = amounts.astype(np.float32 if kind >= 100 else np.uint32)
-    rows = [(_planes(sent[a:b], _width(kind)), amounts[a:b].tobytes()) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    rows = [(_packed(np.diff(sent[a:b], prepend=U64(0)), _width(kind)), _amounts(amounts[a:b], kind)) for a, b in zip(begin[:-1], begin[1:], strict=True)]
     n = len(rows)
     return pa.RecordBatch.from_arrays(
         [pa.array(range(n), pa.int32()), pa.array([chunk] * n, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
@@ -132,14 +162,13 @@ def answers(group: pa.Table) -> Iterator[pa.RecordBatch]:
     kinds = group.column("kind").to_numpy()
     for kind in np.unique(kinds):
         part = group.filter(pa.array(kinds == kind))
-        sent = [_keys(x, _width(kind)) for x in part.column("keys").to_pylist()]
-        amounts = np.frombuffer(b"".join(part.column("amounts").to_pylist()), dtype=np.float32 if kind >= 100 else np.uint32)
+        sent = [np.cumsum(_unpacked(x, _width(kind)), dtype=U64) for x in part.column("keys").to_pylist()]
+        amounts = np.concatenate([_from_amounts(x, kind) for x in part.column("amounts").to_pylist()])
         keys, inverse = np.unique(np.concatenate(sent), return_inverse=True)
         sums = np.bincount(inverse, weights=amounts, minlength=len(keys))
         back = sums[inverse]
         cuts = np.cumsum([0, *map(len, sent)])
-        to_bytes = np.packbits if kind >= 100 else lambda x: x
-        cells = [to_bytes(x > 0 if kind >= 100 else x.astype(np.uint32)).tobytes() for x in (back[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
+        cells = [np.packbits(x > 0).tobytes() if kind >= 100 else _packed(x.astype(U64), 4) for x in (back[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
         n = len(sent)
         yield pa.RecordBatch.from_arrays(
             [part.column("chunk").combine_chunks(), part.column("target").combine_chunks(), pa.array([int(kind)] * n, pa.int32()), pa.array(cells, pa.binary()), pa.array([float(sums.sum())] * n), pa.array([int((sums > 0).sum())] * n, pa.int64())],
@@ -158,7 +187,7 @@ class Model:
             part = table.filter(pa.array(kinds == kind)).sort_by("target")
             self.cells[int(kind)] = [part.column(c).to_pylist() for c in ("sums", "total", "different")]
         self.n, self.v = (sum(self.cells[0][i]) if 0 in self.cells else 0 for i in (1, 2))
-        self.counts = [np.frombuffer(b"".join(self.cells[k][0]), dtype=np.uint32).astype(np.float64) for k in range(p.depth + 1)]
+        self.counts = [np.concatenate([_unpacked(x, 4) for x in self.cells[k][0]]).astype(np.float64) for k in range(p.depth + 1)]
         root = (self.counts[0] + p.alpha) / (self.n + p.alpha * (self.v + 1))
         self.root = root
         self.p = [root]
@@ -214,7 +243,7 @@ def score(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     def ask(table: pa.Table) -> pa.Table:
         name = table.column("chunk")[0].as_py()
-        c = Chunk(table, orders)
+        c = Chunk(table, orders, indexed=False)
         return pa.Table.from_batches([requests(name, k, c.keys[k], c.count[k], bits) for k in range(orders)])
 
     def answer(table: pa.Table) -> pa.Table:
