@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacancia.plans import discovery, jobs, state
+from vacancia.plans import discovery, ingest, jobs, scalars, state
 
-MODULES = (jobs, state, discovery)
+MODULES = (jobs, state, discovery, scalars, ingest)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: text for m in MODULES for name, text in m.ORACLE_SQL.items()}
