@@ -84,7 +84,8 @@ def strict_utc(text: Column) -> Column:
     """An ISO time with a zone as naive UTC; null without a zone or where it isn't one."""
     raw = F.trim(text)
     zoned = raw.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})$")
-    return F.when(zoned, F.try_to_timestamp(F.regexp_replace(raw, r"([+-]\d{2})(\d{2})$", "$1:$2")).cast("timestamp_ntz"))
+    full = F.regexp_replace(F.regexp_replace(raw, r"([T ]\d{2}:\d{2})(Z|[+-])", "$1:00$2"), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    return F.when(zoned, F.try_to_timestamp(full).cast("timestamp_ntz"))
 
 
 def lenient_time(text: Column) -> Column:

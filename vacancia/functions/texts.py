@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The named entities that are decoded.
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
@@ -18,7 +19,7 @@ def _chain(text: Column, *steps: tuple[str, str]) -> Column:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_numeric_entities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Decimal and hexadecimal entities as characters; ones beyond Unicode stay."""
     import re
@@ -122,7 +123,7 @@ def join_distinct(parts: Column, by: str = ", ") -> Column:
     return F.array_join(F.array_distinct(F.filter(parts, lambda p: p.isNotNull() & (F.trim(p) != ""))), by)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_json_object(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The first balanced JSON object of a model's answer, without what it thought aloud; null without one."""
     import json
@@ -146,7 +147,7 @@ def first_json_object(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """JSON with sorted keys and no spaces; null where it isn't JSON."""
     import json

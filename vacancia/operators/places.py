@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿŠšŽžČčĆćŁłŃńŚśŹźŻżĘęĄąŐőŰűŘřŮůĚě"
 _PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyySsZzCcCcLlNnSsZzZzEeAaOoUuRrUuEe"
@@ -31,7 +32,7 @@ def german_key(text: Column) -> Column:
     return _words(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def lookup_key_any(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The same by Unicode's compatibility decomposition, which Spark has no function for."""
 

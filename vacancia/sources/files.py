@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from vacancia.functions.texts import html_to_text
 
@@ -40,9 +40,11 @@ def read_strict_csv(spark: SparkSession, path: str, header: Sequence[str] = ("na
         raise ValueError(f"the header must be {','.join(header)}")
     schema = ", ".join(f"`{c}` string" for c in header) + ", _bad string"
     rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').option("columnNameOfCorruptRecord", "_bad").csv(path)
-    if rows.where(F.col("_bad").contains('"') & (F.length(F.regexp_replace("_bad", '[^"]', "")) % 2 == 1)).limit(1).count():
+    open_quote = F.length(F.regexp_replace("_bad", '[^"]', "")) % 2 == 1
+    if rows.where(open_quote).select(header[0], "_bad").limit(1).collect():
         raise ValueError("a quote isn't closed")
-    return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").select("_bad")
+    read = F.length(F.coalesce(header[0], F.lit(""))) >= 0  # always true: Spark reads no corrupt-record column alone
+    return rows.where(F.col("_bad").isNull() & read).drop("_bad"), rows.where(F.col("_bad").isNotNull() & read).withColumnRenamed("_bad", "line")
 
 
 def valid_slug(slug: Column) -> Column:
@@ -154,7 +156,7 @@ def parse_feed(payloads: DataFrame, provider: str, payload: str = "payload") ->
     return payloads.select(*rest, F.explode(PARSERS[provider](F.col(payload))).alias("job")).select(*rest, "job.*")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def job_posting(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The first JobPosting among a page's JSON-LD blocks, at whatever depth, as JSON; null without one."""
     import re
