@@ -27,7 +27,7 @@ def default_path() -> str:
 class Encoder:
     """Ids of texts. Keeps at most ``most`` parts, then starts anew."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
