@@ -23,11 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import U64, WordHashes, mix, utf8
+from vacancia.llm.common import U64, WordHashes, mix, slices, utf8
 
 END = U64(0x5851F42D4C957F2D)
 
@@ -48,11 +49,23 @@ def held_out(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(True))
 
 
+def _bundled(texts: list[bytes]) -> bytes:
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    return zstandard.ZstdCompressor(3).compress(len(texts).to_bytes(8, "little") + sizes.tobytes() + b"".join(texts))
+
+
+def _unbundled(data: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(raw[:8], "little")
+    stop = 8 + 8 * n + np.cumsum(np.frombuffer(raw, dtype=np.int64, count=n, offset=8))
+    return [raw[a:b] for a, b in zip([8 + 8 * n, *stop[:-1].tolist()], stop.tolist(), strict=False)]
+
+
 class Chunk:
     """The tokens of some documents and their distinct n-grams of each order up to ``order``."""
 
     def __init__(self, table: pa.Table, order: int, indexed: bool = True):
-        words = [utf8(t).lower().split() for t in table.column("text").to_pylist()]
+        words = [t.lower().split() for cell in table.column("texts").to_pylist() for t in _unbundled(cell)]
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         self.sizes = sizes + 1
         ends = np.cumsum(self.sizes)
@@ -66,7 +79,7 @@ class Chunk:
         token[is_word], token[~is_word] = out, END
         self.doc = np.repeat(np.arange(len(words)), self.sizes)
         place = np.arange(len(token)) - np.repeat(ends - self.sizes, self.sizes)
-        train = ~table.column("held_out").to_numpy()
+        train = ~np.array([h for cell in table.column("held_out").to_pylist() for h in cell], dtype=bool)
         weight = train[self.doc]
         # Of order k + 1: distinct keys, how often each stands in training, and, if ``indexed``, a position of each and
         # the index by position (-1 where no n-gram ends).
@@ -76,7 +89,7 @@ class Chunk:
             if k:
                 code = np.concatenate([code[:1], mix(code[:-1] * U64(0x9E3779B97F4A7C15) + U64(k)) + token[1:]])
             at = np.flatnonzero(place >= k)
-            own = mix(code[at])
+            own = mix(code[at]) & ~U64(1)  # the last bit is left to a mark
             if indexed:
                 keys, inverse = np.unique(own, return_inverse=True)
                 index = np.full(len(token), -1, dtype=np.int32)
@@ -87,10 +100,10 @@ class Chunk:
                 self.index.append(index)
                 self.count.append(np.bincount(inverse, weights=weight[at], minlength=len(keys)))
             else:
-                keys = np.unique(own)
-                seen, times = np.unique(own[weight[at]], return_counts=True)
-                count = np.zeros(len(keys))
-                count[np.searchsorted(keys, seen)] = times
+                marked = np.sort(own | (~weight[at]).astype(U64))
+                starts = np.flatnonzero(np.diff(marked >> U64(1), prepend=~U64(0)))
+                keys = marked[starts] & ~U64(1)
+                count = np.add.reduceat((marked & U64(1)) == 0, starts, dtype=np.int64) if len(starts) else np.zeros(0)
                 self.count.append(count)
             self.keys.append(keys)
 
@@ -104,12 +117,15 @@ class Chunk:
 
 def _packed(values: np.ndarray, width: int) -> bytes:
     """Unsigned values byte by byte, low bytes first, compressed."""
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return zstandard.ZstdCompressor(3).compress(planes.tobytes())
+    used = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    if used > width:
+        raise OverflowError(f"a value takes {used} bytes, not {width}")
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :used].T)
+    return bytes([used]) + zstandard.ZstdCompressor(1).compress(planes.tobytes())
 
 
-def _unpacked(data: bytes, width: int) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data)
+def _unpacked(data: bytes) -> np.ndarray:
+    width, raw = data[0], zstandard.ZstdDecompressor().decompress(data[1:])
     out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
     out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T
     return out.reshape(-1).view("<u8").astype(U64)
@@ -133,8 +149,8 @@ def _amounts(amounts: np.ndarray, kind: int) -> bytes:
 
 def _from_amounts(data: bytes, kind: int) -> np.ndarray:
     if kind < 100:
-        return _unpacked(data, 4).astype(np.float64)
-    return (_unpacked(data, 2) << U64(16)).astype(np.uint32).view(np.float32).astype(np.float64)
+        return _unpacked(data).astype(np.float64)
+    return (_unpacked(data) << U64(16)).astype(np.uint32).view(np.float32).astype(np.float64)
 
 
 MESSAGE = "target int, chunk int, kind int, keys binary, amounts binary"
@@ -162,7 +178,7 @@ def answers(group: pa.Table) -> Iterator[pa.RecordBatch]:
     kinds = group.column("kind").to_numpy()
     for kind in np.unique(kinds):
         part = group.filter(pa.array(kinds == kind))
-        sent = [np.cumsum(_unpacked(x, _width(kind)), dtype=U64) for x in part.column("keys").to_pylist()]
+        sent = [np.cumsum(_unpacked(x), dtype=U64) for x in part.column("keys").to_pylist()]
         amounts = np.concatenate([_from_amounts(x, kind) for x in part.column("amounts").to_pylist()])
         keys, inverse = np.unique(np.concatenate(sent), return_inverse=True)
         sums = np.bincount(inverse, weights=amounts, minlength=len(keys))
@@ -187,7 +203,7 @@ class Model:
             part = table.filter(pa.array(kinds == kind)).sort_by("target")
             self.cells[int(kind)] = [part.column(c).to_pylist() for c in ("sums", "total", "different")]
         self.n, self.v = (sum(self.cells[0][i]) if 0 in self.cells else 0 for i in (1, 2))
-        self.counts = [np.concatenate([_unpacked(x, 4) for x in self.cells[k][0]]).astype(np.float64) for k in range(p.depth + 1)]
+        self.counts = [np.concatenate([_unpacked(x) for x in self.cells[k][0]]).astype(np.float64) for k in range(p.depth + 1)]
         root = (self.counts[0] + p.alpha) / (self.n + p.alpha * (self.v + 1))
         self.root = root
         self.p = [root]
@@ -239,7 +255,26 @@ def score(docs: DataFrame, p: Params = Params()) -> DataFrame:
     chunks = max(1, -(-size // p.chunk_bytes))
     bits = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks).bit_length()
     orders = p.depth + 1
-    dealt = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text", held_out(F.col("doc_id"), p.folds).alias("held_out"))
+    chunk = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(chunks)).cast("int")
+    narrow = docs.select(chunk.alias("chunk"), "doc_id", "text", held_out(F.col("doc_id"), p.folds).alias("held_out"))
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 8 << 20):
+            to = batch.column("chunk").to_numpy()
+            texts = [utf8(t) for t in batch.column("text").to_pylist()]
+            order = np.argsort(to, kind="stable")
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(to[order])) + 1, [len(order)]])
+            offsets, at = pa.array(cuts.astype(np.int32)), pa.array(order)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(to[order][cuts[:-1]], pa.int32()),
+                    *(pa.ListArray.from_arrays(offsets, batch.column(c).take(at)) for c in ("doc_id", "held_out")),
+                    pa.array([_bundled([texts[i] for i in order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                ],
+                ["chunk", "doc_id", "held_out", "texts"],
+            )
+
+    dealt = narrow.mapInArrow(bundle, f"chunk int, doc_id array<{key}>, held_out array<boolean>, texts binary")
 
     def ask(table: pa.Table) -> pa.Table:
         name = table.column("chunk")[0].as_py()
@@ -266,8 +301,9 @@ def score(docs: DataFrame, p: Params = Params()) -> DataFrame:
             state[chosen] = np.concatenate(flags) == 1
             states.append(state)
         tokens, known, base, best = scores(model, states, p)
+        flat = lambda name: pc.list_flatten(table.column(name))
         return pa.table(
-            {"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(tokens), int(model.n)), pa.int64()), "base_score": pa.array(base), "score": pa.array(best)}
+            {"doc_id": flat("doc_id"), "held_out": flat("held_out"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(tokens), int(model.n)), pa.int64()), "base_score": pa.array(base), "score": pa.array(best)}
         )
 
     counted = dealt.groupBy("chunk").applyInArrow(ask, MESSAGE).groupBy("target").applyInArrow(answer, ANSWER)
