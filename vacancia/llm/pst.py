@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from vacancia.llm.common import U64, WordHashes, mix, slices, utf8
 
 END = U64(0x5851F42D4C957F2D)
+_HASHES = WordHashes(most=300_000)  # kept between the tasks of a Python worker
 
 
 @dataclass(frozen=True)
@@ -72,9 +73,9 @@ class Chunk:
         token = np.empty(int(ends[-1]) if len(ends) else 0, dtype=U64)
         is_word = np.ones(len(token), dtype=bool)
         is_word[ends - 1] = False
-        hashes, out, at = WordHashes(), np.empty(int(sizes.sum()), dtype=U64), 0
+        out, at = np.empty(int(sizes.sum()), dtype=U64), 0
         for ws in words:
-            out[at : at + len(ws)] = hashes.of(ws)
+            out[at : at + len(ws)] = _HASHES.of(ws)
             at += len(ws)
         token[is_word], token[~is_word] = out, END
         self.doc = np.repeat(np.arange(len(words)), self.sizes)
@@ -89,13 +90,14 @@ class Chunk:
             if k:
                 code = np.concatenate([code[:1], mix(code[:-1] * U64(0x9E3779B97F4A7C15) + U64(k)) + token[1:]])
             at = np.flatnonzero(place >= k)
-            own = mix(code[at]) & ~U64(1)  # the last bit is left to a mark
+            own = code[at] & ~U64(1)  # the last bit is left to a mark
             if indexed:
                 keys, inverse = np.unique(own, return_inverse=True)
                 index = np.full(len(token), -1, dtype=np.int32)
                 index[at] = inverse
-                first = np.empty(len(keys), dtype=np.int64)
-                first[inverse] = at
+                first = np.empty(len(keys) if k else 0, dtype=np.int64)
+                if k:
+                    first[inverse] = at
                 self.first.append(first)
                 self.index.append(index)
                 self.count.append(np.bincount(inverse, weights=weight[at], minlength=len(keys)))
