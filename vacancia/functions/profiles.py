@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -37,25 +37,29 @@ def first_of(json: Column, names: Sequence[str], base: str = "$") -> Column:
     return F.coalesce(*[F.get_json_object(json, f"{base}.{n}") for n in names])
 
 
-def terms(value: Column) -> Column:
-    """Distinct terms of a JSON string or list of strings, without regard to case: the first 50 of at most 120 characters."""
-    listed = F.coalesce(F.from_json(value, "array<string>"), F.when(value.isNotNull() & ~value.rlike(r"^\s*[\[{]"), F.array(value)), F.array().cast("array<string>"))
-    full = F.filter(F.transform(listed, lambda t: F.trim(t)), lambda t: (t != "") & (F.length(t) <= LONGEST_TERM))
-    keys = F.transform(full, F.lower)
-    return F.slice(F.filter(full, lambda t, i: F.array_position(keys, F.lower(t)) == i + 1), 1, MOST_TERMS)
-
-
-def discovery_profile(json: Column) -> Column:
-    """Struct of title, location, company and remote terms of a saved filter; null where it constrains nothing."""
-    root = F.coalesce(F.when(F.get_json_object(json, "$.filters").startswith("{"), F.get_json_object(json, "$.filters")), json)
-    fields = []
-    for section, (names, parts) in SECTIONS.items():
-        found = F.coalesce(*[F.when(F.get_json_object(root, f"$.{n}").startswith("{"), F.get_json_object(root, f"$.{n}")) for n in names])
-        fields += [terms(first_of(found, aliases)).alias(f"{section}_{part}") for part, aliases in parts.items()]
-    nested = F.coalesce(*[first_of(F.get_json_object(root, f"$.{n}"), ("allow", "types")) for n in ("remote", "remoteFilter", "remote_filter")])
-    fields.append(terms(F.coalesce(first_of(root, REMOTE_NAMES), nested)).alias("remote_types"))
-    any_term = F.size(F.concat(*fields)) > 0
-    return F.when(any_term, F.struct(*fields))
+def discovery_profiles(rows: DataFrame, json: str) -> DataFrame:
+    """``rows`` with the terms of a saved filter by section and part, all null where it constrains nothing.
+
+    Terms are distinct without regard to case, at most 50 of at most 120 characters. Each step is a projection of its
+    own, so that no JSON text is parsed twice.
+    """
+    nested = F.get_json_object(json, "$.filters")
+    rows = rows.withColumn("_root", F.when(nested.startswith("{"), nested).otherwise(F.col(json)))
+    member = lambda n: F.get_json_object("_root", f"$.{n}")
+    rows = rows.withColumns({f"_{section}_{n}": member(n) for section, (names, _) in SECTIONS.items() for n in names} | {f"_remote_{n}": member(n) for n in ("remote", "remoteFilter", "remote_filter")})
+    rows = rows.withColumns({f"_in_{section}": F.coalesce(*[F.when(F.col(f"_{section}_{n}").startswith("{"), F.col(f"_{section}_{n}")) for n in names]) for section, (names, _) in SECTIONS.items()})
+    values = {f"{section}_{part}": first_of(F.col(f"_in_{section}"), aliases) for section, (_, parts) in SECTIONS.items() for part, aliases in parts.items()}
+    values["remote_types"] = F.coalesce(first_of(F.col("_root"), REMOTE_NAMES), *[first_of(F.col(f"_remote_{n}"), ("allow", "types")) for n in ("remote", "remoteFilter", "remote_filter")])
+    rows = rows.withColumns({f"_v_{k}": v for k, v in values.items()})
+    kept = [c for c in rows.columns if not c.startswith("_")]
+    none = F.array().cast("array<string>")
+    listed = lambda v: F.coalesce(F.from_json(v, "array<string>"), F.when(v.isNotNull() & ~v.rlike(r"^\s*[\[{]"), F.array(v)), none)
+    rows = rows.select(*kept, *[listed(F.col(f"_v_{k}")).alias(k) for k in values])
+    rows = rows.withColumns({k: F.filter(F.transform(k, lambda t: F.trim(t)), lambda t: (t != "") & (F.length(t) <= LONGEST_TERM)) for k in values})
+    rows = rows.withColumns({f"_low_{k}": F.transform(k, lambda t: F.lower(t)) for k in values})
+    one = lambda k: F.slice(F.filter(k, lambda t, i: F.array_position(F.col(f"_low_{k}"), F.lower(t)) == i + 1), 1, MOST_TERMS)
+    constrained = F.greatest(*[F.size(k) for k in values]) > 0
+    return rows.select(*kept, *[F.when(constrained, one(k)).alias(k) for k in values])
 
 
 def language_list(json: Column, default: str = "B1") -> Column:

@@ -72,9 +72,8 @@ def saved_filter_profile(customer: DataFrame) -> DataFrame:
         .when(k == 2, '{"remote":{"types":["remote"]}}')
         .otherwise('{"unknown":1}')
     )
-    found = profiles.discovery_profile(text)
-    join = lambda n: F.array_join(found[n], ",").alias(n)
-    return customer.select("c_custkey", join("title_positive"), join("location_block"), join("remote_types"))
+    found = profiles.discovery_profiles(customer.select("c_custkey", text.alias("filter")), "filter")
+    return found.select("c_custkey", *[F.array_join(n, ",").alias(n) for n in ("title_positive", "location_block", "remote_types")])
 
 
 @query("SELECT l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 'German:C1' WHEN 1 THEN 'German:B2,EN:B1' ELSE 'French:B1' END AS languages FROM (SELECT DISTINCT l_linenumber FROM lineitem)", "lineitem")
