@@ -190,6 +190,19 @@ def test_contaminated_documents(spark):
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0
 
 
+def test_every_item_of_a_window_is_judged(spark):
+    short = "plain words of one short item that stand"
+    long = f"{short} also in a longer one of smaller id and go on"
+    a = "Give 5 red coins to each of the old men by the river and keep 5 blue coins for the young men"
+    b = a.replace("keep 5", "keep 9")
+    items = spark.createDataFrame([(1, long), (2, short), (3, a), (4, b)], "item_id long, text string")
+    docs = frame(spark, [f"x y. {short}. z", f"so {b} so", f"so {a} so", "clean words only"], [10, 11, 12, 13])
+    got = {(r.doc_id, r.item_id): (r.n_symbols, r.reparameterised) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got[10, 2] == (8, False) and (10, 1) not in got
+    assert got[11, 4] == (21, False) and got[12, 3] == (21, False)
+    assert {d for d, _ in got} == {10, 11, 12}
+
+
 def test_warc_round_trip(spark):
     rows = [(5, "http://www.B.example/x?q=1", "<p>same</p>", "k"), (3, "https://b.example:8080/", "<p>same</p>", "k"), (4, None, "", "k"), (9, "http://a.example/\r\nX: y", None, "k"), (7, "http://a.example/", "é" * 5000, "k"), (8, "http://a.example/", "u", "k")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, key string").repartition(2)

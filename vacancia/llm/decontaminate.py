@@ -5,13 +5,12 @@ word, not all in capitals, that doesn't begin a sentence; names in a row are one
 words are templates. Slots are numbered by first use within a window, and template and numbering make up the join
 key, so that equal keys have slots that correspond one to one.
 
-Benchmark and documents meet in a hash join on that key. Of the benchmark's windows with one key one stands for all,
-so a document's window finds one partner at most, however often either repeats. Before the join a bitmap of fixed
-size, filled from all of the benchmark's keys, drops documents' windows that can't match; it never drops one that
-can. Matches of a document on one diagonal of one item must agree on what each slot of the item became there; those
-that contradict earlier ones are dropped. A document is contaminated where consistent windows cover ``run`` symbols
-without a break, or the whole of an item shorter than that. Items shorter than a window are one window of their own
-length.
+Benchmark and documents meet in a hash join on that key, which finds every item that has the window, at each of its
+places. Before the join a bitmap of fixed size, filled from all of the benchmark's keys, drops documents' windows that
+can't match; it never drops one that can. Each item is judged by its own windows, size and slots: matches of a document
+on one diagonal of one item must agree on what each slot of the item became there; those that contradict earlier ones
+are dropped. A document is contaminated where consistent windows of one item cover ``run`` symbols without a break, or
+the whole of an item shorter than that. Items shorter than a window are one window of their own length.
 
 Defined cases: null and empty texts hold no windows, on either side. Null item_ids never match. Rows with a null
 doc_id are neither reported nor removed. Rows that repeat a doc_id are judged by all their texts together and removed
@@ -208,17 +207,16 @@ def judged(pairs: list[dict], run: int) -> list[tuple]:
                 became.update(slots)
                 good.append((p["place"], p["place"] + p["width"], item, p["size"], any(a != b for a, b in slots)))
     out: dict = {}
-    good.sort(key=lambda g: g[:2])
+    good.sort(key=lambda g: (g[2], *g[:2]))
     i = 0
     while i < len(good):
-        j, end = i + 1, good[i][1]
-        while j < len(good) and good[j][0] <= end:
-            end, j = max(end, good[j][1]), j + 1
-        covered = end - good[i][0]
-        for _, _, item, size, changed in good[i:j]:
-            if covered >= min(run, size):
-                windows, most, any_changed = out.get(item, (0, 0, False))
-                out[item] = windows + 1, max(most, covered), any_changed or changed
+        begin, end, item, size, changed = good[i]
+        j = i + 1
+        while j < len(good) and good[j][2] == item and good[j][0] <= end:
+            end, changed, j = max(end, good[j][1]), changed or good[j][4], j + 1
+        if end - begin >= min(run, size):
+            windows, most, any_changed = out.get(item, (0, 0, False))
+            out[item] = windows + j - i, max(most, end - begin), any_changed or changed
         i = j
     return [(item, *x) for item, x in sorted(out.items())]
 
@@ -228,9 +226,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, run:
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     items = benchmark_windows(benchmark, width, literals)
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # ``width`` values at most
-    stand_in = items.groupBy("key", "width").agg(F.min(F.struct("item_id", "place", "slots", "size")).alias("item"))
-    stand_in = stand_in.select("key", "width", F.col("item.item_id").alias("item_id"), F.col("item.place").alias("item_place"), F.col("item.slots").alias("item_slots"), F.col("item.size").alias("size"))
-    found = document_windows(docs, bitmap(items, bits), widths, literals, bits).drop("size", "template").join(stand_in, ["key", "width"])
+    every = items.select("key", "width", "item_id", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "size").distinct()
+    found = document_windows(docs, bitmap(items, bits), widths, literals, bits).drop("size", "template").join(every, ["key", "width"])
     names = ["doc_id", "item_id", "n_windows", "n_symbols", "reparameterised"]
 
     def judge(group: pa.Table) -> pa.Table:
