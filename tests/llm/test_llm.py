@@ -203,6 +203,34 @@ def test_every_item_of_a_window_is_judged(spark):
     assert {d for d, _ in got} == {10, 11, 12}
 
 
+def test_items_of_few_literal_words(spark):
+    train = "A train travels 60 miles in 2 hours and then 90 miles in 3 hours"
+    items = [(1, train), (2, "What is 12 plus 7?"), (3, "Is it so"), (4, "3 4 5 6 7 8 9 10 11 12 13 14 15"), (5, "Add 2 and 9 to 4 but not to 8 nor 6 kg in 2 h")]
+    texts = [f"we say: {train}. End", f"we say: {train.replace('60', '70').replace('90', '85')}. End", "and what is 12 plus 7 now", "and what is 12 plus 8 now", "who is it so far", f"x {items[3][1]} y", "x 3 4 5 6 7 8 9 10 11 12 99 14 15 y", items[4][1], "clean words only"]
+    got = {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.contaminated(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 1): False, (1, 1): True, (2, 2): False, (4, 3): False, (5, 4): False, (7, 5): False}
+
+
+def test_windows_against_brute_force():
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["7", "8", "kg", "pears", "figs", "and", "or"]) for _ in range(rnd.randint(0, 30))).encode() for _ in range(40)]
+    s = decontaminate.canonical(texts, decontaminate.Lexicon())
+    found = set(zip(*(x.tolist() for x in decontaminate.windows(s, 8, 5)), strict=True))
+    kinds, rows, wanted, of = s.kind.tolist(), s.row.tolist(), set(), {}
+    for a in range(len(kinds)):
+        here = [k for k in range(a, len(kinds)) if rows[k] == rows[a]]
+        if len(here) >= 8:
+            literal = [k for k in here if not kinds[k]]
+            wanted.add((a, 8))
+            if len(literal) >= 5:
+                wanted.add((a, max(8, literal[4] - a + 1)))
+    assert {(a, w) for a, _, w in found} == wanted and len(found) == len(wanted)
+    for a, h, w in found:
+        enough = kinds[a : a + w].count(0) >= 5
+        of.setdefault((enough, w, tuple((s.code if enough else s.value)[a : a + w].tolist())), set()).add(h)
+    assert all(len(h) == 1 for h in of.values()) and len(set().union(*of.values())) == len(of)
+
+
 def test_warc_round_trip(spark):
     rows = [(5, "http://www.B.example/x?q=1", "<p>same</p>", "k"), (3, "https://b.example:8080/", "<p>same</p>", "k"), (4, None, "", "k"), (9, "http://a.example/\r\nX: y", None, "k"), (7, "http://a.example/", "é" * 5000, "k"), (8, "http://a.example/", "u", "k")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, key string").repartition(2)

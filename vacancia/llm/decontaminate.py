@@ -2,7 +2,8 @@
 
 Words lose outer punctuation and case; numbers, units and names become typed placeholders (a name is a capitalised
 word, not all in capitals, that doesn't begin a sentence; names in a row are one). Windows of ``width`` such symbols with enough literal
-words are templates. Slots are numbered by first use within a window, and template and numbering make up the join
+words are templates. A window with fewer is keyed by its words as they are and, so that it is found with other values too, is
+made wider until it has enough. Slots are numbered by first use within a window, and template and numbering make up the join
 key, so that equal keys have slots that correspond one to one.
 
 Benchmark and documents meet in a hash join on that key, which finds every item that has the window, at each of its
@@ -10,7 +11,8 @@ places. Before the join a bitmap of fixed size, filled from all of the benchmark
 can't match; it never drops one that can. Each item is judged by its own windows, size and slots: matches of a document
 on one diagonal of one item must agree on what each slot of the item became there; those that contradict earlier ones
 are dropped. A document is contaminated where consistent windows of one item cover ``run`` symbols without a break, or
-the whole of an item shorter than that. Items shorter than a window are one window of their own length.
+the whole of an item shorter than that. Items shorter than a window are one window of their own length, so that every
+item with any word has a key.
 
 Defined cases: null and empty texts hold no windows, on either side. Null item_ids never match. Rows with a null
 doc_id are neither reported nor removed. Rows that repeat a doc_id are judged by all their texts together and removed
@@ -120,28 +122,56 @@ def templates(s: Symbols, width: int, literals: int) -> tuple[np.ndarray, np.nda
     return starts, mix(h[starts] + U64(width))
 
 
-def keyed(s: Symbols, starts: np.ndarray, hashes: np.ndarray, width: int) -> tuple[np.ndarray, list[list[int]]]:
+def windows(s: Symbols, width: int, literals: int, wider: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, hashes and widths of the windows at every place of a text: templates where ``width`` symbols hold enough
+    literal words, else the words themselves, and a template as wide as it takes where the text has enough of them."""
+    starts, hashes = templates(s, width, literals)
+    n = len(s.code) - width + 1
+    if n <= 0:
+        return starts, hashes, np.zeros(0, dtype=np.int64)
+    rest = s.row[:n] == s.row[width - 1 :]
+    rest[starts] = False
+    poor = np.flatnonzero(rest)
+    exact, words = np.zeros(len(poor), dtype=U64), mix(s.value + s.kind.astype(U64))
+    for k in range(width):
+        exact = exact * U64(0x9FB21C651E98DF25) + words[poor + k]
+    found = [(starts, hashes, np.full(len(starts), width)), (poor, mix(exact + U64(1 << 32) + U64(width)), np.full(len(poor), width))]
+    if wider and len(poor):
+        places = np.flatnonzero(s.kind == LITERAL)
+        last = np.searchsorted(places, poor) + literals - 1
+        poor, last = poor[last < len(places)], places[last[last < len(places)]]
+        poor, last = poor[s.row[poor] == s.row[last]], last[s.row[poor] == s.row[last]]
+        # The same polynomial as in templates(), from sums of codes over powers of the (odd) base.
+        base, one = 0x9FB21C651E98DF25, np.ones(1, dtype=U64)
+        power, inverse = (np.cumprod(np.concatenate([one, np.full(len(s.code), x, dtype=U64)])) for x in (base, pow(base, -1, 1 << 64)))
+        sums = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(s.code * inverse[:-1], dtype=U64)])
+        size = last - poor + 1
+        found.append((poor, mix((sums[last + 1] - sums[poor]) * power[last] + size.astype(U64)), size))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def keyed(s: Symbols, starts: np.ndarray, hashes: np.ndarray, width: int | np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
     """Join keys (template and numbering of the slots), and each window's slot values."""
     keys, slots = hashes.copy(), []
-    for i, a in enumerate(starts.tolist()):
-        at = np.flatnonzero(s.kind[a : a + width]) + a
+    for i, (a, w) in enumerate(zip(starts.tolist(), np.broadcast_to(width, len(starts)).tolist(), strict=True)):
+        at = np.flatnonzero(s.kind[a : a + w]) + a
         values = s.value[at].view(np.int64).tolist()
         slots.append(values)
         if values:
             seen: dict[tuple[int, int], int] = {}
             numbering = [seen.setdefault((k, v), len(seen)) for k, v in zip(s.kind[at].tolist(), values, strict=True)]
-            keys[i] = mix(keys[i : i + 1] + U64(xxhash.xxh64_intdigest(bytes(x % 256 for x in numbering))))[0]
+            keys[i] = mix(keys[i : i + 1] + U64(xxhash.xxh64_intdigest(bytes(x % 256 for x in numbering) if len(seen) < 256 else str(numbering))))[0]
     return keys, slots
 
 
 WINDOWS = "template long, key long, place int, slots array<long>"
 
 
-def _batch(name: str, ids: pa.Array, s: Symbols, width: int, starts: np.ndarray, hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+def _batch(name: str, ids: pa.Array, s: Symbols, width: np.ndarray, starts: np.ndarray, hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
     keys, slots = keyed(s, starts, hashes, width)
     rows = s.row[starts]
     return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(rows)), pa.array(hashes.view(np.int64)), pa.array(keys.view(np.int64)), pa.array((starts - begin[rows]).astype(np.int32)), pa.array(slots, pa.list_(pa.int64())), pa.array(np.full(len(starts), width, dtype=np.int32)), pa.array(size[rows].astype(np.int32))],
+        [ids.take(pa.array(rows)), pa.array(hashes.view(np.int64)), pa.array(keys.view(np.int64)), pa.array((starts - begin[rows]).astype(np.int32)), pa.array(slots, pa.list_(pa.int64())), pa.array(width.astype(np.int32)), pa.array(size[rows].astype(np.int32))],
         [name, "template", "key", "place", "slots", "width", "size"],
     )
 
@@ -156,11 +186,11 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, literals: int =
             s = canonical([utf8(t) for t in batch.column("text").to_pylist()], lexicon)
             size = np.bincount(s.row, minlength=batch.num_rows)
             begin = np.cumsum(size) - size
-            for w in range(min(literals, width), width + 1):
-                starts, hashes = templates(s, w, literals)
-                chosen = slice(None) if w == width else size[s.row[starts]] == w
-                if len(starts[chosen]):
-                    yield _batch("item_id", batch.column("item_id"), s, w, starts[chosen], hashes[chosen], begin, size)
+            for w in range(1, width + 1):
+                starts, hashes, wide = windows(s, w, literals, w == width)
+                chosen = np.ones(len(starts), dtype=bool) if w == width else size[s.row[starts]] == w
+                if chosen.any():
+                    yield _batch("item_id", batch.column("item_id"), s, wide[chosen], starts[chosen], hashes[chosen], begin, size)
 
     return benchmark.where("item_id is not null").select("item_id", "text").mapInArrow(run, f"item_id {kind}, {WINDOWS}, width int, size int")
 
@@ -173,7 +203,7 @@ def bitmap(windows: DataFrame, bits: int = BITS) -> np.ndarray:
     return np.packbits(out)
 
 
-def document_windows(docs: DataFrame, flags: np.ndarray, widths: list[int], literals: int = LITERALS, bits: int = BITS) -> DataFrame:
+def document_windows(docs: DataFrame, flags: np.ndarray, widths: list[int], literals: int = LITERALS, bits: int = BITS, width: int = WIDTH) -> DataFrame:
     """Documents' windows whose template may be one of the benchmark's."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(flags)
@@ -185,10 +215,10 @@ def document_windows(docs: DataFrame, flags: np.ndarray, widths: list[int], lite
             size = np.bincount(s.row, minlength=batch.num_rows)
             begin = np.cumsum(size) - size
             for w in widths:
-                starts, hashes = templates(s, w, literals)
+                starts, hashes, wide = windows(s, w, literals, w == width)
                 chosen = set_[(hashes >> U64(64 - bits)).astype(np.int64)]
                 if chosen.any():
-                    yield _batch("doc_id", batch.column("doc_id"), s, w, starts[chosen], hashes[chosen], begin, size)
+                    yield _batch("doc_id", batch.column("doc_id"), s, wide[chosen], starts[chosen], hashes[chosen], begin, size)
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {WINDOWS}, width int, size int")
 
@@ -225,9 +255,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, run:
     """doc_id, item_id, n_windows, n_symbols and reparameterised of each benchmark item that a document holds a run of."""
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     items = benchmark_windows(benchmark, width, literals)
-    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # ``width`` values at most
+    widths = sorted(r["width"] for r in items.select(F.least("width", F.lit(width)).alias("width")).distinct().collect())  # ``width`` values at most
     every = items.select("key", "width", "item_id", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "size").distinct()
-    found = document_windows(docs, bitmap(items, bits), widths, literals, bits).drop("size", "template").join(every, ["key", "width"])
+    found = document_windows(docs, bitmap(items, bits), widths, literals, bits, width).drop("size", "template").join(every, ["key", "width"])
     names = ["doc_id", "item_id", "n_windows", "n_symbols", "reparameterised"]
 
     def judge(group: pa.Table) -> pa.Table:
