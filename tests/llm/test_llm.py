@@ -287,6 +287,27 @@ def test_token_rollup(spark):
     assert {r.doc_id for r in rollup.ledger().collect()} == {1, 3, 4}
 
 
+def test_token_rollup_over_ten_batches_and_a_restart(spark, tmp_path):
+    counters = {"words-1": token_rollup.count_words}
+    folder = f"file://{tmp_path}/rollup"
+    schema = "doc_id long, change string, seq int, text string, source string, lang string"
+    change = lambda i, kind, seq, text: spark.createDataFrame([(i, kind, seq, text, "s", "en")], schema)
+    batches = {f"batch-{k}": change(k, "insert", k, "a b") for k in range(1, 10)}
+    batches |= {"batch-10": change(2, "revise", 10, "a b c d"), "batch-11": change(2, "revise", 11, "a b c d e"), "batch-12": change(1, "delete", 12, None)}
+    rollup = token_rollup.Rollup(spark, folder, counters)
+    for name, changes in batches.items():
+        rollup.commit(name, changes)
+    read = lambda r: [(x.documents, x.tokens) for x in r.totals().collect()]
+    assert read(rollup) == [(8, 7 * 2 + 5)]
+    again = token_rollup.Rollup(spark, folder, counters)
+    assert read(again) == [(8, 19)]
+    for name in ("batch-2", "batch-10", "batch-1"):
+        again.commit(name, batches[name])
+        assert read(again) == [(8, 19)]
+    again.commit("batch-13", change(2, "delete", 13, None))
+    assert read(token_rollup.Rollup(spark, folder, counters)) == [(7, 14)]
+
+
 def test_suffix_tree_counts_and_scores(spark, texts):
     p = pst.Params(chunk_bytes=2000)
     rows = pst.score(frame(spark, texts), p).collect()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacancia.llm import decontaminate, jpeg, line_dedup, packing, pst, quality, simhash, substring_dedup, token_rollup, warc
+from vacancia.llm.common import new_folder, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,15 +53,24 @@ def op9_substring_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches: all documents come, a tenth of them goes, comes back revised, and one batch is replayed."""
+    """Totals after twelve batches, three replays and a restart: all documents come, a tenth of them goes, comes back
+    revised to other texts in nine parts, and one part is revised once more."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    rollup = token_rollup.Rollup(spark)
-    some = docs.where(F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+    number = F.crc32(F.col("doc_id").cast("string"))
+    some = written(docs.where(number % 10 == 0), "revised-documents")
     gone = some.select("doc_id", F.lit(None).cast("string").alias("text"), "source", "lang")
+    revised = {f"batch-{k}": some.where(number % 90 == 10 * (k - 3)).withColumn("text", F.concat("text", F.lit(f" revised in {k}"))) for k in range(3, 12)}
+    revised["batch-12"] = revised["batch-10"].withColumn("text", F.concat("text", F.lit(" and again")))
+    folder = new_folder(spark, "token-rollup")
+    rollup = token_rollup.Rollup(spark, folder)
     rollup.commit("batch-1", _changes(docs, "insert", 1))
     rollup.commit("batch-2", _changes(gone, "delete", 2))
-    rollup.commit("batch-3", _changes(some, "revise", 3))
+    for seq, (batch, part) in enumerate(revised.items(), 3):
+        rollup.commit(batch, _changes(part, "revise", seq))
+    rollup = token_rollup.Rollup(spark, folder)
     rollup.commit("batch-2", _changes(gone, "delete", 2))
+    for batch in ("batch-10", "batch-3"):
+        rollup.commit(batch, _changes(revised[batch], "revise", int(batch[6:])))
     return rollup.totals()
 
 

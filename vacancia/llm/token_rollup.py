@@ -6,9 +6,11 @@ changes is resolved to its last change a document, compared with the ledger, and
 document and its tokens where it counts from now on, -1 and what the ledger had where it no longer does. Totals only
 ever add deltas up, and never look at unchanged documents.
 
-Commits are idempotent. A batch writes its deltas under its own name, in one Parquet write that a success marker
-ends; committing a name again replaces what it wrote, so that totals and ledger, both sums over committed batches,
-come out the same. A batch is judged against the batches that sort before it, so that replays agree too.
+Commits are idempotent. A batch gets the next number, writes its deltas under it in one Parquet write, and is then
+entered in the commit log of the shared folder, which a new driver reads. Committing a name again keeps its number and
+replaces what it wrote, so that totals and ledger, both sums over committed batches, come out the same. A batch is
+judged against the batches of smaller numbers, so that replays of the same changes agree too. One driver commits at a
+time.
 
 Defined cases: inserting a document that counts already, or revising one that doesn't, sets it; deleting one that
 doesn't count changes nothing. A null text counts no tokens. Changes without doc_id are left out. Ties of ``seq`` are
@@ -22,6 +24,7 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,7 @@ from vacancia.llm.common import new_folder, slices
 from vacancia.llm.tokens import default_path, encoder
 
 GROUP = ["source", "lang", "tokenizer"]
+LOG = "number long, batch string"
 WORDS = "words-1"
 BYTE_BPE = "byte_bpe_50k-1"
 
@@ -67,27 +71,40 @@ class Rollup:
     def __init__(self, spark: SparkSession, folder: str | None = None, counters: Mapping[str, Callable[[list[str]], np.ndarray]] | None = None):
         self.spark, self.folder = spark, folder or new_folder(spark, "token-rollup")
         self.counters = dict(counters or default_counters())
-        self.batches: list[str] = []
-
-    def _deltas(self, before: str | None = None) -> DataFrame | None:
-        names = [b for b in sorted(self.batches) if before is None or b < before]
-        return self.spark.read.parquet(*[f"{self.folder}/{b}" for b in names]) if names else None
+        self.batches: dict[str, int] = {} if folder is None else self._logged()
+
+    def _logged(self) -> dict[str, int]:
+        """Numbers of the committed batches."""
+        try:
+            rows = self.spark.read.schema(LOG).parquet(f"{self.folder}/commits").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = []
+        return {r.batch: r.number for r in rows}
+
+    def _deltas(self, before: int | None = None) -> DataFrame | None:
+        numbers = [n for n in sorted(self.batches.values()) if before is None or n < before]
+        return self.spark.read.parquet(*[f"{self.folder}/deltas-{n}" for n in numbers]) if numbers else None
 
     def commit(self, batch: str, changes: DataFrame) -> None:
         """``changes``: doc_id, change, seq, text, source and lang. Committing a batch again replaces it."""
         wanted = changes.where(F.col("doc_id").isNotNull()).select("doc_id", "change", "seq", "text", F.col("source").cast("string"), F.col("lang").cast("string"))
         new = counted(wanted, self.counters)
         last = new.groupBy("doc_id").agg(F.max(F.struct("seq", "change", "tokens", "source", "lang")).alias("last")).select("doc_id", "last.*")
-        ledger = self._deltas(batch)
+        number = self.batches.get(batch, max(self.batches.values(), default=0) + 1)
+        ledger = self._deltas(number)
         now = last.where("change <> 'delete'").select("doc_id", "source", "lang", "tokens", F.lit(1).alias("sign"))
         if ledger is not None:
             # What each changed document counts for so far: deltas of one document cancel out but for its last state.
-            state = ledger.groupBy("doc_id", "source", "lang", "tokens").agg(F.sum("sign").alias("sign")).where("sign <> 0")
-            gone = state.join(last.select("doc_id"), "doc_id", "left_semi").select("doc_id", "source", "lang", "tokens", (-F.col("sign")).cast("int").alias("sign"))
+            changed = ledger.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+            state = changed.groupBy("doc_id", "source", "lang", "tokens").agg(F.sum("sign").alias("sign")).where("sign <> 0")
+            gone = state.select("doc_id", "source", "lang", "tokens", (-F.col("sign")).cast("int").alias("sign"))
             now = now.unionByName(gone)
-        now.write.mode("overwrite").parquet(f"{self.folder}/{batch}")
+        now.write.mode("overwrite").parquet(f"{self.folder}/deltas-{number}")
         if batch not in self.batches:
-            self.batches.append(batch)
+            self.spark.range(1).select(F.lit(number).cast("long").alias("number"), F.lit(batch).alias("batch")).write.mode("append").parquet(f"{self.folder}/commits")
+            self.batches[batch] = number
 
     def ledger(self) -> DataFrame:
         """What each document counts for at present."""
