@@ -37,7 +37,9 @@ URLS = [
 
 
 def test_url_identity(spark):
-    got = each(spark, [u[0] for u in URLS] + ["https://www.xing.com/jobs", None, "no url", ""], urls.identity)
+    values = [u[0] for u in URLS] + ["https://www.xing.com/jobs", None, "no url", ""]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, link string")
+    got = [r.identity for r in urls.with_identity(rows, "link").orderBy("i").collect()]
     for found, (url, *want) in zip(got, URLS, strict=False):
         assert [found.provider, found.tenant, found.external_id, found.found_on, found.hiring_company] == want, url
     assert got[-4].external_id == hashlib.sha1(b"https://xing.com/jobs").hexdigest()[:16]

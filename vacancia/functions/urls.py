@@ -1,12 +1,11 @@
-"""Identity of job URLs: host rules of applicant-tracking systems and job boards, as Column expressions."""
+"""Identity of job URLs: host rules of applicant-tracking systems and job boards."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Host suffixes of two labels, generic labels and path segments, referral parameters and aliases,
@@ -44,6 +43,10 @@ SUFFIX_SYSTEMS = {
     "teamtailor": ("teamtailor.com",), "workable": ("workable.com", "applytojob.com"), "jazzhr": ("jazz.co",), "recruitee": ("recruitee.com",), "bamboohr": ("bamboohr.com",),
     "icims": ("icims.com",), "jobvite": ("jobvite.com",), "breezyhr": ("breezy.hr",), "comeet": ("comeet.co",), "pinpoint": ("pinpoint.jobs",),
 }
+OWN_RULES = {
+    "ashbyhq.com": "ashby", "greenhouse.io": "greenhouse", "lever.co": "lever", "jobs.hr.cloud.sap": "successfactors", "jobs.hr.sapcloud.cn": "successfactors", "myworkdayjobs.com": "workday",
+    "jobs.personio.de": "personio", "jobs.personio.com": "personio", "smartrecruiters.com": "smartrecruiters", "join.com": "join",
+}
 AGENCIES = (
     "adecco.com", "randstad.com", "manpowergroup.com", "hays.com", "tietalent.com", "aerotek.com", "pagepersonnel.com", "michaelpage.com",
     "robertwalters.com", "kornferry.com", "reedglobal.com", "alfredtalke.com",
@@ -82,12 +85,6 @@ def matches_host(name: Column, domains: tuple[str, ...] | list[str]) -> Column:
     return reduce(or_, [(name == d) | name.endswith("." + d) for d in domains])
 
 
-def part_after(parts: Column, token: str) -> Column:
-    """The part that follows the first part equal to ``token``, whatever its case; null without one."""
-    at = F.array_position(F.transform(parts, F.lower), token.lower()).cast("int")
-    return F.when((at > 0) & (at < F.size(parts)), F.element_at(parts, F.when((at > 0) & (at < F.size(parts)), at + 1).otherwise(1)))
-
-
 def last_part(parts: Column) -> Column:
     return F.when(F.size(parts) > 0, F.element_at(parts, F.when(F.size(parts) > 0, -1).otherwise(1)))
 
@@ -137,87 +134,90 @@ def referral(url: Column) -> Column:
     return F.coalesce(*[F.nullif(source_name(parameter(url, k)), F.lit("")) for k in REFERRAL_KEYS])
 
 
+def _by_domain(name: Column, values: dict[str, str]) -> Column:
+    """What a host's domain stands for: its last two, three or four labels are looked up, longer ones first."""
+    table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return F.coalesce(*[F.try_element_at(table, F.substring_index(name, ".", -n)) for n in (4, 3, 2)])
+
+
 def agency(name: Column) -> Column:
-    out = None
-    for d in AGENCIES:
-        test, value = matches_host(name, [d]), d.split(".")[0]
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out
+    return _by_domain(name, {d: d.split(".")[0] for d in AGENCIES})
 
 
 def is_generic(segment: Column) -> Column:
     return F.lower(segment).isin(*dict.fromkeys(GENERIC_SEGMENTS + GENERIC_LABELS))
 
 
-@dataclass(frozen=True)
-class Rule:
-    """Whether a URL is a system's, and what identifies its job there."""
-
-    applies: Column
-    provider: Column
-    tenant: Column
-    job: Column
-    board: bool = False
-    company: Column | None = None
-
-
-def _rules(url: Column) -> list[Rule]:
-    name, parts = host(url), path_parts(url)
-    label = F.split_part(name, F.lit("."), F.lit(1))
-    last, none, spare = last_part(parts), F.lit(""), path_hash(url)
-    rules = []
-
-    on_jobs = (label == "jobs") & (F.size(parts) >= 2)
-    tenant = F.when(on_jobs, first_part(parts)).when(label != "ashbyhq", label).otherwise(none)
-    rules.append(Rule(matches_host(name, ["ashbyhq.com"]), F.lit("ashby"), tenant, F.when(on_jobs, first_part(parts, 2)).otherwise(last)))
-
-    named = F.when(~F.lower(first_part(parts)).isin("jobs", "job", "embed"), first_part(parts))
-    tenant = F.coalesce(parameter(url, "for"), part_after(parts, "boards"), named)
-    rules.append(Rule(matches_host(name, ["greenhouse.io"]), F.lit("greenhouse"), tenant, F.coalesce(parameter(url, "token"), part_after(parts, "jobs"), last)))
-
-    prefix = F.when(name == "lever.co", none).otherwise(label)
-    rules.append(Rule(matches_host(name, ["lever.co"]), F.lit("lever"), F.when(prefix == "jobs", first_part(parts)).otherwise(prefix), F.when(prefix == "jobs", first_part(parts, 2)).otherwise(last)))
-
-    number = F.nullif(F.regexp_extract(last, r"^([0-9]+)-[a-z]{2}_[A-Z]{2}$", 1), F.lit(""))
-    shaped = (F.size(parts) >= 3) & (F.lower(F.get(parts, F.size(parts) - 3)) == "job") & number.isNotNull()
-    hosted = name.endswith(".jobs.hr.cloud.sap") | name.endswith(".jobs.hr.sapcloud.cn")
-    rules.append(Rule(hosted & shaped, F.lit("successfactors"), name, number, company=label))
-
-    rules.append(Rule(matches_host(name, ["myworkdayjobs.com"]), F.lit("workday"), label, last))
-    rules.append(Rule(matches_host(name, ["jobs.personio.de", "jobs.personio.com"]), F.lit("personio"), label, last))
-    tenant = F.coalesce(part_after(parts, "SmartRecruiters"), part_after(parts, "company"))
-    rules.append(Rule(matches_host(name, ["smartrecruiters.com"]), F.lit("smartrecruiters"), tenant, F.coalesce(part_after(parts, "job"), last)))
-    number = F.nullif(F.regexp_extract(last, r"^(\d+)(?:-|$)", 1), F.lit(""))
-    rules.append(Rule(matches_host(name, ["join.com"]), F.lit("join"), part_after(parts, "companies"), F.coalesce(number, last)))
-
-    for provider, domains in SUFFIX_SYSTEMS.items():
-        tenant = none if provider == "icims" else F.when(matches_host(name, ["applytojob.com"]), none).otherwise(label)
-        rules.append(Rule(matches_host(name, domains), F.lit(provider), tenant, F.coalesce(part_after(parts, "jobs"), last)))
-
-    for provider, domains in BOARDS.items():
-        if provider == "linkedin":
-            job = F.coalesce(part_after(parts, "view"), last)
-            job = F.when(job.rlike("^[0-9]{6,}$"), job)
-        elif provider == "indeed":
-            job = F.coalesce(parameter(url, "jk"), parameter(url, "vjk"), last)
-        else:
-            job = F.when(~is_generic(last), last)
-        rules.append(Rule(matches_host(name, domains), F.lit(provider), none, job, board=True))
-
-    job = F.coalesce(part_after(parts, "job"), F.when(~is_generic(last), last))
-    rules.append(Rule(F.lit(True), provider_of_host(name), none, job, company=F.when(agency(name).isNull(), company_of_host(name))))
-    return [Rule(r.applies, r.provider, F.coalesce(r.tenant, none), F.coalesce(F.nullif(r.job, none), spare), r.board, r.company) for r in rules]
-
-
-def identity(url: Column) -> Column:
-    """Struct of provider, tenant, external_id, found_on, hiring and posting company; null without a host."""
-    name, out = host(url), None
-    for r in _rules(url):
-        company = r.company if r.company is not None else F.lit(None).cast("string") if r.board else F.nullif(r.tenant, F.lit(""))
-        found = F.coalesce(referral(url), r.provider if r.board else F.lit("corporate-site"))
-        item = F.struct(r.provider.alias("provider"), r.tenant.alias("tenant"), r.job.alias("external_id"), found.alias("found_on"), company.alias("hiring_company"), agency(name).alias("posting_company"))
-        out = F.when(r.applies, item) if out is None else out.when(r.applies, item)
-    return F.when(name != "", out)
+def system_of_host(name: Column) -> Column:
+    """The applicant-tracking system or job board that a host belongs to, null for any other host."""
+    shared = {**SUFFIX_SYSTEMS, **BOARDS}
+    return _by_domain(name, {**OWN_RULES, **{d: system for system, domains in shared.items() for d in domains}})
+
+
+def with_identity(rows: DataFrame, url: str = "url", into: str = "identity") -> DataFrame:
+    """``rows`` with a struct of provider, tenant, external_id, found_on, hiring and posting company; null without a host.
+
+    Host, path and parameters are columns of their own first, so that no rule takes a URL apart again.
+    """
+    u, c = F.col(url), lambda name: F.col(f"__url_{name}")
+    stages: list[dict[str, Column]] = [
+        {"host": host(u), "parts": path_parts(u), "spare": path_hash(u), "referral": referral(u), "for": parameter(u, "for"), "token": parameter(u, "token"), "key": F.coalesce(parameter(u, "jk"), parameter(u, "vjk"))},
+        {"label": F.split_part(c("host"), F.lit("."), F.lit(1)), "low": F.transform(c("parts"), F.lower), "n": F.size(c("parts")), "last": last_part(c("parts")), "system": system_of_host(c("host")), "agency": agency(c("host"))},
+    ]
+    number = F.nullif(F.regexp_extract(c("last"), r"^([0-9]+)-[a-z]{2}_[A-Z]{2}$", 1), F.lit(""))
+    shaped = (c("n") >= 3) & (F.get(c("low"), c("n") - 3) == "job") & number.isNotNull() & ~c("host").isin("jobs.hr.cloud.sap", "jobs.hr.sapcloud.cn")
+    told = F.when(~is_generic(c("last")), c("last"))
+
+    def after(token: str) -> Column:
+        at = F.array_position(c("low"), token)
+        return F.when(at > 0, F.get(c("parts"), at.cast("int")))
+
+    first, second = first_part(c("parts")), first_part(c("parts"), 2)
+    stages.append({"after_job": after("job"), "after_jobs": after("jobs"), "number": number, "told": told, "system": F.when((c("system") != "successfactors") | F.coalesce(shaped, F.lit(False)), c("system")), "first": first, "second": second})
+
+    system, label, last = c("system"), c("label"), c("last")
+    on_jobs = (label == "jobs") & (c("n") >= 2)
+    whole = c("host") == "lever.co"
+    tenant = (
+        F.when(system == "ashby", F.when(on_jobs, c("first")).when(label != "ashbyhq", label))
+        .when(system == "greenhouse", F.coalesce(c("for"), after("boards"), F.when(~F.lower(c("first")).isin("jobs", "job", "embed"), c("first"))))
+        .when(system == "lever", F.when(whole, None).when(label == "jobs", c("first")).otherwise(label))
+        .when(system == "successfactors", c("host"))
+        .when(system.isin("workday", "personio"), label)
+        .when(system == "smartrecruiters", F.coalesce(after("smartrecruiters"), after("company")))
+        .when(system == "join", after("companies"))
+        .when((system == "icims") | matches_host(c("host"), ["applytojob.com"]), None)
+        .when(system.isin(*SUFFIX_SYSTEMS), label)
+    )
+    job = (
+        F.when(system == "ashby", F.when(on_jobs, c("second")).otherwise(last))
+        .when(system == "greenhouse", F.coalesce(c("token"), c("after_jobs"), last))
+        .when(system == "lever", F.when(~whole & (label == "jobs"), c("second")).otherwise(last))
+        .when(system == "successfactors", c("number"))
+        .when(system.isin("workday", "personio"), last)
+        .when(system == "smartrecruiters", F.coalesce(c("after_job"), last))
+        .when(system == "join", F.coalesce(F.nullif(F.regexp_extract(last, r"^(\d+)(?:-|$)", 1), F.lit("")), last))
+        .when(system.isin(*SUFFIX_SYSTEMS), F.coalesce(c("after_jobs"), last))
+        .when(system == "linkedin", F.regexp_extract(F.coalesce(after("view"), last), "^[0-9]{6,}$", 0))
+        .when(system == "indeed", F.coalesce(c("key"), last))
+        .when(system.isin(*BOARDS), c("told"))
+        .otherwise(F.coalesce(c("after_job"), c("told")))
+    )
+    stages.append({"tenant": F.coalesce(tenant, F.lit("")), "job": F.coalesce(F.nullif(job, F.lit("")), c("spare")), "board": F.coalesce(system.isin(*BOARDS), F.lit(False))})
+    company = (
+        F.when(c("board"), None)
+        .when(system == "successfactors", label)
+        .when(system.isNotNull(), F.nullif(c("tenant"), F.lit("")))
+        .when(c("agency").isNull(), company_of_host(c("host")))
+    )
+    found = F.coalesce(c("referral"), F.when(c("board"), system), F.lit("corporate-site"))
+    provider = F.coalesce(system, provider_of_host(c("host")))
+    item = F.struct(provider.alias("provider"), c("tenant").alias("tenant"), c("job").alias("external_id"), found.alias("found_on"), company.alias("hiring_company"), c("agency").alias("posting_company"))
+    out = rows
+    for stage in stages:
+        out = out.withColumns({f"__url_{name}": value for name, value in stage.items()})
+    out = out.withColumn(into, F.when(c("host") != "", item))
+    return out.drop(*{f"__url_{name}" for stage in stages for name in stage})
 
 
 def is_public(url: Column) -> Column:

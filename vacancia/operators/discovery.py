@@ -135,12 +135,13 @@ def gate(candidates: DataFrame, tests: Sequence[tuple[str, Column]]) -> DataFram
     """
     missing = F.when(F.trim(F.coalesce("title", F.lit(""))) == "", "missing_title").when(F.trim(F.coalesce("company", F.lit(""))) == "", "missing_company").when(~valid_url(F.col("url")), "missing_or_invalid_url")
     rows = candidates.withColumn("_missing", missing)
-    w = Window.partitionBy("url", F.col("_missing").isNull()).orderBy("sequence")
-    rows = rows.withColumn("_again", F.row_number().over(w) > 1)
-    reason = F.when(F.col("_missing").isNotNull(), F.col("_missing")).when(F.col("_again"), "duplicate_url_in_run")
+    whole = rows.where(F.col("_missing").isNull()).withColumn("_again", F.row_number().over(Window.partitionBy("url").orderBy("sequence")) > 1)
+    reason = F.when(F.col("_again"), "duplicate_url_in_run")
     for name, passes in tests:
         reason = reason.when(~passes, name)
-    return rows.withColumn("reject_reason", reason).drop("_missing", "_again")
+    judged = whole.withColumn("reject_reason", reason).drop("_missing", "_again")
+    # Rows without a URL of their own may be many; they pass by the window.
+    return judged.unionByName(rows.where(F.col("_missing").isNotNull()).withColumn("reject_reason", F.col("_missing")).drop("_missing"))
 
 
 def capped(rows: DataFrame, order: str, most: int, into: str, value: str) -> DataFrame:

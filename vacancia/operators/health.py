@@ -83,21 +83,23 @@ def _flags(results: DataFrame) -> DataFrame:
     return results.withColumns({"_attempted": F.col("status") != "skipped", "_durable": is_durable(e, h), "_transient": is_transient(F.col("status"), e, h)})
 
 
-def breaker(results: DataFrame, p: Policy = Policy()) -> DataFrame:
+def breaker(results: DataFrame, p: Policy = Policy(), block: int = 1 << 20) -> DataFrame:
     """Each result with the first reason for which its partition's breaker opened before it, if any.
 
     Results count in the order of ``sequence``. A partition's breaker opens at the first result after which a threshold
     holds; later results are skipped by it and count no more.
     """
-    f = _flags(results)
-    counts = f["_attempted"]
-    w = Window.partitionBy("health_partition").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
-    running = f.select(
-        "sequence", "health_partition", "status", "error_class",
-        F.sum(counts.cast("int")).over(w).alias("requests"),
-        F.sum(F.coalesce(counts & (F.col("error_class") == "rate_limited"), F.lit(False)).cast("int")).over(w).alias("rate_limited"),
-        F.sum((counts & F.col("_transient")).cast("int")).over(w).alias("transient"),
-    )
+    attempted = F.col("_attempted")
+    each = {"requests": attempted, "rate_limited": F.coalesce(attempted & (F.col("error_class") == "rate_limited"), F.lit(False)), "transient": attempted & F.col("_transient")}
+    f = _flags(results).select("sequence", "health_partition", "status", "error_class", F.expr(f"sequence div {block}").alias("_block"), *[v.cast("int").alias(c) for c, v in each.items()])
+    # Partitions are few and large: sums by blocks of the sequence first, then running sums within a block.
+    upto = Window.partitionBy("health_partition").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = f.groupBy("health_partition", "_block").agg(*[F.sum(c).alias(f"_{c}") for c in each])
+    before = sums.select("health_partition", "_block", *[F.coalesce(F.sum(f"_{c}").over(upto), F.lit(0)).alias(f"_{c}") for c in each])
+    w = Window.partitionBy("health_partition", "_block").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
+    inside = f.withColumns({c: F.sum(c).over(w) for c in each})
+    same = inside["health_partition"].eqNullSafe(before["health_partition"]) & inside["_block"].eqNullSafe(before["_block"])
+    running = inside.join(before, same).select("sequence", inside["health_partition"], "status", "error_class", *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in each])
     reason = (
         F.when(F.col("rate_limited") >= p.rate_limit_threshold, "rate_limit_threshold")
         .when(F.col("transient") >= p.transient_threshold, "transient_error_threshold")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacancia.operators.numbering import numbered
+
 BUCKETS = ("recent_activity", "recovery", "dead_reprobe", "long_empty", "healthy")
 MAINTENANCE = ("recovery", "dead_reprobe", "long_empty")
 
@@ -35,11 +37,16 @@ def first_wins(targets: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return targets.withColumn("duplicate", F.row_number().over(w) > 1)
 
 
-def schedule_rank(targets: DataFrame) -> DataFrame:
-    """``targets`` with ``rank`` in their provider and bucket: longest due, longest not tried, then by a hash of the name."""
+def schedule_rank(targets: DataFrame, most: int | None = None) -> DataFrame:
+    """``targets`` with ``rank`` in their provider and bucket: longest due, longest not tried, then by a hash of the name.
+
+    With ``most``, only the first ones of each are kept; Spark drops the others before it shuffles."""
     name = F.sha2(F.concat(F.col("provider"), F.decode(F.unhex(F.lit("00")), "UTF-8"), F.lower("tenant")), 256)
-    w = Window.partitionBy("provider", "bucket").orderBy(F.col("next_at").asc_nulls_first(), F.col("last_attempt_at").asc_nulls_first(), name, "tenant")
-    return targets.withColumn("rank", F.row_number().over(w))
+    order = [F.col("next_at").asc_nulls_first(), F.col("last_attempt_at").asc_nulls_first(), name, "tenant"]
+    if most is None:
+        return numbered(targets, order, "rank", ["provider", "bucket"])
+    w = Window.partitionBy("provider", "bucket").orderBy(*order)
+    return targets.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
 def healthy_reservation(healthy: Column, due_recent: Column, most: Column, days: int) -> Column:
@@ -114,7 +121,7 @@ def plan(targets: DataFrame, now: Column, day: int, most: int, budgets: dict[str
         quotas[p] = min(healthy["due"] if healthy else 0, wanted, max(0, budgets[p] - (recent["due"] if recent else 0)))
     got = allot({key: r["due"] for key, r in counts.items()}, quotas, budgets, most, day)
     limits = targets.sparkSession.createDataFrame([(p, b, n) for (p, b), n in sorted(got.items()) if n] or [("", "", 0)], "provider string, bucket string, allotted int")
-    chosen = schedule_rank(due).join(F.broadcast(limits), ["provider", "bucket"]).where("rank <= allotted")  # a row a provider and bucket
+    chosen = schedule_rank(due, max(got.values(), default=0)).join(F.broadcast(limits), ["provider", "bucket"]).where("rank <= allotted")  # a row a provider and bucket
     order = F.array_position(F.array(*map(F.lit, BUCKETS)), F.col("bucket"))
     return chosen.select("provider", "tenant", "bucket", "rank", F.struct(order, "rank", "provider").alias("turn"))
 

@@ -42,10 +42,15 @@ def task_decision(slot: Column, completed_slot: Column, completed_at: Column, at
 
 
 def retained(runs: DataFrame, kind: str, started_at: str, run_id: str, now: Column, least_runs: int, most_days: int) -> DataFrame:
-    """``runs`` with ``keep``: the newest few of each kind, and all that are young enough."""
-    w = Window.partitionBy(kind).orderBy(F.col(started_at).desc(), F.col(run_id).desc())
+    """``runs`` with ``keep``: the newest few of each kind, and all that are young enough.
+
+    The oldest of a kind's newest few is found by a limited rank, so that no task holds all runs of a kind."""
+    place = F.struct(started_at, run_id)
+    newest = runs.select(kind, place.alias("_place")).select(kind, "_place", F.row_number().over(Window.partitionBy(kind).orderBy(F.col("_place").desc())).alias("_nth")).where(F.col("_nth") <= least_runs)
+    last = newest.groupBy(F.col(kind).alias("_kind")).agg(F.min("_place").alias("_last"))
     young = F.col(started_at) > now - F.expr(f"INTERVAL '{most_days}' DAY")
-    return runs.withColumn("_nth", F.row_number().over(w)).withColumn("keep", (F.col("_nth") <= least_runs) | young).drop("_nth")
+    joined = runs.join(last, F.col(kind).eqNullSafe(F.col("_kind")), "left")
+    return joined.withColumn("keep", (place >= F.col("_last")) | young).drop("_kind", "_last")
 
 
 def _names(terms: tuple[str, ...]) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vacancia.operators import discovery as D
 from vacancia.operators import health as H
 from vacancia.operators import planning as P
+from vacancia.operators.numbering import numbered
 from vacancia.plans.fixtures import sql, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,10 +156,10 @@ def detail_gate(jobs: DataFrame) -> DataFrame:
     return D.capped(rows, "job_id", 50, "status", "skipped_limit").withColumn("status", F.coalesce("status", F.lit("fetch")))
 
 
-@query("SELECT DISTINCT job_id, u AS user_id FROM (SELECT job_id, unnest([job_id % 50, job_id % 77]) AS u FROM fx_jobs) WHERE u IN (SELECT c_custkey FROM customer WHERE c_custkey < 60)", "fx_jobs", "customer")
+@query("SELECT DISTINCT job_id, u AS user_id FROM (SELECT job_id, unnest([job_id % 50, job_id % 77]) AS u FROM fx_jobs) WHERE u IN (SELECT c_custkey FROM customer)", "fx_jobs", "customer")
 def compat_pairs(jobs: DataFrame, customer: DataFrame) -> DataFrame:
     imports = jobs.select("job_id", F.array(F.col("job_id") % 50, F.col("job_id") % 77).alias("matched_user_ids"))
-    return D.compatibility_pairs(imports, customer.where("c_custkey < 60").select(F.col("c_custkey").alias("user_id")))
+    return D.compatibility_pairs(imports, customer.select(F.col("c_custkey").alias("user_id")))
 
 
 DURABLE = "coalesce(error_class = 'http_4xx' AND http_status IN (404, 410), false)"
@@ -206,13 +207,15 @@ def run_summary(r: DataFrame) -> DataFrame:
     return H.run_summary(r)
 
 
-@query("""WITH t AS (SELECT sequence, 10 AS minimum_jobs, sequence % 3 AS minimum_details FROM fx_provider_results WHERE sequence % 50 = 0),
-    d AS (SELECT sequence, count(*) AS sampled, count(*) FILTER (WHERE k % 3 = 0) AS ready, count(*) FILTER (WHERE k % 3 > 0) AS unavailable FROM (SELECT sequence - sequence % 50 AS sequence, sequence AS k FROM fx_provider_results WHERE sequence % 50 IN (3, 7)) GROUP BY 1),
+@query("""WITH t AS (SELECT min(sequence) AS sequence, 10 AS minimum_jobs, min(sequence) % 3 AS minimum_details FROM fx_provider_results GROUP BY tenant),
+    d AS (SELECT first AS sequence, count(*) AS sampled, count(*) FILTER (WHERE k % 5 <> first % 5) AS ready, count(*) FILTER (WHERE k % 5 = first % 5) AS unavailable FROM (SELECT sequence AS k, min(sequence) OVER (PARTITION BY tenant) AS first FROM fx_provider_results) WHERE k <> first GROUP BY 1),
     j AS (SELECT t.sequence, coalesce(r.status = 'ok' AND jobs_returned >= 10, false) AS listed, CASE WHEN minimum_details <= 0 THEN 'not_required' WHEN coalesce(ready, 0) >= minimum_details THEN 'healthy' WHEN coalesce(sampled, 0) > 0 AND sampled = unavailable THEN 'inconclusive' ELSE 'degraded' END AS detail_state FROM t LEFT JOIN fx_provider_results r USING (sequence) LEFT JOIN d USING (sequence))
     SELECT sequence, detail_state, CASE WHEN NOT listed OR detail_state = 'degraded' THEN 'degraded' WHEN detail_state = 'inconclusive' THEN 'inconclusive' ELSE 'healthy' END AS verdict FROM j""", "fx_provider_results")
 def canary_verdict(r: DataFrame) -> DataFrame:
-    targets = r.where("sequence % 50 = 0").select("sequence", F.lit(10).alias("minimum_jobs"), (F.col("sequence") % 3).alias("minimum_details"))
-    details = r.where("sequence % 50 in (3, 7)").select((F.col("sequence") - F.col("sequence") % 50).cast("int").alias("sequence"), F.when(F.col("sequence") % 3 == 0, "ready").otherwise("unavailable").alias("detail"))
+    """The first result of each tenant is a canary, its other results are the details sampled."""
+    first = r.groupBy("tenant").agg(F.min("sequence").alias("first"))
+    targets = first.select(F.col("first").alias("sequence"), F.lit(10).alias("minimum_jobs"), (F.col("first") % 3).alias("minimum_details"))
+    details = r.join(first, "tenant").where("sequence <> first").select(F.col("first").alias("sequence"), F.when(F.col("sequence") % 5 != F.col("first") % 5, "ready").otherwise("unavailable").alias("detail"))
     return H.canary_verdict(targets, r, details)
 
 
@@ -285,10 +288,10 @@ def plan_order(supplier: DataFrame) -> DataFrame:
 
 @query(f"SELECT tenant, row_number() OVER (ORDER BY CASE bucket WHEN 'recent_activity' THEN 1 WHEN 'recovery' THEN 2 WHEN 'dead_reprobe' THEN 3 WHEN 'long_empty' THEN 4 ELSE 5 END, rank, provider) AS position FROM ({ORDERED})", "supplier")
 def plan_round_robin(supplier: DataFrame) -> DataFrame:
-    """Execution order: providers take turns within each bucket. Targets of one plan are few."""
+    """Execution order: providers take turns within each bucket."""
     ranked = P.schedule_rank(_targets(supplier).withColumn("bucket", P.bucket(F.col("health"))))
     turn = F.array_position(F.array(*map(F.lit, P.BUCKETS)), F.col("bucket"))
-    return ranked.select("tenant", F.row_number().over(Window.orderBy(turn, "rank", "provider")).alias("position"))
+    return numbered(ranked.select("tenant", turn.alias("turn"), "rank", "provider"), ["turn", "rank", "provider"], "position").select("tenant", "position")
 
 
 @query(None, "supplier")

@@ -68,7 +68,7 @@ VIEWS: dict[str, str] = {
           ts AS requested_at, ts + INTERVAL '20' MINUTE AS lease_until FROM events
     """,
     "fx_provider_results": """
-        SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS sequence,
+        SELECT l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS sequence,
           concat(lower(l_returnflag), ':', lower(l_linestatus)) AS health_partition, concat('tenant', l_suppkey) AS tenant,
           CASE WHEN l_linenumber = 7 THEN 'skipped' WHEN l_linenumber IN (5, 6) THEN 'error' ELSE 'ok' END AS status,
           CASE WHEN l_linenumber = 5 THEN 'rate_limited' WHEN l_linenumber = 6 THEN 'http_4xx' END AS error_class,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from vacancia.operators import events as E
 from vacancia.operators import reports, upserts
 from vacancia.plans.fixtures import sql, table, view
 from vacancia.sources import files
+from vacancia.sources.shared import new_folder
 from vacancia.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,22 +147,17 @@ def jsonld_postings(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.get_json_object(files.job_posting(F.concat("html", block)), "$.title").alias("title"))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-stream-')}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def stream_event_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events once a user and type within the watermark's delay, as a stream to its end."""
     schema = table(spark, sf_dir, "events").schema
     stream = ingest.deduplicated(ingest.read_events(spark, sf_dir, schema), ["user_id", "event_type"])
-    return ingest.to_table(stream.select("event_id", "user_id", "event_type"), _folder(spark, "dedupe")).select("event_id", "user_id", "event_type")
+    return ingest.to_table(stream.select("event_id", "user_id", "event_type"), new_folder(spark, "dedupe")).select("event_id", "user_id", "event_type")
 
 
 def stream_rolling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = ingest.rolling_counts(ingest.read_events(spark, sf_dir, schema))
-    rows = ingest.to_table(stream.select(F.col("window.end").alias("until"), "event_type", "n"), _folder(spark, "rolling"))
+    rows = ingest.to_table(stream.select(F.col("window.end").alias("until"), "event_type", "n"), new_folder(spark, "rolling"))
     return rows.select("until", "event_type", "n")
 
 

@@ -12,6 +12,7 @@ from vacancia.operators import discovery as D
 from vacancia.operators import eligibility, scheduling
 from vacancia.operators import health as H
 from vacancia.operators import upserts as U
+from vacancia.operators.numbering import numbered
 from vacancia.plans.fixtures import sql, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,13 +36,17 @@ def query(text: str | None, *sources: str) -> Callable:
     return register
 
 
-@query("""SELECT event_id, ((ts + INTERVAL '1' HOUR)::DATE - CASE WHEN (ts + INTERVAL '1' HOUR)::TIME < TIME '06:30:00' THEN 1 ELSE 0 END)::VARCHAR AS daily,
-    (CASE WHEN d = 0 AND (ts + INTERVAL '1' HOUR)::TIME < TIME '06:30:00' THEN (ts + INTERVAL '1' HOUR)::DATE - 7 ELSE (ts + INTERVAL '1' HOUR)::DATE - d END)::VARCHAR AS weekly FROM (SELECT *, CAST((isodow((ts + INTERVAL '1' HOUR)::DATE) - 1 - 2 + 7) % 7 AS INT) AS d FROM events WHERE ts < TIMESTAMP '2024-03-01')""", "events")
+def _last_sunday(month: int) -> str:
+    return f"(make_date(year(ts), {month}, 31) - CAST(isodow(make_date(year(ts), {month}, 31)) % 7 AS INT))::TIMESTAMP + INTERVAL '1' HOUR"
+
+
+@query(f"""WITH l AS (SELECT event_id, ts + CASE WHEN ts >= {_last_sunday(3)} AND ts < {_last_sunday(10)} THEN INTERVAL '2' HOUR ELSE INTERVAL '1' HOUR END AS t FROM events)
+    SELECT event_id, (t::DATE - CASE WHEN t::TIME < TIME '06:30:00' THEN 1 ELSE 0 END)::VARCHAR AS daily,
+    (CASE WHEN d = 0 AND t::TIME < TIME '06:30:00' THEN t::DATE - 7 ELSE t::DATE - d END)::VARCHAR AS weekly FROM (SELECT *, CAST((isodow(t::DATE) - 1 - 2 + 7) % 7 AS INT) AS d FROM l)""", "events")
 def schedule_slots(events: DataFrame) -> DataFrame:
-    """Slots of winter days in Berlin, an hour ahead of UTC: daily at 6:30, weekly on Wednesdays."""
-    rows = events.where(F.col("ts") < F.lit("2024-03-01").cast("timestamp_ntz"))
+    """Slots in Berlin, an hour ahead of UTC and two in summer: daily at 6:30, weekly on Wednesdays."""
     slot = lambda day=None: scheduling.latest_slot(F.col("ts"), "Europe/Berlin", 6, 30, day).cast("string")
-    return rows.select("event_id", slot().alias("daily"), slot(2).alias("weekly"))
+    return events.select("event_id", slot().alias("daily"), slot(2).alias("weekly"))
 
 
 @query(f"SELECT run_id, CASE WHEN run_id % 9 = 0 THEN 'run' WHEN run_id % 4 = 0 THEN 'already_completed' WHEN requested_at > {NOW} - INTERVAL '2880' MINUTE THEN 'skipped_minimum_spacing' WHEN run_id % 5 >= 3 THEN 'retry_exhausted' ELSE 'run' END AS decision FROM fx_runs", "fx_runs")
@@ -132,12 +137,9 @@ def median_of_counts(jobs: DataFrame) -> DataFrame:
 
 @query("SELECT sequence, phase, row_number() OVER (ORDER BY phase, sequence) AS position FROM (SELECT sequence, CASE WHEN sequence % 6 = 0 THEN 0 ELSE 1 END AS phase FROM fx_candidates)", "fx_candidates")
 def two_phase_order(c: DataFrame) -> DataFrame:
-    """Priority targets before normal ones, each in sequence. Targets of one run are few."""
-    from pyspark.sql import Window
-
-    first = c.where("sequence % 6 = 0").select("sequence", F.lit(0).alias("phase"))
-    rows = first.unionByName(c.where("sequence % 6 <> 0").select("sequence", F.lit(1).alias("phase")))
-    return rows.withColumn("position", F.row_number().over(Window.orderBy("phase", "sequence")))
+    """Priority targets before normal ones, each in sequence."""
+    rows = c.select("sequence", F.when(F.col("sequence") % 6 == 0, 0).otherwise(1).alias("phase"))
+    return numbered(rows, ["phase", "sequence"], "position")
 
 
 @query("SELECT user_id, job_id, status FROM (SELECT us.user_id, us.job_id, us.status, row_number() OVER (PARTITION BY us.user_id ORDER BY j.created_at DESC, j.job_id DESC) AS rn FROM fx_user_job_status us JOIN fx_jobs j USING (job_id) WHERE NOT is_deleted) WHERE rn <= 5", "fx_user_job_status", "fx_jobs")

@@ -67,8 +67,40 @@ FIRST = f"string_split({HOST}, '.')"
 )
 def url_identity(pages: DataFrame) -> DataFrame:
     """Identity of the pages' URLs, all of which are of the generic kind; tests hold the systems' own rules."""
-    found = urls.identity(F.col("url"))
-    return pages.select("page_id", *[found[c].alias(c) for c in ("provider", "tenant", "external_id", "found_on", "hiring_company")])
+    found = urls.with_identity(pages.select("page_id", "url"))
+    return found.select("page_id", *[F.col(f"identity.{c}").alias(c) for c in ("provider", "tenant", "external_id", "found_on", "hiring_company")])
+
+
+#: URLs of systems and boards, with @ for the page's id, and what identifies the job there.
+SYSTEM_URLS = [
+    ("https://boards.greenhouse.io/acme@/jobs/4@?source=LinkedIn", "greenhouse", "acme@", "4@", "linkedin", "acme@"),
+    ("https://boards.greenhouse.io/embed/job_app?for=acme@&token=7@", "greenhouse", "acme@", "7@", "corporate-site", "acme@"),
+    ("https://jobs.eu.lever.co/acme@/ab-@", "lever", "acme@", "ab-@", "corporate-site", "acme@"),
+    ("https://acme@.lever.co/ab-@?ref=li", "lever", "acme@", "ab-@", "linkedin", "acme@"),
+    ("https://acme@.wd3.myworkdayjobs.com/en/site/job/Berlin/Dev_R-@", "workday", "acme@", "Dev_R-@", "corporate-site", "acme@"),
+    ("https://jobs.ashbyhq.com/acme@/id-@/application", "ashby", "acme@", "id-@", "corporate-site", "acme@"),
+    ("https://acme@.jobs.personio.de/job/9@", "personio", "acme@", "9@", "corporate-site", "acme@"),
+    ("https://jobs.smartrecruiters.com/company/acme@/job/5@", "smartrecruiters", "acme@", "5@", "corporate-site", "acme@"),
+    ("https://join.com/companies/acme@/12@-dev", "join", "acme@", "12@", "corporate-site", "acme@"),
+    ("https://acme@.jobs.hr.cloud.sap/site/job/Engineer/55@-de_DE", "successfactors", "acme@.jobs.hr.cloud.sap", "55@", "corporate-site", "acme@"),
+    ("https://acme@.recruitee.com/o/jobs/dev-@", "recruitee", "acme@", "dev-@", "corporate-site", "acme@"),
+    ("https://www.linkedin.com/jobs/view/381234@", "linkedin", "", "381234@", "linkedin", None),
+    ("https://de.indeed.com/viewjob?vjk=k@&utm_source=xing", "indeed", "", "k@", "xing", None),
+    ("https://www.stepstone.de/stellenangebote/dev-@", "stepstone", "", "dev-@", "stepstone", None),
+    ("https://www.reed.co.uk/jobs/dev-@", "reed", "", "dev-@", "reed", None),
+]
+
+
+def _cases(nth: int) -> str:
+    return "CASE page_id % 15 " + " ".join(f"WHEN {k} THEN " + ("NULL" if row[nth] is None else f"replace('{row[nth]}', '@', CAST(page_id AS VARCHAR))") for k, row in enumerate(SYSTEM_URLS)) + " END"
+
+
+@query("SELECT page_id, " + ", ".join(f"{_cases(n)} AS {c}" for n, c in enumerate(("provider", "tenant", "external_id", "found_on", "hiring_company"), 1)) + " FROM pages", "pages")
+def url_identity_systems(pages: DataFrame) -> DataFrame:
+    shapes = F.array(*[F.lit(row[0]) for row in SYSTEM_URLS])
+    url = F.replace(F.element_at(shapes, (F.col("page_id") % 15 + 1).cast("int")), F.lit("@"), F.col("page_id").cast("string"))
+    found = urls.with_identity(pages.select("page_id", url.alias("url")))
+    return found.select("page_id", *[F.col(f"identity.{c}").alias(c) for c in ("provider", "tenant", "external_id", "found_on", "hiring_company")])
 
 
 @query(f"SELECT page_id, regexp_matches({HOST}, '^[a-z]') AS public FROM pages", "pages")
@@ -177,7 +209,7 @@ def cefr_normalise(lineitem: DataFrame) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT o_orderkey AS job_id, o_custkey % 50 AS applicant, CASE o_orderkey % 3 WHEN 0 THEN 'German' ELSE 'English' END AS language, o_orderkey % 6 + 1 AS need FROM orders UNION ALL SELECT o_orderkey, o_custkey % 50, 'French', 1 FROM orders WHERE o_orderkey % 7 = 0),
-    s AS (SELECT c_custkey % 50 AS applicant, CASE c_custkey % 3 WHEN 0 THEN 'German' WHEN 1 THEN 'English' ELSE 'French' END AS language, max(c_custkey % 6 + 1) AS have FROM customer WHERE c_custkey < 60 GROUP BY ALL)
+    s AS (SELECT c_custkey % 50 AS applicant, CASE c_custkey % 3 WHEN 0 THEN 'German' WHEN 1 THEN 'English' ELSE 'French' END AS language, max(c_custkey % 6 + 1) AS have FROM customer GROUP BY ALL)
     SELECT job_id, applicant, count(*) FILTER (WHERE NOT coalesce(have >= need, false)) AS missing, count(*) FILTER (WHERE coalesce(have >= need, false)) AS met, count(*) FILTER (WHERE NOT coalesce(have >= need, false)) > 0 AS disqualified FROM r LEFT JOIN s USING (applicant, language) GROUP BY ALL""", "orders", "customer")
 def language_gate(orders: DataFrame, customer: DataFrame) -> DataFrame:
     levels = F.array(*map(F.lit, scores.LEVELS))
@@ -185,7 +217,7 @@ def language_gate(orders: DataFrame, customer: DataFrame) -> DataFrame:
     need = orders.select(job, who, F.when(F.col("o_orderkey") % 3 == 0, "german").otherwise("ENGLISH").alias("language"), F.element_at(levels, (F.col("o_orderkey") % 6 + 1).cast("int")).alias("level"))
     need = need.unionByName(orders.where("o_orderkey % 7 = 0").select(job, who, F.lit("french").alias("language"), F.lit("A1").alias("level")))
     c = F.col("c_custkey")
-    have = customer.where(c < 60).select((c % 50).alias("applicant"), F.when(c % 3 == 0, "German").when(c % 3 == 1, "English").otherwise("French").alias("language"), F.element_at(levels, (c % 6 + 1).cast("int")).alias("level"))
+    have = customer.select((c % 50).alias("applicant"), F.when(c % 3 == 0, "German").when(c % 3 == 1, "English").otherwise("French").alias("language"), F.element_at(levels, (c % 6 + 1).cast("int")).alias("level"))
     return scores.language_gate(need, have, "job_id", "applicant")
 
 

@@ -56,8 +56,9 @@ def catalogue_items(rows: DataFrame, order: str) -> DataFrame:
     named = rows.withColumn("slug", F.lower(F.trim("slug")))
     reason = F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "missing_name").when(~valid_slug(F.col("slug")), "invalid_slug")
     judged = named.withColumn("reason", reason)
-    w = Window.partitionBy("slug", F.col("reason").isNull()).orderBy(order)
-    return judged.withColumn("verdict", F.when(F.col("reason").isNotNull(), "rejected").when(F.row_number().over(w) > 1, "duplicate").otherwise("accepted"))
+    w = Window.partitionBy("slug").orderBy(order)
+    good = judged.where(F.col("reason").isNull()).withColumn("verdict", F.when(F.row_number().over(w) > 1, "duplicate").otherwise("accepted"))
+    return good.unionByName(judged.where(F.col("reason").isNotNull()).withColumn("verdict", F.lit("rejected")))  # they may share a slug
 
 
 def build_counts(items: DataFrame) -> DataFrame:
