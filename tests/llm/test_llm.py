@@ -92,18 +92,26 @@ def test_substrings_against_all_windows(spark, texts):
 
 
 def test_lines_against_all_windows(spark, texts):
-    first, lines = {}, []
+    long = "one long line that stands alone in two documents, far from any other"
+    pieces = [["p q", "r s", "t u"], ["u v", "r s", "t u", "x y"], ["p q", "r s", "z z"], ["u v", "r s", "t u"], ["r s", "t u", "x y"], [long], ["b c", long, long], ["r s", "t u"]]
+    texts = [*texts, *("\n".join(p) for p in pieces), "r s\nt u\n" * 3000]
+    first, lines, one = {}, [], {}
     for i, t in enumerate(texts):
         own = [(n, x) for n, x in enumerate((t or "").split("\n")) if x.strip()]
         lines.append(own)
         for k in range(len(own) - 2):
             first.setdefault(tuple(x for _, x in own[k : k + 3]), (i, k))
+        for k, (_, x) in enumerate(own):
+            one.setdefault(x, (i, k))
     want = {}
     for i, (t, own) in enumerate(zip(texts, lines, strict=True)):
         gone = {own[k + d][0] for k in range(len(own) - 2) if first[tuple(x for _, x in own[k : k + 3])] < (i, k) for d in range(3)}
+        gone |= {n for k, (n, x) in enumerate(own) if len(x.encode()) >= 40 and one[x] < (i, k)}
         want[i] = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
     done = line_dedup.remove_repeats(frame(spark, texts))
     rows = done.collect()
+    few = line_dedup.remove_repeats(frame(spark, texts).select("doc_id", "text", F.lit("mine").alias("FOUND"), F.lit("own").alias("n_lines"), F.lit(1).alias("first"))).collect()
+    assert {r.doc_id: (r.text, r.FOUND, r.n_lines, r.first, r.n_removed) for r in few} == {r.doc_id: (r.text, "mine", "own", 1, r.n_removed) for r in rows}
     assert {r.doc_id: r.text for r in rows} == want and sum(r.n_removed for r in rows) > 20
     assert [c for c in SCHEMA.replace(",", "").split() if c not in ("long", "string")] == done.columns[:-2]
 

@@ -1,4 +1,4 @@
-"""What several operators share: the cluster's folder, words and their hashes, segments of flat arrays.
+"""What several operators share: first places of keys, flags of ids, words and their hashes, segments of flat arrays.
 
 Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``. ``bytes.split()`` splits at exactly those
 bytes and ``bytes.lower()`` changes A-Z only, so both are used as they are.
@@ -6,42 +6,75 @@ bytes and ``bytes.lower()`` changes A-Z only, so both are used as they are.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from vacancia.sources.shared import new_folder, written
+
+__all__ = ["HOT", "U64", "WordHashes", "behind_first", "flagged", "fresh", "id_flags", "mix", "new_folder", "ranges", "signed", "slices", "utf8", "written"]
 
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, as ``spark.checkpoint.dir`` names it.
+HOT = 1000
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores behind it as long as a column is called so already, whatever its case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
 
-    A local folder stands in where the setting is absent, as in tests on one machine.
+def behind_first(rows: DataFrame, key: list[str], place: list[str], carried: tuple[str, ...] = ()) -> DataFrame:
+    """Those of ``rows``, a written table, that stand behind the first place of their key, with the struct ``first``.
+
+    First places come from an aggregation that Spark combines before it shuffles. Keys that hold a thousandth of the
+    rows or more are a thousand at most: their rows are joined by broadcast and don't move. The others are shuffled.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
+    first = rows.groupBy(*key).agg(F.min(F.struct(*place, *carried)).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = written(first, "first-places")
+    hot = F.col("n") >= F.lit(max(rows.count() // HOT, 2))
+    marked = rows.join(F.broadcast(first.where(hot).drop("n")), key, "left")
+    rest = marked.where("first is null").drop("first").join(first.where(~hot).drop("n"), key)
+    return marked.where("first is not null").unionByName(rest).where(F.struct(*place) > F.struct(*[F.col(f"first.{c}").alias(c) for c in place]))
+
+
+def id_flags(ids: DataFrame, bits: int = 26) -> Broadcast:
+    """2**bits flags, set where an id of ``ids`` (column doc_id) falls. Tasks set bits; the driver gets the flags only,
+    of one size however many ids there are."""
+    at = _flag_place(F.col("doc_id"), bits) + 1
+    pages = ids.where("doc_id is not null").groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("set"))
+    flags = np.zeros(max(1, (1 << bits) >> 15) << 12, dtype=np.uint8)
+    for row in pages.collect():  # 2**bits / 32,768 rows at most
+        flags[(row["page"] - 1) << 12 : row["page"] << 12] = np.frombuffer(row["set"], dtype=np.uint8)
+    return ids.sparkSession.sparkContext.broadcast((bits, flags))
+
+
+def _flag_place(doc_id: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(1 << bits))
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def flagged(docs: DataFrame, flags: Broadcast, wanted: bool) -> DataFrame:
+    """Rows whose doc_id falls on a set flag, as all ids do that set one, or the others. Nothing moves."""
+    bits = flags.value[0]
 
+    @F.pandas_udf("boolean")
+    def is_set(at: pd.Series) -> pd.Series:
+        place = at.fillna(-1).to_numpy(dtype=np.int64)
+        return pd.Series(((flags.value[1][place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1) & (place >= 0))
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there, and a lost executor loses nothing of it."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    test = is_set(F.when(F.col("doc_id").isNotNull(), _flag_place(F.col("doc_id"), bits)))
+    return docs.where(test if wanted else ~test)
 
 
 class WordHashes(dict):
