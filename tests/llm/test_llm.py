@@ -91,6 +91,52 @@ def test_substrings_against_all_windows(spark, texts):
     assert got == want and sum(v[1] for v in want.values()) > 100
 
 
+def test_long_passages_against_all_windows(spark):
+    rnd = random.Random(8)
+    words = [f"v{i}" for i in range(900)]
+    passage = [rnd.choice(words) for _ in range(400)]
+    docs = []
+    for i in range(40):
+        w = [rnd.choice(words) for _ in range(rnd.randint(0, 150))]
+        if i % 3 == 0:
+            a = rnd.randrange(300)
+            w[len(w) // 2 : len(w) // 2] = passage[a : a + rnd.randint(13, 100)]
+        docs.append(w)
+    docs += [passage, passage, passage[:200] + ["x"] + passage[200:], ["r"] * 70, ["r"] * 50 + ["s"], ["t", "u"] * 60]
+    first = {}
+    for i, w in enumerate(docs):
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    want = {}
+    for i, w in enumerate(docs):
+        gone = {j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
+        want[i] = (len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest())
+    table = frame(spark, [" ".join(w) for w in docs])
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(table).collect()} == want
+    rows = substring_dedup.named(table, 4)
+    assert substring_dedup.long_repeats(rows).count() > 5
+    clash = rows.where("doc_id is not null").withColumn("name", F.lit(7).cast("long"))
+    assert substring_dedup.long_repeats(substring_dedup.written(clash, "clash")).count() == substring_dedup.long_repeats(rows).count()
+
+
+def test_one_name_for_all_windows(spark):
+    """A name that spans pieces, and whose windows differ, is judged by the windows."""
+    rnd = random.Random(4)
+    rows, want, least = [], set(), {}
+    content = {d: [rnd.randrange(60) for _ in range(rnd.randint(1, 6))] for d in range(80)}
+    for d, hashes in content.items():
+        for h in hashes:
+            least[h] = min(d, least.get(h, d))
+    for d, hashes in content.items():
+        rows.append((7, d, (5 << 32) | 100, 0, b"".join(h.to_bytes(substring_dedup.HASH_BYTES, "little") for h in hashes)))
+        want |= {(d, j) for k, h in enumerate(hashes) if least[h] < d for j in range(100 + k, 113 + k)}
+    rows.append((8, 3, (5 << 32) | 500, 20, b""))
+    want |= {(3, j) for j in range(500, 520)}
+    filed = spark.createDataFrame(rows, "name long, doc_id long, place long, known int, hashes binary").repartition(3)
+    got = substring_dedup.repeated_spans(filed, partitions=2, piece=7).collect()
+    assert {(r.doc_id, j) for r in got for j in range(r.begin, r.end)} == want and {r.text_hash for r in got} == {5}
+
+
 def test_lines_against_all_windows(spark, texts):
     long = "one long line that stands alone in two documents, far from any other"
     pieces = [["p q", "r s", "t u"], ["u v", "r s", "t u", "x y"], ["p q", "r s", "z z"], ["u v", "r s", "t u"], ["r s", "t u", "x y"], [long], ["b c", long, long], ["r s", "t u"]]

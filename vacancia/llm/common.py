@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vacancia.sources.shared import new_folder, written
 
-__all__ = ["HOT", "U64", "WordHashes", "behind_first", "flagged", "fresh", "id_flags", "mix", "new_folder", "ranges", "signed", "slices", "utf8", "written"]
+__all__ = ["HOT", "U64", "WordHashes", "behind_first", "flagged", "fresh", "id_flags", "mix", "new_folder", "ranges", "signed", "slices", "utf8", "with_spans", "written"]
 
 U64 = np.uint64
 
@@ -77,6 +77,18 @@ def flagged(docs: DataFrame, flags: Broadcast, wanted: bool) -> DataFrame:
     return docs.where(test if wanted else ~test)
 
 
+def with_spans(docs: DataFrame, spans: DataFrame, name: str, bits: int = 26) -> DataFrame:
+    """``docs`` with column ``name``: the spans (text_hash, begin, end) of its doc_id, by text hash; null without any.
+
+    Rows that flags of fixed size show to have no span don't move; the others are joined with their spans.
+    """
+    by_text = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    by_id = by_text.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "spans")).alias(name))
+    flags = id_flags(spans, bits)
+    free = flagged(docs, flags, False).withColumn(name, F.lit(None).cast(by_id.schema[name].dataType))
+    return free.unionByName(flagged(docs, flags, True).join(by_id, "doc_id", "left").select(*free.columns))
+
+
 class WordHashes(dict):
     """XXH64 of each word. Holds at most ``most`` words, then starts anew."""
 

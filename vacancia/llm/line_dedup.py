@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import U64, behind_first, flagged, fresh, id_flags, slices, utf8, written
+from vacancia.llm.common import U64, behind_first, fresh, slices, utf8, with_spans, written
 
 RUN = 3
 LONG_BYTES = 40
@@ -142,11 +142,7 @@ def remove_repeats(docs: DataFrame, run: int = RUN, long_bytes: int = LONG_BYTES
     """
     spans = written(repeated_lines(docs, run, long_bytes), "line-spans")
     name = fresh("found", docs.columns)
-    by_text = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    by_id = by_text.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "spans")).alias(name))
-    flags = id_flags(spans)
-    free = flagged(docs, flags, False).withColumn(name, F.lit(None).cast(by_id.schema[name].dataType))
-    joined = free.unionByName(flagged(docs, flags, True).join(by_id, "doc_id", "left").select(*free.columns))
+    joined = with_spans(docs, spans, name)
     kept = docs.schema.fields
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     counts = [fresh(c, docs.columns) for c in ("n_lines", "n_removed")]
