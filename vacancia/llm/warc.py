@@ -4,15 +4,17 @@ Archives are gzip WARC/1.1 files of one member a record, in a folder that driver
 equal payloads the one of the smallest page_id is a response, the others are revisits that refer to it. A task that
 runs again writes new files; the index names only those of the attempt that Spark committed.
 
-The index sorts captures by reversed-host URL key and page_id over range partitions. A partition's entries lie in
-compressed blocks of ``BLOCK`` lines, and its directory has each block's first key. A lookup is dealt to its partition
-by the partitions' first keys (a row a partition), finds its block by binary search in the directory, decompresses
-that block only and searches it. What it finds is a file, an offset and a length, read as ranges in file order.
+The index has two levels. Captures are sorted by reversed-host URL key and page_id over range partitions; a partition's
+entries lie in a file of its own in compressed blocks of ``BLOCK`` lines. The directory, a small table, has each block's
+first key, file, offset and length. A lookup is dealt to its part of the directory by the parts' first keys (a row a
+part), finds the block by binary search, reads that range of the index file, decompresses it and searches it. What it
+finds is an archive, an offset and a length, read as ranges in file order.
 
 Payloads that a thousandth of the pages share, or more, are a thousand at most and found by broadcast; the others are
 joined by digest.
 
-Defined cases: a null html counts as empty. A null url has the empty key. Rows that repeat a page_id with the same
+Defined cases: page_id is an integer. A null html counts as empty; one of any length is a record of its own. A null url
+has the empty key. Rows that repeat a page_id with the same
 payload are records of the same type each; a null page_id is a revisit where another page has its payload and a
 response otherwise. Line breaks in a URL are percent-encoded. An empty table writes no archive and gives no rows.
 Columns beside page_id, url and html are left out, whatever their names.
@@ -148,64 +150,113 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, fil
     return written(captures.withColumn("file", F.concat(F.lit(folder + "/"), "file")), "warc-captures")
 
 
-def index(captures: DataFrame, block: int = BLOCK, partitions: int | None = None) -> DataFrame:
-    """The capture index: part, nth, first (key), entries, data. ``data`` holds a block's sorted lines, compressed."""
+def index(captures: DataFrame, block: int = BLOCK, partitions: int | None = None, folder: str | None = None) -> DataFrame:
+    """Writes the capture index; returns its directory: part, nth, first (key), entries, file, offset, length.
+
+    The files hold blocks of ``block`` sorted lines each, compressed, one behind the other.
+    """
     n = partitions or int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folder = folder or new_folder(captures.sparkSession, "warc-index")
     ordered = captures.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nth, lines = TaskContext.get().partitionId(), 0, []
-
-        def out(some: list[list]) -> pa.RecordBatch:
+        store, path = _open(folder)
+        part, nth, lines, at = TaskContext.get().partitionId(), 0, [], 0
+        name, out = f"part-{part:05d}-{uuid.uuid4().hex}.idx", None
+
+        def block_of(some: list[list]) -> tuple:
+            nonlocal out, at, nth
+            if out is None:
+                store.create_dir(path, recursive=True)
+                out = store.open_output_stream(f"{path}/{name}", compression=None)
             data = zlib.compress("\n".join(map(json.dumps, some)).encode(), 6)
-            columns = ([part], [nth], [some[0][0]], [len(some)], [data])
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.binary()), strict=True)], ["part", "nth", "first", "entries", "data"])
+            out.write(data)
+            found = (part, nth, some[0][0], len(some), f"{folder}/{name}", at, len(data))
+            at, nth = at + len(data), nth + 1
+            return found
 
-        for batch in batches:
-            lines += map(list, zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            while len(lines) >= block:
-                yield out(lines[:block])
-                lines, nth = lines[block:], nth + 1
-        if lines:
-            yield out(lines)
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], ["part", "nth", "first", "entries", "file", "offset", "length"])
+
+        try:
+            for batch in batches:
+                lines += map(list, zip(*(c.to_pylist() for c in batch.columns), strict=True))
+                full = len(lines) // block * block
+                if full:
+                    yield rows([block_of(lines[k : k + block]) for k in range(0, full, block)])
+                    lines = lines[full:]
+            if lines:
+                yield rows([block_of(lines)])
+        finally:
+            if out is not None:
+                out.close()
+
+    directory = ordered.select("key", "page_id", "file", "offset", "length").mapInArrow(run, "part int, nth int, first string, entries int, file string, offset long, length long")
+    return written(directory, "warc-directory")
 
-    return written(ordered.select("key", "page_id", "file", "offset", "length").mapInArrow(run, "part int, nth int, first string, entries int, data binary"), "warc-index")
 
+def lookup(directory: DataFrame, keys: DataFrame, group_keys: int = 100_000) -> DataFrame:
+    """Captures of each distinct ``key`` of ``keys``: key, page_id, file, offset, length.
 
-def lookup(blocks: DataFrame, keys: DataFrame) -> DataFrame:
-    """Captures of each distinct ``key`` of ``keys``: key, page_id, file, offset, length."""
+    Keys meet their part's directory, not its blocks, in groups of about ``group_keys``. The blocks that the binary search
+    names are read by range, each by one task, so that a key of many blocks is searched by many tasks.
+    """
     # One row a partition of the index; their number is a setting, not the data's size. Keys compare as UTF-8 bytes.
-    first = sorted((r["first"].encode("utf-8", "surrogatepass"), r["part"]) for r in blocks.groupBy("part").agg(F.min("first").alias("first")).collect())
+    first = sorted((r["first"].encode("utf-8", "surrogatepass"), r["part"]) for r in directory.groupBy("part").agg(F.min("first").alias("first")).collect())
     begins, parts = [k for k, _ in first], [p for _, p in first]
+    asked = written(keys.select("key").where("key is not null").distinct(), "warc-asked")
+    salts = max(1, asked.count() // (max(len(parts), 1) * group_keys))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for key in batch.column("key").to_pylist():
+            for key, salt in zip(batch.column("key").to_pylist(), batch.column("salt").to_pylist(), strict=True):
                 data = utf8(key)
                 # A key that many captures share may fill several partitions: from the one before its first on.
                 low, high = max(bisect.bisect_left(begins, data) - 1, 0), bisect.bisect_right(begins, data)
-                found += [(parts[i], key) for i in range(low, high)]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([k for _, k in found], pa.string())], ["part", "key"])
+                found += [(parts[i], salt, key) for i in range(low, high)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.string())], ["part", "salt", "key"])
 
-    def search(directory: pa.Table, wanted: pa.Table) -> pa.Table:
+    def search(blocks: pa.Table, wanted: pa.Table) -> pa.Table:
         rows = []
-        if directory.num_rows and wanted.num_rows:
-            directory = directory.sort_by("nth")
-            begin = [utf8(k) for k in directory.column("first").to_pylist()]
-            data, opened, entries, names = directory.column("data"), -1, [], []
-            for key in sorted(wanted.column("key").to_pylist(), key=utf8):
+        if blocks.num_rows and wanted.num_rows:
+            blocks = blocks.sort_by("nth")
+            begin = [utf8(k) for k in blocks.column("first").to_pylist()]
+            places = list(zip(*(blocks.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True))
+            for key in wanted.column("key").to_pylist():
                 raw = utf8(key)
-                for i in range(max(bisect.bisect_left(begin, raw) - 1, 0), bisect.bisect_right(begin, raw)):
-                    if i != opened:
-                        entries = [json.loads(x) for x in zlib.decompress(data[i].as_py()).split(b"\n")]
-                        names, opened = [utf8(e[0]) for e in entries], i
-                    rows += entries[bisect.bisect_left(names, raw) : bisect.bisect_right(names, raw)]
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "page_id", "file", "offset", "length"])
-
-    asked = keys.select("key").distinct().mapInArrow(route, "part int, key string")
-    return blocks.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(search, "key string, page_id long, file string, offset long, length long")
+                rows += [(key, *places[i]) for i in range(max(bisect.bisect_left(begin, raw) - 1, 0), bisect.bisect_right(begin, raw))]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "file", "offset", "length"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, source, at, entries, names = None, None, None, [], []
+        for batch in batches:
+            rows = []
+            for key, file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("key", "file", "offset", "length")), strict=True):
+                if file != opened:
+                    if source is not None:
+                        source.close()
+                    store, path = _open(file)
+                    opened, source, at = file, store.open_input_file(path), None
+                if offset != at:
+                    entries = [json.loads(x) for x in zlib.decompress(source.read_at(length, offset)).split(b"\n")]
+                    names, at = [utf8(e[0]) for e in entries], offset
+                raw = utf8(key)
+                rows += entries[bisect.bisect_left(names, raw) : bisect.bisect_right(names, raw)]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["key", "page_id", "file", "offset", "length"])
+        if source is not None:
+            source.close()
+
+    salted = asked.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).mapInArrow(route, "part int, salt int, key string")
+    copies = directory.select("part", "nth", "first", "file", "offset", "length", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    addressed = copies.groupBy("part", "salt").cogroup(salted.groupBy("part", "salt")).applyInArrow(search, "key string, file string, offset long, length long")
+    n = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = addressed.repartition(n, "file", "offset").sortWithinPartitions("file", "offset", "key")
+    return dealt.mapInArrow(scan, "key string, page_id long, file string, offset long, length long")
 
 
 def read(located: DataFrame, with_payload: bool = False, gap: int = 64 << 10, most: int = 4 << 20) -> DataFrame:
