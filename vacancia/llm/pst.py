@@ -3,7 +3,8 @@
 Contexts are the last 0 to ``depth`` words. A context becomes a state if it was seen ``min_count`` times in training,
 its own suffix is a state, and a divergence test holds: over its training occurrences, the log-likelihood under its
 next-word distribution (each occurrence left out of its own estimate) must exceed that under its suffix's
-distribution by ``min_gain`` nats. Distributions are smoothed towards the suffix's: (c(s,w) + mu * p(w|suffix)) /
+distribution by ``min_gain`` nats. Log-likelihoods of n-grams are rounded to 1/256 nat each before they are summed, so
+that the test doesn't depend on how documents are dealt. Distributions are smoothed towards the suffix's: (c(s,w) + mu * p(w|suffix)) /
 (c(s) + mu), down to the root's (c(w) + 0.1) / (N + 0.1 * (V + 1)). A word is scored in its longest suffix state.
 
 Nothing of the model is gathered in one place. Documents are dealt into chunks of about ``chunk_bytes``. Each chunk
@@ -11,7 +12,7 @@ asks for the global counts of its own distinct n-grams, each once; a second roun
 chunks by context; then the chunk scores its documents. Requests go to targets by n-gram hash, not by context, so a
 frequent context meets in no single task, and an n-gram arrives at most once a chunk.
 
-Defined cases: a null text counts as empty and scores its end token alone. A null doc_id is held out. Repeated rows
+Defined cases: a null text counts as empty and scores its end token alone; texts of any length are taken whole. A null doc_id is held out. Repeated rows
 count and score as often as they stand there. An empty table gives an empty result. Without any training document
 every token is unknown, V and N are 0. Columns beside doc_id and text are left out, whatever their names.
 """
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from vacancia.llm.common import U64, WordHashes, mix, slices, utf8
 
 END = U64(0x5851F42D4C957F2D)
+UNIT = 256  # of the test's sums, a nat
 _HASHES = WordHashes(most=300_000)  # kept between the tasks of a Python worker
 
 
@@ -52,7 +54,7 @@ def held_out(doc_id: Column, folds: int) -> Column:
 
 def _bundled(texts: list[bytes]) -> bytes:
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    return zstandard.ZstdCompressor(3).compress(len(texts).to_bytes(8, "little") + sizes.tobytes() + b"".join(texts))
+    return zstandard.ZstdCompressor(1).compress(len(texts).to_bytes(8, "little") + sizes.tobytes() + b"".join(texts))
 
 
 def _unbundled(data: bytes) -> list[bytes]:
@@ -117,11 +119,9 @@ class Chunk:
         return self.index[k - 1][self.first[k]]
 
 
-def _packed(values: np.ndarray, width: int) -> bytes:
-    """Unsigned values byte by byte, low bytes first, compressed."""
+def _packed(values: np.ndarray) -> bytes:
+    """Unsigned values byte by byte, low bytes first, as many as the greatest one takes, compressed."""
     used = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
-    if used > width:
-        raise OverflowError(f"a value takes {used} bytes, not {width}")
     planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :used].T)
     return bytes([used]) + zstandard.ZstdCompressor(1).compress(planes.tobytes())
 
@@ -141,22 +141,19 @@ def _width(kind: int) -> int:
     return 8 if kind == 0 else 5
 
 
-def _amounts(amounts: np.ndarray, kind: int) -> bytes:
-    """Counts, or sums of a test as floats of 16 bits."""
-    if kind < 100:
-        return _packed(amounts.astype(U64), 4)
-    bits = amounts.astype(np.float32).view(np.uint32).astype(U64)
-    return _packed((bits + U64(0x8000)) >> U64(16), 2)
+def _amounts(amounts: np.ndarray) -> bytes:
+    """Whole numbers, negative ones (of a test) too: small ones of either sign take few bytes."""
+    x = amounts.astype(np.int64)
+    return _packed(((x << 1) ^ (x >> 63)).view(U64))
 
 
-def _from_amounts(data: bytes, kind: int) -> np.ndarray:
-    if kind < 100:
-        return _unpacked(data).astype(np.float64)
-    return (_unpacked(data) << U64(16)).astype(np.uint32).view(np.float32).astype(np.float64)
+def _from_amounts(data: bytes) -> np.ndarray:
+    x = _unpacked(data)
+    return (x >> U64(1)).view(np.int64) ^ -(x & U64(1)).view(np.int64)
 
 
 MESSAGE = "target int, chunk int, kind int, keys binary, amounts binary"
-ANSWER = "chunk int, target int, kind int, sums binary, total double, different long"
+ANSWER = "chunk int, target int, kind int, sums binary, total long, different long"
 
 
 def cut(keys: np.ndarray, kind: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +164,7 @@ def cut(keys: np.ndarray, kind: int, bits: int) -> tuple[np.ndarray, np.ndarray]
 
 def requests(chunk: int, kind: int, keys: np.ndarray, amounts: np.ndarray, bits: int) -> pa.RecordBatch:
     sent, begin = cut(keys, kind, bits)
-    rows = [(_packed(np.diff(sent[a:b], prepend=U64(0)), _width(kind)), _amounts(amounts[a:b], kind)) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    rows = [(_packed(np.diff(sent[a:b], prepend=U64(0))), _amounts(amounts[a:b])) for a, b in zip(begin[:-1], begin[1:], strict=True)]
     n = len(rows)
     return pa.RecordBatch.from_arrays(
         [pa.array(range(n), pa.int32()), pa.array([chunk] * n, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
@@ -175,21 +172,23 @@ def requests(chunk: int, kind: int, keys: np.ndarray, amounts: np.ndarray, bits:
     )
 
 
-def answers(group: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Sums over all chunks for every key that they sent to one target, in the order in which each sent it."""
+def answers(group: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
+    """Sums over all chunks for every key that they sent to one target, in the order in which each sent it; of a test's
+    sums only whether they exceed ``least``. Sums are whole numbers, so that they don't depend on the chunks."""
     kinds = group.column("kind").to_numpy()
     for kind in np.unique(kinds):
         part = group.filter(pa.array(kinds == kind))
         sent = [np.cumsum(_unpacked(x), dtype=U64) for x in part.column("keys").to_pylist()]
-        amounts = np.concatenate([_from_amounts(x, kind) for x in part.column("amounts").to_pylist()])
+        amounts = np.concatenate([_from_amounts(x) for x in part.column("amounts").to_pylist()])
         keys, inverse = np.unique(np.concatenate(sent), return_inverse=True)
-        sums = np.bincount(inverse, weights=amounts, minlength=len(keys))
+        sums = np.zeros(len(keys), dtype=np.int64)
+        np.add.at(sums, inverse, amounts)
         back = sums[inverse]
         cuts = np.cumsum([0, *map(len, sent)])
-        cells = [np.packbits(x > 0).tobytes() if kind >= 100 else _packed(x.astype(U64), 4) for x in (back[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
+        cells = [np.packbits(x > least).tobytes() if kind >= 100 else _packed(x.astype(U64)) for x in (back[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
         n = len(sent)
         yield pa.RecordBatch.from_arrays(
-            [part.column("chunk").combine_chunks(), part.column("target").combine_chunks(), pa.array([int(kind)] * n, pa.int32()), pa.array(cells, pa.binary()), pa.array([float(sums.sum())] * n), pa.array([int((sums > 0).sum())] * n, pa.int64())],
+            [part.column("chunk").combine_chunks(), part.column("target").combine_chunks(), pa.array([int(kind)] * n, pa.int32()), pa.array(cells, pa.binary()), pa.array([int(sums.sum())] * n, pa.int64()), pa.array([int((sums > 0).sum())] * n, pa.int64())],
             ["chunk", "target", "kind", "sums", "total", "different"],
         )
 
@@ -219,7 +218,7 @@ def candidates(counts: np.ndarray, k: int, p: Params) -> np.ndarray:
 
 
 def gains(model: Model, p: Params) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each context length k: candidate contexts' indices and this chunk's part of each one's test."""
+    """For each context length k: candidate contexts' indices and this chunk's part of each one's test, in units."""
     c = model.chunk
     for k in range(1, p.depth + 1):
         context, suffix = c.context(k), c.suffix(k)
@@ -227,9 +226,10 @@ def gains(model: Model, p: Params) -> Iterator[tuple[int, np.ndarray, np.ndarray
         lower = model.p[k - 1][suffix[own]]
         seen = model.counts[k - 1][context[own]]
         left_out = (model.counts[k][own] - 1 + p.mu * lower) / (seen - 1 + p.mu)
-        gain = np.bincount(context[own], weights=c.count[k][own] * np.log(left_out / lower), minlength=len(c.keys[k - 1]))
+        units = np.rint(UNIT * np.log(left_out / lower))  # the same in every chunk, so that sums don't depend on chunks
+        gain = np.bincount(context[own], weights=c.count[k][own] * units, minlength=len(c.keys[k - 1]))
         chosen = candidates(model.counts, k - 1, p)
-        yield k, chosen, gain[chosen] - p.min_gain * c.count[k - 1][chosen] / model.counts[k - 1][chosen]
+        yield k, chosen, gain[chosen]
 
 
 def scores(model: Model, states: list[np.ndarray], p: Params) -> tuple[np.ndarray, ...]:
@@ -257,7 +257,7 @@ def score(docs: DataFrame, p: Params = Params()) -> DataFrame:
     chunks = max(1, -(-size // p.chunk_bytes))
     bits = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks).bit_length()
     orders = p.depth + 1
-    chunk = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(chunks)).cast("int")
+    chunk = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(chunks)).cast("int")
     narrow = docs.select(chunk.alias("chunk"), "doc_id", "text", held_out(F.col("doc_id"), p.folds).alias("held_out"))
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +284,7 @@ def score(docs: DataFrame, p: Params = Params()) -> DataFrame:
         return pa.Table.from_batches([requests(name, k, c.keys[k], c.count[k], bits) for k in range(orders)])
 
     def answer(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(answers(table)))
+        return pa.Table.from_batches(list(answers(table, int(p.min_gain * UNIT))))
 
     def test(table: pa.Table, got: pa.Table) -> pa.Table:
         name = table.column("chunk")[0].as_py()
