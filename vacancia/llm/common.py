@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vacancia.sources.shared import new_folder, written
 
-__all__ = ["HOT", "U64", "WordHashes", "behind_first", "flagged", "fresh", "id_flags", "mix", "new_folder", "ranges", "signed", "slices", "utf8", "with_spans", "written"]
+__all__ = ["HOT", "U64", "WordHashes", "behind_first", "bit_flags", "flagged", "fresh", "id_flags", "join_counted", "mix", "new_folder", "ranges", "signed", "slices", "utf8", "with_spans", "written"]
 
 U64 = np.uint64
 
@@ -49,14 +49,32 @@ def behind_first(rows: DataFrame, key: list[str], place: list[str], carried: tup
     return marked.where("first is not null").unionByName(rest).where(F.struct(*place) > F.struct(*[F.col(f"first.{c}").alias(c) for c in place]))
 
 
-def id_flags(ids: DataFrame, bits: int = 26) -> Broadcast:
-    """2**bits flags, set where an id of ``ids`` (column doc_id) falls. Tasks set bits; the driver gets the flags only,
-    of one size however many ids there are."""
-    at = _flag_place(F.col("doc_id"), bits) + 1
-    pages = ids.where("doc_id is not null").groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("set"))
+def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once and with ``n``, how many of the ``total`` rows have it.
+
+    Keys that hold a thousandth of the rows or more are a thousand at most and joined by broadcast; their rows don't move.
+    """
+    hot = F.col("n") >= F.lit(max(total // HOT, 2))
+    mark = fresh("hot", [*rows.columns, *table.columns])
+    marked = rows.join(F.broadcast(table.where(hot).drop("n").withColumn(mark, F.lit(True))), key, "left")
+    rest = marked.where(F.col(mark).isNull()).select(*rows.columns).join(table.where(~hot).drop("n"), key)
+    return marked.where(mark).drop(mark).unionByName(rest)
+
+
+def bit_flags(rows: DataFrame, at: Column, bits: int) -> np.ndarray:
+    """2**bits flags, eight a byte and the lowest bit first, set at the places that ``at`` names from 0. Tasks set the
+    bits; the driver gets the flags only, of one size however many rows there are."""
+    at = at.cast("long") + 1
+    pages = rows.where(at.isNotNull()).groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("set"))
     flags = np.zeros(max(1, (1 << bits) >> 15) << 12, dtype=np.uint8)
     for row in pages.collect():  # 2**bits / 32,768 rows at most
         flags[(row["page"] - 1) << 12 : row["page"] << 12] = np.frombuffer(row["set"], dtype=np.uint8)
+    return flags
+
+
+def id_flags(ids: DataFrame, bits: int = 26) -> Broadcast:
+    """Flags at the places of the ids of ``ids`` (column doc_id)."""
+    flags = bit_flags(ids.where("doc_id is not null"), _flag_place(F.col("doc_id"), bits), bits)
     return ids.sparkSession.sparkContext.broadcast((bits, flags))
 
 

@@ -14,10 +14,10 @@ are dropped. A document is contaminated where consistent windows of one item cov
 the whole of an item shorter than that. Items shorter than a window are one window of their own length, so that every
 item with any word has a key.
 
-Defined cases: null and empty texts hold no windows, on either side. Null item_ids never match. Rows with a null
+Defined cases: null and empty texts hold no windows, on either side; texts of any length are taken whole. Null item_ids never match. Rows with a null
 doc_id are neither reported nor removed. Rows that repeat a doc_id are judged by all their texts together and removed
 together. Columns beside doc_id and text (item_id and text) are left alone, whatever their names. Without benchmark
-items nothing is contaminated.
+items, or without documents, nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import U64, mix, slices, utf8
+from vacancia.llm.common import U64, bit_flags, mix, slices, utf8
 
 WIDTH = 8
 RUN = 12
@@ -197,10 +197,7 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, literals: int =
 
 def bitmap(windows: DataFrame, bits: int = BITS) -> np.ndarray:
     """2**bits flags, set for the leading bits of every template: of one size, whatever the benchmark's."""
-    places = windows.select(F.shiftrightunsigned("template", 64 - bits).cast("int").alias("place")).distinct()
-    out = np.zeros(1 << bits, dtype=bool)
-    out[places.toPandas()["place"].to_numpy(dtype=np.int64)] = True
-    return np.packbits(out)
+    return bit_flags(windows.select("template"), F.shiftrightunsigned("template", 64 - bits), bits)
 
 
 def document_windows(docs: DataFrame, flags: np.ndarray, widths: list[int], literals: int = LITERALS, bits: int = BITS, width: int = WIDTH) -> DataFrame:
@@ -209,7 +206,7 @@ def document_windows(docs: DataFrame, flags: np.ndarray, widths: list[int], lite
     shared = docs.sparkSession.sparkContext.broadcast(flags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, set_ = Lexicon(), np.unpackbits(shared.value).view(bool)
+        lexicon, set_ = Lexicon(), np.unpackbits(shared.value, bitorder="little").view(bool)
         for batch in slices(batches, "text"):
             s = canonical([utf8(t) for t in batch.column("text").to_pylist()], lexicon)
             size = np.bincount(s.row, minlength=batch.num_rows)
@@ -262,9 +259,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, run:
 
     def judge(group: pa.Table) -> pa.Table:
         ids = group.column("doc_id")
-        rows = judged(group.to_pylist(), run)
+        rows = judged(group.drop_columns(["doc_id", "key"]).to_pylist(), run)
         columns = list(zip(*rows, strict=True)) or [()] * 4
         types = (group.schema.field("item_id").type, pa.int64(), pa.int64(), pa.bool_())
         return pa.table([ids.take(pa.array([0] * len(rows), pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
-    return found.groupBy("doc_id").applyInArrow(judge, f"doc_id {doc_kind}, item_id {item_kind}, n_windows long, n_symbols long, reparameterised boolean")
+    return found.groupBy("doc_id", "item_id").applyInArrow(judge, f"doc_id {doc_kind}, item_id {item_kind}, n_windows long, n_symbols long, reparameterised boolean")

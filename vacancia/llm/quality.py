@@ -6,11 +6,11 @@ descent (Hsieh et al. 2008) on the vectors ``r * indicator``, and its margins ar
 rows held back from the fit (Platt). Scoring is one pass over whole texts with a weight vector of fixed size, with
 no shuffle.
 
-Bounds, all documented parameters: ``label_rows`` labelled rows a class, of which ``fit_rows`` a class are fitted;
-``2**bits`` weights. Rows are taken by the smallest hash of their id, so a choice doesn't depend on partitions.
+Bounds, all documented parameters: ``label_rows`` labelled rows a class, of which ``fit_rows`` a class are fitted, with
+``fit_features`` distinct n-grams in all; ``2**bits`` weights. Rows are taken by the smallest hash of their id, so a choice doesn't depend on partitions.
 
-Defined cases: a null text counts as empty; an empty text gets the calibrated score of the bias alone. A null
-doc_id is never learned from. Of repeated label rows of one document the smallest quality counts; null ids or
+Defined cases: texts of any length are taken whole; a null text counts as empty; an empty text gets the calibrated score of the bias alone. A null
+doc_id is never learned from; of repeated documents one is fitted, the one of fewest n-grams. Of repeated label rows of one document the smallest quality counts; null ids or
 qualities are ignored. Without labels of both classes every score is the share of class 1 among the labels (0.5
 without any). Extra columns of the inputs are left alone, whatever their names.
 """
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import U64, WordHashes, mix, slices, utf8
+from vacancia.llm.common import U64, WordHashes, fresh, mix, slices, utf8, written
 
 PIECES = re.compile(rb"[a-z\x80-\xff]+|[0-9]+|[^\x00-\x20a-z0-9\x80-\xff]+").findall
 
@@ -36,6 +36,7 @@ class Params:
     bits: int = 18
     label_rows: int = 20_000
     fit_rows: int = 2_500
+    fit_features: int = 40_000_000
     alpha: float = 1.0
     beta: float = 0.25
     c: float = 1.0
@@ -178,13 +179,19 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), folds: int =
             columns, counts = indicators(_texts(batch), hashes, bits)
             offsets = np.concatenate([[0], np.cumsum(counts)])
             cells = [columns[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("order"), pa.array(cells, pa.binary())], ["quality", "order", "columns"])
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("order"), pa.array(counts), pa.array(cells, pa.binary())], ["quality", "order", "features", "columns"])
 
     few = F.broadcast(
         chosen.where("quality = 0").orderBy("order", "doc_id").limit(p.fit_rows).unionByName(chosen.where("quality = 1").orderBy("order", "doc_id").limit(p.fit_rows))
     )
-    sample = docs.select("doc_id", "text").join(few, "doc_id").mapInArrow(gather, "quality int, order long, columns binary").toPandas()
-    sample = sample.sort_values(["order", "quality"], kind="stable")
+    sample = docs.select("doc_id", "text").join(few, "doc_id").mapInArrow(gather, "quality int, order long, features long, columns binary")
+    # One row a document; then, in the order of their hashes, rows while their n-grams are ``fit_features`` at most.
+    sample = written(sample.groupBy("order", "quality").agg(F.min(F.struct("features", "columns")).alias("one")).select("order", "quality", "one.*"), "fit-rows")
+    sizes = sample.select("order", "features").orderBy("order").toPandas()  # 2 * fit_rows rows at most
+    last = sizes.order[sizes.features.cumsum() <= p.fit_features].max()
+    sample = sample.where(F.col("order") <= F.lit(int(last) if last == last else None).cast("long")).toPandas().sort_values(["order", "quality"], kind="stable")
+    if not len(sample) or sample.quality.nunique() < 2:
+        raise ValueError("fit_features is too small for rows of both classes")
     y = np.where(sample.quality.to_numpy() == 1, 1.0, -1.0)
     vectors = []
     for cell in sample["columns"]:
@@ -215,9 +222,11 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), folds: int =
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of ``docs`` with score and predicted, one row a row, in one narrow pass."""
+    """``keep`` columns of ``docs`` with score and predicted, one row a row, in one narrow pass. Kept columns of these
+    names stay; the new ones then have underscores behind theirs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.schema.fields if f.name in keep]
+    names = [fresh(c, keep) for c in ("score", "predicted")]
     source = docs.select(*[F.col(k) for k in dict.fromkeys((*keep, "text"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,10 +234,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str
         for batch in slices(batches, "text"):
             s = shared.value.scores(_texts(batch), hashes)
             columns = [batch.column(f.name) for f in fields] + [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in fields), "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in fields), *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return source.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return source.mapInArrow(run, f"{kinds}, {names[0]} double, {names[1]} int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, p: Params = Params(), folds: int = 5) -> DataFrame:

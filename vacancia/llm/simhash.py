@@ -11,7 +11,8 @@ all its pairs. Components come from alternating large-star and small-star rounds
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other. Rows are returned one for
 one; a repeated row gets the same values. A null doc_id takes part, but a component is named by the smallest doc_id
-that isn't null (null if none is). Columns beside doc_id and text are left out, whatever their names.
+that isn't null (null if none is). Ties don't arise: a component is named by its least id. Texts of any length are
+taken whole. An empty table gives an empty result. Columns beside doc_id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import U64, slices, utf8, written
+from vacancia.llm.common import U64, join_counted, slices, utf8, written
 
 TABLES = tuple(itertools.combinations(range(8), 2))  # the two bytes that a table leaves out
 ROUNDS = 60
@@ -204,10 +205,10 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     before = mark(current)
     for _ in range(rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).select("u", F.least("u", "low").alias("low"), "n")
+        large = join_counted(both, low, "u", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n"))
+        small = join_counted(large, low, "u", before[0])
         small = small.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(low.select("u", F.col("low").alias("v"))).distinct()
         current = written(small, "links")
         after = mark(current)
@@ -222,9 +223,10 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     prints = written(with_fingerprints(docs), "fingerprints")
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    classes = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "fingerprint-classes")
     found = components(links(classes.select("fingerprint")))
-    named = classes.join(found, classes.fingerprint == found.node, "left").select(F.coalesce("root", "fingerprint").alias("root"), "fingerprint", "first")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    table = named.join(least, "root").select("fingerprint", "component_id")
-    return prints.join(table, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    named = classes.join(found, classes.fingerprint == found.node, "left").select(F.coalesce("root", "fingerprint").alias("root"), "fingerprint", "first", F.col("n").alias("rows"))
+    named = written(named, "named-classes")
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    table = join_counted(named, least, "root", named.count()).select("fingerprint", "component_id", F.col("rows").alias("n"))
+    return join_counted(prints, table, "fingerprint", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
