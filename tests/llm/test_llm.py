@@ -9,6 +9,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -300,6 +302,10 @@ def test_warc_round_trip(spark):
     one = warc.lookup(warc.index(captures, block=2, partitions=3), spark.createDataFrame([("example,a)/",), ("none",)], "key string"))
     assert sorted(r.page_id for r in one.collect()) == [7, 8]
     assert warc.archive(pages.limit(0)).count() == 0
+    many = warc.lookup(warc.index(captures, block=1, partitions=2), captures, group_keys=1)
+    assert sorted((r.key, r.page_id) for r in many.collect()) == sorted((r.key, r.page_id) for r in captures.collect())
+    odd = spark.createDataFrame([(None, "http://x.example/", "one"), (2, "http://x.example/", "one"), (2, "http://x.example/", "one"), (3, None, "z" * 300_000)], "page_id long, url string, html string")
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.archive(odd).collect()) == [("2", "response", None)] * 2 + [("3", "response", None), ("None", "revisit", 2)]
     assert warc.url_key("https://user@WWW.Example.com:443/A?b#c") == "com,example)/A?b"
 
 
@@ -360,6 +366,39 @@ def test_token_rollup_over_ten_batches_and_a_restart(spark, tmp_path):
         assert read(again) == [(8, 19)]
     again.commit("batch-13", change(2, "delete", 13, None))
     assert read(token_rollup.Rollup(spark, folder, counters)) == [(7, 14)]
+    # Another text under an early name: later batches follow from it, and a failed attempt leaves nothing.
+    again.commit("batch-3", change(3, "insert", 3, "a b c d e f g"))
+    assert read(again) == [(7, 19)] and read(token_rollup.Rollup(spark, folder, counters)) == [(7, 19)]
+    again.commit("batch-1", change(5, "insert", 1, "x"))
+    assert read(again) == [(7, 19)]
+    with pytest.raises(Exception, match="nowhere"):
+        again.commit("batch-14", change(1, "insert", 1, "a").withColumn("text", F.raise_error(F.lit("nowhere")).cast("string")))
+    assert read(again) == [(7, 19)] and read(token_rollup.Rollup(spark, folder, counters)) == [(7, 19)]
+
+
+def test_token_rollup_against_a_dictionary(spark):
+    rnd = random.Random(9)
+    counters = {"words-1": token_rollup.count_words}
+    schema = "doc_id long, change string, seq int, text string, source string, lang string"
+    rollup, history = token_rollup.Rollup(spark, counters=counters, ledger_every=3), {}
+    assert rollup.totals().count() == 0 and rollup.ledger().count() == 0
+    for k in range(7):
+        name = f"b{k}" if k != 5 else "b2"
+        rows = [(rnd.randrange(12), rnd.choice(["insert", "revise", "delete"]), s, " ".join("w" * rnd.randint(0, 4)), rnd.choice(["s", None]), rnd.choice(["en", "de"])) for s in range(6)]
+        history[name] = rows if k != 4 else []
+        rollup.commit(name, spark.createDataFrame(history[name], schema))
+        state = {}
+        for rows in history.values():
+            last = {i: (change, text, source, lang) for i, change, _, text, source, lang in rows}
+            state |= last
+        want = Counter()
+        for change, text, source, lang in state.values():
+            if change != "delete":
+                want[source, lang, 0] += 1
+                want[source, lang, 1] += len(text.split())
+        got = {(r.source, r.lang): (r.documents, r.tokens) for r in rollup.totals().collect()}
+        assert got == {g[:2]: (want[(*g[:2], 0)], want[(*g[:2], 1)]) for g in want}
+        assert {r.doc_id for r in rollup.ledger().collect()} == {i for i, s in state.items() if s[0] != "delete"}
 
 
 def test_suffix_tree_counts_and_scores(spark, texts):
@@ -380,8 +419,8 @@ def test_suffix_tree_counts_and_scores(spark, texts):
         gain = Counter()
         for gram, c in count[n + 1].items():
             low = chance(gram[1:])
-            gain[gram[:-1]] += c * np.log((c - 1 + p.mu * low) / (count[n][gram[:-1]] - 1 + p.mu) / low)
-        states |= {s for s in gain if count[n][s] >= p.min_count and gain[s] > p.min_gain}
+            gain[gram[:-1]] += c * round(256 * np.log((c - 1 + p.mu * low) / (count[n][gram[:-1]] - 1 + p.mu) / low))
+        states |= {s for s in gain if count[n][s] >= p.min_count and gain[s] > 256 * p.min_gain}
     assert states and len(rows) == len(texts)
     near = {s for s in states}
     for r in rows:
@@ -394,7 +433,22 @@ def test_suffix_tree_counts_and_scores(spark, texts):
             best += np.log10(chance(tuple(t[k - n : k + 1])))
         base = sum(np.log10(chance((w,))) for w in t)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(count[1][(w,)] > 0 for w in t), total)
-        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(best, rel=1e-3)
+        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(best)
+    for size in (600, 1 << 20):
+        other = {r.doc_id: r.score for r in pst.score(frame(spark, texts), pst.Params(chunk_bytes=size)).collect()}
+        assert all(other[r.doc_id] == pytest.approx(r.score, rel=1e-12) for r in rows)
+
+
+def test_suffix_tree_counts_beyond_four_bytes():
+    keys, amounts = np.array([1 << 63, (1 << 63) + (1 << 40)], dtype=np.uint64), np.array([1 << 33, 5])
+    for kind, scale in ((0, 1), (100, -1)):
+        batches = [pst.requests(chunk, kind, keys, scale * amounts, 1) for chunk in (0, 1)]
+        table = pa.Table.from_batches(batches)
+        got = pa.Table.from_batches(list(pst.answers(table.filter(pa.compute.equal(table["target"], 1)), -11))).to_pylist()
+        if kind == 0:
+            assert [r["total"] for r in got] == [(1 << 34) + 10] * 2 and pst._unpacked(got[0]["sums"]).tolist() == [1 << 34, 10]
+        else:
+            assert [np.unpackbits(np.frombuffer(r["sums"], dtype=np.uint8))[:2].tolist() for r in got] == [[0, 1]] * 2
 
 
 def test_quality_learns_and_keeps_its_fold(spark):
