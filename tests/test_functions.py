@@ -1,6 +1,7 @@
 """Examples for functions that SQL can't check in full."""
 
 import base64
+import datetime as dt
 import hashlib
 import hmac
 import json
@@ -86,6 +87,11 @@ def test_cursor_round_trip(spark):
     rows = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-02 03:04:05' AS ts, 77L AS id")
     got = rows.select(job_lists.read_cursor(job_lists.cursor(F.col("ts"), F.col("id"))).alias("c"), job_lists.read_cursor(F.lit("!!")).alias("d")).first()
     assert (str(got.c.ts), got.c.id, got.d) == ("2024-01-02 03:04:05", 77, None)
+    for text in ("2024-01-02 03:04:05.120000", "2024-01-02 03:04:05"):
+        at = dt.datetime.fromisoformat(text)
+        rows = spark.sql(f"SELECT TIMESTAMP_NTZ '{text}' AS ts, 7L AS id").select(job_lists.cursor(F.col("ts"), F.col("id")).alias("c")).select("c", job_lists.read_cursor(F.col("c")).alias("back"))
+        got = rows.first()
+        assert got.c == base64.urlsafe_b64encode(f"{at.isoformat()}|7".encode()).decode() and (got.back.ts, got.back.id) == (at, 7)
 
 
 def test_history_statuses(spark):
@@ -102,6 +108,9 @@ def test_keywords_at_word_boundaries(spark):
 
 
 def test_forbidden_keys_at_any_depth(spark):
+    texts_ = ['{"k":"a \\"b\\": c","d":{"e":["\\u00e9\\n"]}}', '{"a longer key than its value":"xyz"}', '{"n":1}', None]
+    assert each(spark, texts_, events.longest_text) == [8, 3, 0, 0]
+    assert each(spark, ['{"k":"say \\"email\\": me"}'], events.forbidden_keys) == [[]]
     got = each(spark, ['{"a":[{"Raw URL":1}]}', '{"k":"email"}', None], events.forbidden_keys)
     assert got == [["raw_url"], [], []]
 
@@ -154,9 +163,20 @@ def test_envelope_and_csv(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"schemaVersion":2,"items":[]}')
     with pytest.raises(ValueError):
         files.read_envelope(spark, str(tmp_path / "b.json"), "slug string")
+    files.write_envelope(spark.createDataFrame([("x",), ("y",)], "slug string").repartition(2), str(tmp_path / "w"))
+    assert sorted(r.slug for r in files.read_envelope(spark, str(tmp_path / "w"), "slug string", lines=True).collect()) == ["x", "y"]
+    with pytest.raises(ValueError):
+        files.read_envelope(spark, str(tmp_path / "w"), "slug string", version=2, lines=True)
     (tmp_path / "c.csv").write_text('﻿name,slug,url\n"A, ""B""",a,https://a\nshort,row\n', encoding="utf-8")
     good, bad = files.read_strict_csv(spark, str(tmp_path / "c.csv"))
     assert [r.name for r in good.collect()] == ['A, "B"'] and bad.count() == 1
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many/one.csv").write_text("name,slug,url\nA,a,https://a\n")
+    (tmp_path / "many/two.csv").write_text("name,slug,url\nB,b,https://b\n")
+    assert files.read_strict_csv(spark, str(tmp_path / "many"))[0].count() == 2
+    (tmp_path / "many/two.csv").write_text("name,url,slug\nB,https://b,b\n")
+    with pytest.raises(ValueError):
+        files.read_strict_csv(spark, str(tmp_path / "many"))
     (tmp_path / "d.csv").write_text("slug,name\na,b\n")
     with pytest.raises(ValueError):
         files.read_strict_csv(spark, str(tmp_path / "d.csv"))

@@ -63,7 +63,7 @@ def valid_score(value: Column) -> Column:
 
 def clamp_score(value: Column, default: float = 0.0) -> Column:
     number = F.coalesce(value.try_cast("double"), F.lit(default))
-    return F.when(F.isnan(number), F.lit(default)).otherwise(F.least(F.greatest(number, F.lit(0.0)), F.lit(10.0)))
+    return F.when(F.isnan(number), F.lit(default)).otherwise(F.bround(F.least(F.greatest(number, F.lit(0.0)), F.lit(10.0)), 1))
 
 
 def final_score(hard: Column, experience: Column, soft: Column, disqualified: Column) -> Column:

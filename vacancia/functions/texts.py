@@ -101,7 +101,9 @@ def description_windows(description: Column, least: int = 4, most: int = 500) ->
 
 
 def truncate_with_note(text: Column, most: int) -> Column:
-    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("\n[truncated]"))).otherwise(text)
+    """The text, cut if it is longer, with a note of how much is gone; empty for null."""
+    note = F.concat(F.lit("... "), (F.length(text) - most).cast("string"), F.lit(" symbols cut"))
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), note)).otherwise(F.coalesce(text, F.lit("")))
 
 
 def property_key(key: Column) -> Column:
@@ -110,7 +112,9 @@ def property_key(key: Column) -> Column:
 
 
 def failure_stage(value: Column) -> Column:
-    return F.nullif(F.left(property_key(value), F.lit(64)), F.lit(""))
+    """Letters and digits of the first 80 characters in lower case, separators as underscores, none around; null if empty."""
+    spaced = F.regexp_replace(F.left(F.trim(value), F.lit(80)), "[-_ .]", "_")
+    return F.nullif(F.trim(F.lower(F.regexp_replace(spaced, r"[^\p{L}\p{N}_]", "")), F.lit("_")), F.lit(""))
 
 
 def distinct_terms(text: Column, most: int = 50, length: int = 120) -> Column:
@@ -177,5 +181,6 @@ def unwrap_envelope(details: Column) -> Column:
 
 
 def property_or_text(text: Column) -> Column:
-    """Parsed JSON, or the text as a JSON string where it isn't JSON."""
-    return F.coalesce(F.try_parse_json(text), F.to_variant_object(F.array(text)))
+    """Parsed JSON, or the text as a JSON string where it isn't JSON; null for null."""
+    listed = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.coalesce(F.try_parse_json(text), F.parse_json(F.substr(listed, F.lit(2), F.length(listed) - 2))))

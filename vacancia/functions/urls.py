@@ -220,6 +220,44 @@ def with_identity(rows: DataFrame, url: str = "url", into: str = "identity") ->
     return out.drop(*{f"__url_{name}" for stage in stages for name in stage})
 
 
+def proxy_identity(url: Column) -> Column:
+    """Struct of provider, tenant, external_id, confidence and warning, by the rules of the proxy for five systems."""
+    name, parts = F.lower(F.coalesce(F.try_parse_url(F.trim(url), F.lit("HOST")), F.lit(""))), path_parts(F.trim(url))
+    n, last = F.size(parts), last_part(parts)
+    number = F.nullif(F.regexp_extract(last, r"_([A-Za-z]+[-_]?\d+[A-Za-z0-9_-]*)$", 1), F.lit(""))
+    token, tenant = parameter(F.trim(url), "token"), parameter(F.trim(url), "for")
+
+    def found(provider: str, owner: Column, job: Column, confidence: Column | str, warning: Column | None = None) -> Column:
+        sure = F.lit(confidence) if isinstance(confidence, str) else confidence
+        note = F.lit(None).cast("string") if warning is None else warning
+        return F.struct(F.lit(provider).alias("provider"), owner.alias("tenant"), job.alias("external_id"), sure.alias("confidence"), note.alias("warning"))
+
+    def missing(warning: str) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(none.alias("provider"), none.alias("tenant"), none.alias("external_id"), F.lit("none").alias("confidence"), F.lit(warning).alias("warning"))
+
+    def two(provider: str, job: Column, confidence: str, warning: Column | None = None) -> Column:
+        return F.when(n >= 2, found(provider, first_part(parts), job, confidence, warning)).otherwise(missing(f"{provider}_identity_not_found"))
+
+    greenhouse = (
+        F.when((n >= 3) & (first_part(parts, 2) == "jobs"), found("greenhouse", first_part(parts), first_part(parts, 3), "high"))
+        .when(tenant.isNotNull() & token.isNotNull(), found("greenhouse", tenant, token, "high"))
+        .otherwise(missing("greenhouse_identity_not_found"))
+    )
+    sure = F.when(number.isNotNull(), "high").otherwise("medium")
+    guessed = F.when(number.isNull(), "workday_external_id_inferred_from_last_path_segment")
+    workday = F.when(n > 0, found("workday", F.split_part(name, F.lit("."), F.lit(1)), F.coalesce(number, last), sure, guessed)).otherwise(missing("workday_identity_not_found"))
+    smart = F.split_part(first_part(parts, 2), F.lit("-"), F.lit(1))
+    return (
+        F.when(name.isin("boards.greenhouse.io", "job-boards.greenhouse.io"), greenhouse)
+        .when(name.endswith("jobs.lever.co") | name.endswith("jobs.eu.lever.co"), two("lever", first_part(parts, 2), "high"))
+        .when(name == "jobs.ashbyhq.com", two("ashby", first_part(parts, 2), "high"))
+        .when(name.endswith(".myworkdayjobs.com"), workday)
+        .when(name.isin("jobs.smartrecruiters.com", "www.smartrecruiters.com"), two("smartrecruiters", smart, "medium", F.lit("smartrecruiters_external_id_inferred_from_slug_prefix")))
+        .otherwise(missing("unsupported_provider_url"))
+    )
+
+
 def is_public(url: Column) -> Column:
     """Whether a URL is HTTP on a host that isn't local, internal or a private address."""
     raw = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))

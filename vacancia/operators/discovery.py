@@ -154,21 +154,63 @@ def capped(rows: DataFrame, order: str, most: int, into: str, value: str) -> Dat
     return rows.join(F.broadcast(last)).withColumn(into, F.when(beyond | none, value).otherwise(F.col(into))).drop("_last", "_n")  # one row
 
 
-def match_profiles(candidates: DataFrame, profiles: Sequence[dict]) -> DataFrame:
+def location_text(raw: Column, remote: Column, locations: Column | None = None) -> Column:
+    """All that a candidate says of its place, for matching: raw text, remote type, and each structured place's fields."""
+    parts = F.array(raw, remote)
+    if locations is not None:
+        fields = ("raw", "city", "region", "country", "country_code")
+        parts = F.concat(parts, F.coalesce(F.flatten(F.transform(locations, lambda x: F.array(*[x[f] for f in fields]))), F.array().cast("array<string>")))
+    return F.array_join(F.filter(parts, lambda p: F.trim(p) != ""), " | ")
+
+
+def match_profiles(candidates: DataFrame, users: Sequence[dict]) -> DataFrame:
     """sequence, user_id and profile of each candidate's first matching profile a user.
 
-    A profile is user_id, profile, and optionally positive, negative, block, allow and remote_types. Profiles are a
-    bounded setting (a hundred users); each becomes an expression, so that candidates are read once and don't move.
+    ``candidates``: sequence, title, company, raw_location, remote_type and, optionally, locations. A user is user_id,
+    profiles and has_saved_filters. A profile is profile, and optionally positive, negative, always_allow, allow, block,
+    company_allow, company_block and remote_types. A user without saved filters matches everything (with a null profile),
+    one whose filters gave no profile nothing. Users are a bounded setting (a hundred); each becomes an expression, so
+    that candidates are read once and don't move.
     """
-    rows = candidates.withColumn("_remote", remote_key(F.col("raw_location")))
-    by_user: dict = {}
-    for p in profiles:
-        test = title_allowed(F.col("title"), p.get("positive", ()), p.get("negative", ())) & location_allowed(F.col("raw_location"), (), p.get("block", ()), p.get("allow", ()))
-        if p.get("remote_types"):
-            test = test & F.col("_remote").isin(*p["remote_types"])
-        by_user.setdefault(p["user_id"], []).append(F.when(test, F.lit(p["profile"])))
-    items = [F.struct(F.lit(u).alias("user_id"), F.coalesce(*tests).alias("profile")) for u, tests in sorted(by_user.items())]
-    return rows.select("sequence", F.explode(F.filter(F.array(*items), lambda x: x["profile"].isNotNull())).alias("m")).select("sequence", "m.*")
+    places = F.col("locations") if "locations" in candidates.columns else None
+    rows = candidates.withColumns({"_remote": remote_key(F.col("remote_type")), "_place": location_text(F.col("raw_location"), F.col("remote_type"), places)})
+    items = []
+    for u in sorted(users, key=lambda u: u["user_id"]):
+        tests = []
+        for p in u["profiles"]:
+            test = title_allowed(F.col("title"), p.get("positive", ()), p.get("negative", ())) & location_allowed(F.col("_place"), p.get("always_allow", ()), p.get("block", ()), p.get("allow", ()))
+            if p.get("company_allow") or p.get("company_block"):
+                test = test & title_allowed(F.coalesce("company", F.lit("")), p.get("company_allow", ()), p.get("company_block", ()))
+            if p.get("remote_types"):
+                test = test & F.col("_remote").isin(*p["remote_types"])
+            tests.append(F.when(test, F.struct(F.lit(p["profile"]).alias("profile"))))
+        if not tests and not u.get("has_saved_filters", False):
+            tests.append(F.struct(F.lit(None).cast("string").alias("profile")))
+        if tests:
+            found = F.coalesce(*tests)
+            items.append(F.when(found.isNotNull(), F.struct(F.lit(u["user_id"]).alias("user_id"), found["profile"].alias("profile"))))
+    if not items:
+        return rows.select("sequence", F.lit(None).cast("int").alias("user_id"), F.lit(None).cast("string").alias("profile")).limit(0)
+    return rows.select("sequence", F.explode(F.array_compact(F.array(*items))).alias("m")).select("sequence", "m.*")
+
+
+def profile_stats(users: DataFrame) -> DataFrame:
+    """One row of counts over users (user_id, has_saved_filters, profiles as a count): eligible, with filters, failing closed."""
+    n = F.col("profiles")
+    return users.agg(
+        F.count("*").alias("eligible_users"),
+        F.count_if("has_saved_filters").alias("users_with_saved_filters"),
+        F.count_if(n > 0).alias("users_with_valid_profiles"),
+        F.count_if(F.col("has_saved_filters") & (n == 0)).alias("users_failing_closed"),
+        F.coalesce(F.sum(n), F.lit(0)).alias("profile_count"),
+    )
+
+
+def execution_targets(targets: DataFrame, users: DataFrame | None) -> DataFrame:
+    """Targets with ``skipped``: all but health-only ones where there is no eligible user. ``users`` None: one user's run."""
+    if users is None or not users.isEmpty():
+        return targets.withColumn("skipped", F.lit(False))
+    return targets.withColumn("skipped", ~F.coalesce("health_only", F.lit(False)))
 
 
 def import_gate(preflight: Column, existing: Column, detail: Column, eligibility: Column, description: Column) -> Column:

@@ -32,16 +32,24 @@ def optional(value: Column, name: str, most: int) -> list[tuple[Column, str]]:
     return [(F.coalesce(F.length(F.trim(value)) > most, F.lit(False)), f"{name}_too_long")]
 
 
+def _strings(properties: Column, keys: bool) -> Column:
+    """The strings of a JSON text that are keys, or those that are values, without their escapes.
+
+    Every string is taken whole, from its first quote on, so that quotes within it begin no other."""
+    tokens = F.regexp_extract_all(F.coalesce(properties, F.lit("")), F.lit(r'"(?:[^"\\]|\\.)*"\s*:?'), F.lit(0))
+    chosen = F.filter(tokens, lambda t: t.endswith(":") if keys else ~t.endswith(":"))
+    plain = F.transform(chosen, lambda t: F.regexp_replace(t, r"\s*:$", ""))
+    return F.coalesce(F.from_json(F.concat(F.lit("["), F.array_join(plain, ","), F.lit("]")), "array<string>"), plain)
+
+
 def forbidden_keys(properties: Column) -> Column:
     """Forbidden keys anywhere in a JSON text: every key of every depth, normalised."""
-    keys = F.transform(F.regexp_extract_all(F.coalesce(properties, F.lit("")), F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1)), property_key)
-    return F.array_intersect(keys, F.array(*map(F.lit, FORBIDDEN_KEYS)))
+    return F.array_intersect(F.transform(_strings(properties, True), property_key), F.array(*map(F.lit, FORBIDDEN_KEYS)))
 
 
 def longest_text(properties: Column) -> Column:
-    """The length of the longest string in a JSON text."""
-    texts = F.regexp_extract_all(F.coalesce(properties, F.lit("")), F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
-    return F.coalesce(F.array_max(F.transform(texts, F.length)), F.lit(0))
+    """The length of the longest string value in a JSON text, at any depth; keys don't count."""
+    return F.coalesce(F.array_max(F.transform(_strings(properties, False), F.length)), F.lit(0))
 
 
 def error_code(key_domain: Column, names: tuple[str, ...] = EVENT_NAMES) -> Column:
@@ -118,8 +126,15 @@ def payload_error(url: Column, lengths: dict[str, tuple[Column, int]], locations
 
 
 def create_failure(message: Column) -> Column:
+    """What a failed creation of a job comes to, by its message."""
     low = F.lower(F.coalesce(message, F.lit("")))
-    return F.when(low.contains("required") | low.contains("invalid"), "validation").when(low.contains("duplicate") | low.contains("unique"), "duplicate").when(low.contains("timeout"), "timeout").otherwise("unknown")
+    return (
+        F.when(low.contains("externalid"), "missing_external_id")
+        .when(low.contains("hiringcompanyname") | low.contains("hiring company"), "missing_hiring_company")
+        .when(low.contains("invalid json"), "invalid_json")
+        .when(low.contains("required") | low.contains("invalid") | low.contains("deduce"), "validation_failed")
+        .otherwise("unknown")
+    )
 
 
 def audit(rules: dict[str, DataFrame]) -> DataFrame:

@@ -215,6 +215,34 @@ def minutes(ts: Column, n: int) -> Column:
     return ts + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(n))
 
 
+def health_partition(provider: Column, variant: Column) -> Column:
+    """``provider:variant`` in lower case, the provider alone without a variant; null without a provider."""
+    clean = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    return F.when(clean(variant).isNull(), clean(provider)).otherwise(F.concat(clean(provider), F.lit(":"), clean(variant)))
+
+
+def provider_variant(provider: Column, explicit: Column, url: Column) -> Column:
+    """SuccessFactors' variant: csb or rmk as given, else csb for hosts of its cloud, rmk for others; null elsewhere."""
+    given = F.nullif(F.lower(F.trim(explicit)), F.lit(""))
+    host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
+    own = host.rlike(r"(^|\.)jobs\.hr\.(cloud\.sap|sapcloud\.cn)$")
+    wrong = F.raise_error(F.concat(F.lit("unsupported variant: "), given)).cast("string")
+    variant = F.when(given.isin("csb", "rmk"), given).when(given.isNotNull(), wrong).when(own, "csb").otherwise("rmk")
+    return F.when(F.lower(F.trim(provider)) == "successfactors", variant)
+
+
+def catalogue_metrics(catalogues: DataFrame, evaluated: DataFrame) -> DataFrame:
+    """Each catalogue's provider with its planned numbers, and how its candidates fared (source_provider, source_mode,
+    status, exists); providers without candidates have zeros."""
+    checked = F.col("status") == "ok"
+    rows = evaluated.where("source_mode = 'catalog'").groupBy(F.col("source_provider").alias("provider")).agg(
+        F.count("*").alias("candidates"), F.count_if(checked).alias("checked"), F.count_if(checked & F.col("exists")).alias("existing"), F.count_if(F.col("status") == "error").alias("errors")
+    )
+    joined = catalogues.join(rows, "provider", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("candidates", "checked", "existing", "errors")}
+    return joined.withColumns(zero).withColumns({"missing": F.col("checked") - F.col("existing"), "existing_ratio": F.when(F.col("checked") > 0, F.round(F.col("existing") / F.col("checked"), 4))})
+
+
 def tenant_step(rows: DataFrame, now: Column, p: Policy = Policy()) -> DataFrame:
     """The next state of tenants after one result each.
 

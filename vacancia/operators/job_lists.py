@@ -19,7 +19,7 @@ from vacancia.functions.statuses import FINAL_STATUSES, status_key_sql
 # Accepted spellings of remote modes.
 REMOTE_MODES = {"remote": "Remote", "onsite": "Onsite", "hybrid": "Hybrid"}
 OPEN_SCORE = 5.0
-SEARCH_FIELDS = {"title": ["title"], "company": ["hiring_company_name", "posting_company_name"], "title_company": ["title", "hiring_company_name", "posting_company_name"]}
+SEARCH_FIELDS = {"title": ["title"], "company": ["hiring_company_name", "posting_company_name"], "title_company": ["title", "hiring_company_name", "posting_company_name"], "description": ["description"]}
 
 
 @dataclass(frozen=True)
@@ -191,16 +191,17 @@ def keyset_page(history: DataFrame, job_id: int, after: tuple[datetime, int] | N
 
 
 def cursor(ts: Column, row_id: Column) -> Column:
-    """``time|id`` in URL-safe base64 without padding."""
-    text = F.concat_ws("|", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), row_id.cast("string"))
-    return F.rtrim(F.translate(F.base64(text.cast("binary")), "+/", "-_"), F.lit("="))
+    """``time|id`` in URL-safe base64. The time has six digits of a second where it isn't a whole one."""
+    part = F.date_format(ts, "SSSSSS")
+    time = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(part == "000000", "").otherwise(F.concat(F.lit("."), part)))
+    return F.translate(F.base64(F.concat_ws("|", time, row_id.cast("string")).cast("binary")), "+/", "-_")
 
 
 def read_cursor(value: Column) -> Column:
     """Struct of ts and id of a cursor; null where it isn't one."""
     padded = F.rpad(F.translate(value, "-_", "+/"), (F.ceil(F.length(value) / 4) * 4).cast("int"), F.lit("="))
     text = F.try_to_binary(padded, F.lit("base64")).cast("string")
-    return F.when(text.contains("|"), F.struct(F.to_timestamp_ntz(F.split_part(text, F.lit("|"), F.lit(1)), F.lit("yyyy-MM-dd'T'HH:mm:ss")).alias("ts"), F.split_part(text, F.lit("|"), F.lit(2)).cast("long").alias("id")))
+    return F.when(text.contains("|"), F.struct(F.split_part(text, F.lit("|"), F.lit(1)).try_cast("timestamp_ntz").alias("ts"), F.split_part(text, F.lit("|"), F.lit(2)).try_cast("long").alias("id")))
 
 
 def exists_probe(probes: DataFrame, jobs: DataFrame) -> DataFrame:

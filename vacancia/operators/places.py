@@ -126,16 +126,54 @@ def combined_consistency(*values: Column) -> Column:
     return out.otherwise("insufficient")
 
 
-def eligibility(codes: Column, excluded: Column, agreement: Column, remote: Column, home: str = "DE") -> Column:
-    """Verdict on a candidate's places: eligible, ineligible or review, by rules in order."""
-    return (
-        F.when(F.array_contains(excluded, home), "ineligible")
-        .when(agreement == "conflicting", "review")
-        .when(F.array_contains(codes, home), "eligible")
-        .when((F.size(codes) == 0) & (remote == "Remote"), "review")
-        .when(F.size(codes) == 0, "review")
-        .otherwise("ineligible")
-    )
+def locations_label(locations: Column) -> Column:
+    """Places in one line for a history: ``CC: City · Country: Region``; ``(none)`` without any."""
+
+    def one(x: Column) -> Column:
+        left = F.coalesce(F.nullif(x["country_code"], F.lit("")), x["country_name"], F.lit(""))
+        right = F.coalesce(F.nullif(x["city_name"], F.lit("")), F.nullif(x["region"], F.lit("")))
+        return F.when(right.isNull(), left).otherwise(F.concat(left, F.lit(": "), right))
+
+    return F.when(F.coalesce(F.size(locations), F.lit(0)) <= 0, "(none)").otherwise(F.array_join(F.transform(locations, one), " · "))
+
+
+EVIDENCE = "array<struct<kind:string,disposition:string,codes:array<string>>>"
+
+
+def eligibility(codes: Column, evidence: Column, agreement: Column, arrangement: Column, blocked: Column, compatible: Column, home: str = "DE") -> Column:
+    """Struct of status and reason: the verdict on a candidate's places, by rules in order.
+
+    ``codes``: countries of its places; ``evidence``: as ``EVIDENCE``, in order; ``blocked`` and ``compatible``: countries
+    that the scope filter blocks and allows.
+    """
+    none = F.lit(False)
+
+    def some(test) -> Column:
+        return F.coalesce(F.exists(evidence, test), none)
+
+    def all_blocked(places: Column) -> Column:
+        return (F.size(places) > 0) & (F.size(F.array_except(places, blocked)) == 0)
+
+    unfit = F.get(F.filter(evidence, lambda e: e["disposition"] == "incompatible"), F.lit(0))["kind"]
+    present = some(lambda e: (e["kind"] == "mandatory_presence") & F.coalesce(F.arrays_overlap(e["codes"], blocked), none))
+    constraint = lambda e: (e["kind"] == "declared_location") | ((e["kind"] == "citizenship_scope") & F.coalesce(e["disposition"] == "location_constraint", none))
+    fits = lambda places: F.coalesce(F.arrays_overlap(places, F.array_append(compatible, home)), none)
+    declared = some(lambda e: constraint(e) & F.coalesce(all_blocked(e["codes"]), none) & ~fits(e["codes"]))
+    placed = F.coalesce(arrangement.isin("On-Site", "Hybrid"), none) & all_blocked(F.filter(codes, lambda x: x != "EU"))
+    rules = [
+        (unfit.isNotNull(), "ineligible", unfit),
+        (present, "ineligible", F.lit("mandatory_incompatible_office_presence")),
+        (declared, "ineligible", F.lit("declared_incompatible_location")),
+        (placed, "ineligible", F.lit("explicit_incompatible_work_location")),
+        (some(lambda e: e["kind"] == "mandatory_presence_unresolved"), "unclear", F.lit("mandatory_presence_location_unresolved")),
+        (agreement == "conflicting", "unclear", F.lit("conflicting_without_decisive_restriction")),
+        (some(lambda e: e["disposition"] == "compatible") | fits(codes), "eligible", F.lit("compatible_location_evidence")),
+    ]
+    out = None
+    for holds, status, reason in rules:
+        verdict = F.struct(F.lit(status).alias("status"), reason.alias("reason"))
+        out = F.when(holds, verdict) if out is None else out.when(holds, verdict)
+    return out.otherwise(F.struct(F.lit("unclear").alias("status"), F.lit("insufficient_explicit_location_evidence").alias("reason")))
 
 
 def location_segments(raw: Column) -> Column:

@@ -37,6 +37,12 @@ def first_wins(targets: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     return targets.withColumn("duplicate", F.row_number().over(w) > 1)
 
 
+def without_disabled(targets: DataFrame, disabled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``targets`` with ``disabled``: true for those whose key is switched off."""
+    off = disabled.select(*keys).distinct().withColumn("disabled", F.lit(True))
+    return targets.join(off, list(keys), "left").withColumn("disabled", F.coalesce("disabled", F.lit(False)))
+
+
 def schedule_rank(targets: DataFrame, most: int | None = None) -> DataFrame:
     """``targets`` with ``rank`` in their provider and bucket: longest due, longest not tried, then by a hash of the name.
 

@@ -128,6 +128,26 @@ def batch_verdict(http_status: Column) -> Column:
     return F.when(http_status.between(200, 299), "sent").when(dead, "dead").otherwise("retry")
 
 
+def dispatch_step(sent: DataFrame, now: Column) -> DataFrame:
+    """Next state of rows that were being sent (dispatch_id, attempt_count, http_status): verdict, attempts, next time."""
+    verdict = batch_verdict(F.col("http_status"))
+    wait = exponential_backoff_seconds(F.col("attempt_count"), F.coalesce(F.col("http_status").isin(401, 403), F.lit(False)))
+    return sent.select(
+        "dispatch_id",
+        verdict.alias("status"),
+        (F.col("attempt_count") + 1).alias("attempt_count"),
+        F.when(verdict == "sent", now).alias("sent_at"),
+        F.when(verdict == "retry", now + F.make_dt_interval(secs=wait.cast("decimal(18,6)"))).alias("next_attempt_at"),
+    )
+
+
+def dispatch_counters(step: DataFrame, exporting: bool = True) -> DataFrame:
+    """One row: how many rows were tried, sent, kept for later and given up; all zero where nothing is exported."""
+    rows = step if exporting else step.limit(0)
+    kinds = [F.count_if(F.col("status") == s).alias(s) for s in ("sent", "retry", "dead")]
+    return rows.agg(F.count("*").alias("attempted"), *kinds).withColumn("export_enabled", F.lit(exporting))
+
+
 def due(dispatch: DataFrame, events: DataFrame, now: Column, limit: int) -> DataFrame:
     """The oldest rows that are pending, or to be retried by now, with their events."""
     waits = F.col("status").isin("pending", "retry") & (F.col("next_attempt_at") <= now)
@@ -159,11 +179,13 @@ def outbox_step(outbox: DataFrame, published: DataFrame, now: Column) -> DataFra
     )
 
 
-def request_decision(status: Column, cv_version: Column, current_cv: Column) -> Column:
-    """Whether a job and user need a new run, by the latest one."""
-    return (
-        F.when(status.isNull(), "missing")
-        .when(status.isin(*ACTIVE), "active")
-        .when(status == "Succeeded", F.when(cv_version.isNull() | current_cv.isNull(), "succeeded_unknown_cv").when(cv_version == current_cv, "succeeded_current_cv").otherwise("cv_changed"))
-        .otherwise("other")
-    )
+def request_decision(found: Column, status: Column, cv_version: Column, current_cv: Column, refresh_unknown: bool = False) -> Column:
+    """Struct of request and reason: whether a job and user need a new run, by the latest one, if any was ``found``.
+
+    Statuses and versions compare without case. ``refresh_unknown`` asks again where the latest run's version isn't known.
+    """
+    low, version = F.lower(F.coalesce(status, F.lit(""))), F.lower(cv_version)
+    known = F.coalesce(version, F.lit("")) != ""
+    done = F.when(version.eqNullSafe(F.lower(current_cv)), "succeeded_current_cv").when(~known & F.lit(not refresh_unknown), "succeeded_unknown_cv").otherwise("cv_changed")
+    reason = F.when(~found, "missing").when(low.isin("pending", "queued", "leased", "running"), "active").when(low == "succeeded", done).when(low == "", "unknown_status").otherwise(low)
+    return F.struct((~reason.isin("active", "succeeded_current_cv", "succeeded_unknown_cv")).alias("request"), reason.alias("reason"))

@@ -11,7 +11,7 @@ from vacancia.operators import discovery as D
 from vacancia.operators import health as H
 from vacancia.operators import planning as P
 from vacancia.operators.numbering import numbered
-from vacancia.plans.fixtures import sql, table, view
+from vacancia.plans.fixtures import registrar, sql, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,16 +23,7 @@ def now() -> F.Column:
     return F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")
 
 
-def query(text: str | None, *sources: str) -> Callable:
-    """Registers a function of the named views and tables, and the SQL that says the same."""
-
-    def register(f: Callable[..., DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[view(spark, sf_dir, s) if s.startswith("fx_") else table(spark, sf_dir, s) for s in sources])
-        if text is not None:
-            ORACLE_SQL[f.__name__] = sql(text, *[s for s in sources if s.startswith("fx_")])
-        return f
-
-    return register
+query = registrar(QUERIES, ORACLE_SQL)
 
 
 def words(column: str, *terms: str) -> str:
@@ -125,16 +116,23 @@ def candidates_cap(c: DataFrame) -> DataFrame:
 
 
 PROFILES = (
-    {"user_id": 1, "profile": "a", "positive": ("lead",), "allow": ("germany",)},
-    {"user_id": 1, "profile": "b", "positive": ("product manager",), "remote_types": ("hybrid", "remote")},
-    {"user_id": 2, "profile": "c", "negative": ("intern",), "block": ("us",)},
+    {"user_id": 1, "has_saved_filters": True, "profiles": [{"profile": "a", "positive": ("lead",), "allow": ("germany",)}, {"profile": "b", "positive": ("product manager",), "remote_types": ("hybrid", "remote")}]},
+    {"user_id": 2, "has_saved_filters": True, "profiles": [{"profile": "c", "negative": ("intern",), "block": ("us",), "company_block": ("prov3",)}]},
+    {"user_id": 3, "has_saved_filters": False, "profiles": []},
+    {"user_id": 4, "has_saved_filters": True, "profiles": []},
+    {"user_id": 5, "has_saved_filters": True, "profiles": [{"profile": "d", "allow": ("remote", "bavaria"), "company_allow": ("prov1", "prov2")}]},
 )
 
 
-@query(f"""WITH m AS (SELECT sequence, 1 AS user_id, CASE WHEN {words('title', 'lead')} AND (trim(raw_location) = '' OR {words('raw_location', 'germany')}) THEN 'a' WHEN {words('title', 'product manager')} AND (contains(lower(raw_location), 'hybrid') OR contains(lower(raw_location), 'remote')) THEN 'b' END AS profile FROM fx_candidates
-    UNION ALL SELECT sequence, 2, CASE WHEN NOT {words('title', 'intern')} AND (trim(raw_location) = '' OR NOT {words('raw_location', 'us')}) THEN 'c' END FROM fx_candidates) SELECT * FROM m WHERE profile IS NOT NULL""", "fx_candidates")
+@query(f"""WITH c AS (SELECT sequence, title, raw_location, source_provider AS company, CASE WHEN regexp_matches(lower(raw_location), '\\bhybrid\\b') THEN 'Hybrid' WHEN regexp_matches(lower(raw_location), '\\bremote\\b') THEN 'Remote' END AS kind FROM fx_candidates),
+    p AS (SELECT *, concat_ws(' | ', nullif(trim(raw_location), ''), kind, CASE WHEN sequence % 4 = 0 THEN 'Bavaria' END) AS place FROM c),
+    m AS (SELECT sequence, 1 AS user_id, CASE WHEN {words('title', 'lead')} AND (place = '' OR {words('place', 'germany')}) THEN 'a' WHEN {words('title', 'product manager')} AND kind IS NOT NULL THEN 'b' END AS profile, false AS every FROM p
+    UNION ALL SELECT sequence, 2, CASE WHEN NOT {words('title', 'intern')} AND (place = '' OR NOT {words('place', 'us')}) AND company <> 'prov3' THEN 'c' END, false FROM p UNION ALL SELECT sequence, 3, NULL, true FROM p
+    UNION ALL SELECT sequence, 5, CASE WHEN (place = '' OR {words('place', 'remote')} OR {words('place', 'bavaria')}) AND company IN ('prov1', 'prov2') THEN 'd' END, false FROM p) SELECT sequence, user_id, profile FROM m WHERE profile IS NOT NULL OR every""", "fx_candidates")
 def user_profile_match(c: DataFrame) -> DataFrame:
-    return D.match_profiles(c, PROFILES)
+    kind = F.nullif(D.remote_type(F.col("raw_location")), F.lit("Unknown"))
+    place = F.when(F.col("sequence") % 4 == 0, F.array(F.struct(*[F.lit("Bavaria" if n == "region" else None).cast("string").alias(n) for n in ("raw", "city", "region", "country", "country_code")])))
+    return D.match_profiles(c.select("sequence", "title", "raw_location", F.col("source_provider").alias("company"), kind.alias("remote_type"), place.alias("locations")), PROFILES)
 
 
 GATE = "CASE WHEN job_id % 9 = 0 THEN 'skipped_preflight_error' WHEN job_id % 4 = 0 THEN 'existing_preflight' WHEN job_id % 5 = 0 THEN 'skipped_detail_unavailable' WHEN job_id % 7 = 0 THEN 'skipped_location_ineligible' WHEN posting_company_name IS NULL AND job_id % 2 = 0 THEN 'skipped_missing_description' END"

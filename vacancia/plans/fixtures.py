@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
@@ -114,3 +116,18 @@ def sql(body: str, *names: str) -> str:
         return body
     text = body.strip()
     return f"WITH {views}, {text[5:]}" if text[:5].upper() == "WITH " else f"WITH {views} {text}"
+
+
+def registrar(queries: dict[str, Callable[[SparkSession, str], DataFrame]], oracle: dict[str, str]) -> Callable:
+    """A decorator that registers a function of the named views and tables, and the SQL that says the same."""
+
+    def query(text: str | None, *sources: str) -> Callable:
+        def register(f: Callable[..., DataFrame]) -> Callable:
+            queries[f.__name__] = lambda spark, sf_dir: f(*[view(spark, sf_dir, s) if s in VIEWS else table(spark, sf_dir, s) for s in sources])
+            if text is not None:
+                oracle[f.__name__] = sql(text, *[s for s in sources if s in VIEWS])
+            return f
+
+        return register
+
+    return query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vacancia.operators import events as E
 from vacancia.operators import reports, upserts
-from vacancia.plans.fixtures import sql, table, view
+from vacancia.plans.fixtures import registrar, sql, table, view
 from vacancia.sources import files
 from vacancia.sources.shared import new_folder
 from vacancia.streaming import ingest
@@ -18,16 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(text: str | None, *sources: str) -> Callable:
-    """Registers a function of the named views and tables, and the SQL that says the same."""
-
-    def register(f: Callable[..., DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[view(spark, sf_dir, s) if s.startswith("fx_") else table(spark, sf_dir, s) for s in sources])
-        if text is not None:
-            ORACLE_SQL[f.__name__] = sql(text, *[s for s in sources if s.startswith("fx_")])
-        return f
-
-    return register
+query = registrar(QUERIES, ORACLE_SQL)
 
 
 EVENT = """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN ' ' WHEN event_name = 'error' THEN 'Odd Name' ELSE 'Job Created' END AS event_name, CASE WHEN event_id % 13 = 0 THEN 'mars' ELSE source_domain END AS source_domain, CASE event_id % 17 WHEN 0 THEN NULL WHEN 1 THEN 'moon' ELSE 'web' END AS source_surface,

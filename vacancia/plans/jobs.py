@@ -155,10 +155,25 @@ def history_keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.keyset_page(history, 7, (datetime(2024, 1, 20), 5000), 100).select("history_id", "ts", "action", "cursor")
 
 
-ORACLE_SQL["history_keyset_page"] = sql("""SELECT history_id, ts, action, rtrim(translate(base64(encode(strftime(ts, '%Y-%m-%dT%H:%M:%S') || '|' || history_id)), '+/', '-_'), '=') AS cursor
+CURSOR = "translate(base64(encode(strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 > 0 THEN '.' || lpad(CAST(microsecond(ts) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '|' || history_id)), '+/', '-_')"
+ORACLE_SQL["history_keyset_page"] = sql(f"""SELECT history_id, ts, action, {CURSOR} AS cursor
     FROM fx_history WHERE job_id = 7 AND (ts < TIMESTAMP '2024-01-20' OR (ts = TIMESTAMP '2024-01-20' AND history_id < 5000)) ORDER BY ts DESC, history_id DESC LIMIT 100""", "fx_history")
 
 
+def history_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page behind the cursor of the first page's last row, over one job's history that holds all events; some times have
+    fractions of a second."""
+    (history,) = _views(spark, sf_dir, "fx_history")
+    rows = history.withColumn("job_id", F.lit(7)).withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.col("history_id") % 3 / 8))
+    last = J.keyset_page(rows, 7, None, 60).select("ts", "history_id", "cursor").orderBy("ts", "history_id").limit(1)
+    at = last.select(J.read_cursor(F.col("cursor")).alias("c")).first()
+    return J.keyset_page(rows, 7, (at.c.ts, at.c.id) if at else None, 60).select("history_id", "ts", "cursor")
+
+
+ORACLE_SQL["history_next_page"] = sql(f"""WITH h AS (SELECT history_id, ts + (history_id % 3) * INTERVAL '125' MILLISECOND AS ts FROM fx_history)
+    SELECT history_id, ts, {CURSOR} AS cursor FROM h ORDER BY ts DESC, history_id DESC LIMIT 60 OFFSET 60""", "fx_history")
+
+
 def report_status_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     history, jobs = _views(spark, sf_dir, "fx_history", "fx_jobs")
     return R.status_changes(history, jobs, USER, datetime(2024, 1, 5), datetime(2024, 1, 20))
@@ -192,5 +207,5 @@ ORACLE_SQL["status_keys"] = sql(f"""SELECT job_id, user_id, CASE {COMMON} ELSE '
     CASE {BASE} WHEN 'applied' THEN 'Screening Booked' WHEN 'screening booked' THEN 'Screening Done' WHEN 'screening done' THEN 'HM interview Booked' WHEN 'got offer' THEN 'Accepted Offer' ELSE 'Applied' END AS next,
     'Rejected with Unfortunately' AS second, trim(status) AS label FROM fx_user_job_status""", "fx_user_job_status")
 
-for _f in (jobs_search_multiterm, jobs_hydrated_locations, status_lookup_default, score_lookup_default, job_exists_probe, job_get_children, job_snapshot, history_keyset_page, report_status_flat, report_status_grouped, status_keys):
+for _f in (jobs_search_multiterm, jobs_hydrated_locations, status_lookup_default, score_lookup_default, job_exists_probe, job_get_children, job_snapshot, history_keyset_page, history_next_page, report_status_flat, report_status_grouped, status_keys):
     QUERIES[_f.__name__] = _f

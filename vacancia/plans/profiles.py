@@ -13,7 +13,7 @@ from vacancia.operators import eligibility, scheduling
 from vacancia.operators import health as H
 from vacancia.operators import upserts as U
 from vacancia.operators.numbering import numbered
-from vacancia.plans.fixtures import sql, table, view
+from vacancia.plans.fixtures import registrar, sql, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,16 +24,7 @@ def now() -> F.Column:
     return F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")
 
 
-def query(text: str | None, *sources: str) -> Callable:
-    """Registers a function of the named views and tables, and the SQL that says the same."""
-
-    def register(f: Callable[..., DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[view(spark, sf_dir, s) if s.startswith("fx_") else table(spark, sf_dir, s) for s in sources])
-        if text is not None:
-            ORACLE_SQL[f.__name__] = sql(text, *[s for s in sources if s.startswith("fx_")])
-        return f
-
-    return register
+query = registrar(QUERIES, ORACLE_SQL)
 
 
 def _last_sunday(month: int) -> str:

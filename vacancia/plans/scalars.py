@@ -9,22 +9,13 @@ from pyspark.sql import functions as F
 
 from vacancia.functions import identity, scores, texts, urls
 from vacancia.operators import places, reports
-from vacancia.plans.fixtures import sql, table, view
+from vacancia.plans.fixtures import registrar, sql, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(text: str | None, *sources: str) -> Callable:
-    """Registers a function of the named views and tables, and the SQL that says the same."""
-
-    def register(f: Callable[..., DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[view(spark, sf_dir, s) if s.startswith("fx_") else table(spark, sf_dir, s) for s in sources])
-        if text is not None:
-            ORACLE_SQL[f.__name__] = sql(text, *[s for s in sources if s.startswith("fx_")])
-        return f
-
-    return register
+query = registrar(QUERIES, ORACLE_SQL)
 
 
 HOST = "regexp_replace(trim(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '.'), '^www\\.', '')"
@@ -165,7 +156,7 @@ def redact_diagnostics(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", urls.redact(F.col("text")).alias("text"))
 
 
-@query("SELECT s_suppkey, trim(regexp_replace(lower(trim(s_name)), '[^a-z0-9]+', '_', 'g'), '_') AS key, CASE WHEN length(s_name) > 12 THEN left(s_name, 12) || chr(10) || '[truncated]' ELSE s_name END AS short FROM supplier", "supplier")
+@query("SELECT s_suppkey, trim(regexp_replace(lower(trim(s_name)), '[^a-z0-9]+', '_', 'g'), '_') AS key, CASE WHEN length(s_name) > 12 THEN left(s_name, 12) || '... ' || (length(s_name) - 12) || ' symbols cut' ELSE s_name END AS short FROM supplier", "supplier")
 def property_keys(supplier: DataFrame) -> DataFrame:
     return supplier.select("s_suppkey", texts.property_key(F.col("s_name")).alias("key"), texts.truncate_with_note(F.col("s_name"), 12).alias("short"))
 
@@ -227,10 +218,10 @@ def final_score(part: DataFrame) -> DataFrame:
     return part.select("p_partkey", scores.final_score(k % 11, k % 5 * 2, k % 4 * 2, k % 11 == 0).alias("score"), scores.valid_score(F.col("p_size") / 4).alias("valid"))
 
 
-@query("SELECT p_partkey, least(greatest(coalesce(TRY_CAST(v AS DOUBLE), 0), 0), 10) AS score FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN '-3' WHEN 2 THEN CAST(p_size AS VARCHAR) END AS v FROM part)", "part")
+@query("SELECT p_partkey, round_even(least(greatest(coalesce(TRY_CAST(v AS DOUBLE), 0), 0), 10), 1) AS score FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN '-3' WHEN 2 THEN CAST(p_size AS VARCHAR) || '.26' END AS v FROM part)", "part")
 def score_clamp(part: DataFrame) -> DataFrame:
     k = F.col("p_partkey") % 4
-    return part.select("p_partkey", scores.clamp_score(F.when(k == 0, "x").when(k == 1, "-3").when(k == 2, F.col("p_size").cast("string"))).alias("score"))
+    return part.select("p_partkey", scores.clamp_score(F.when(k == 0, "x").when(k == 1, "-3").when(k == 2, F.concat(F.col("p_size").cast("string"), F.lit(".26")))).alias("score"))
 
 
 @query("SELECT p_partkey, least(a, b) * f AS min, greatest(a, b) * f AS max FROM (SELECT p_partkey, p_retailprice AS a, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice ELSE CAST(p_size AS DOUBLE) END AS b, CASE p_partkey % 4 WHEN 0 THEN 2080 WHEN 1 THEN 12 WHEN 2 THEN 1 END AS f FROM part) WHERE f IS NOT NULL", "part")
@@ -296,13 +287,19 @@ def geo_country_mentions(customer: DataFrame, nation: DataFrame) -> DataFrame:
 
 @query("""WITH a AS (SELECT o_orderkey AS job_id, list_distinct(list_filter([CASE WHEN o_orderkey % 3 > 0 THEN 'C' || o_orderkey % 4 END], lambda x: x IS NOT NULL)) AS p, list_filter([CASE WHEN o_orderkey % 5 > 1 THEN 'C' || o_orderkey % 6 END], lambda x: x IS NOT NULL) AS s FROM orders),
     c AS (SELECT *, CASE WHEN len(p) > 0 AND len(s) = 0 THEN 'consistent' WHEN len(p) = 0 AND len(s) > 0 THEN 'refined' WHEN len(p) > 0 THEN CASE WHEN len(list_intersect(p, s)) > 0 THEN 'refined' ELSE 'conflicting' END ELSE 'insufficient' END AS agreement FROM a)
-    SELECT job_id, agreement, CASE WHEN job_id % 8 = 0 THEN 'ineligible' WHEN agreement = 'conflicting' THEN 'review' WHEN list_contains(p, 'C1') THEN 'eligible' WHEN len(p) = 0 THEN 'review' ELSE 'ineligible' END AS verdict FROM c""", "orders")
+    SELECT job_id, agreement, CASE WHEN job_id % 8 = 0 OR job_id % 7 = 0 OR job_id % 11 = 0 OR (job_id % 2 = 0 AND p[1] IN ('C2', 'C3')) THEN 'ineligible' WHEN job_id % 13 = 0 OR agreement = 'conflicting' THEN 'unclear' WHEN p[1] IN ('C1', 'C0') THEN 'eligible' ELSE 'unclear' END AS status,
+      CASE WHEN job_id % 8 = 0 THEN 'restriction' WHEN job_id % 7 = 0 THEN 'mandatory_incompatible_office_presence' WHEN job_id % 11 = 0 THEN 'declared_incompatible_location' WHEN job_id % 2 = 0 AND p[1] IN ('C2', 'C3') THEN 'explicit_incompatible_work_location' WHEN job_id % 13 = 0 THEN 'mandatory_presence_location_unresolved'
+      WHEN agreement = 'conflicting' THEN 'conflicting_without_decisive_restriction' WHEN p[1] IN ('C1', 'C0') THEN 'compatible_location_evidence' ELSE 'insufficient_explicit_location_evidence' END AS reason FROM c""", "orders")
 def geo_eligibility(orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     one = lambda test, n: F.array_compact(F.array(F.when(test, F.concat(F.lit("C"), (k % n).cast("string")))))
-    rows = orders.select(k.alias("job_id"), one(k % 3 > 0, 4).alias("p"), one(k % 5 > 1, 6).alias("s"), F.array_compact(F.array(F.when(k % 8 == 0, "C1"))).alias("x"))
+    rows = orders.select(k.alias("job_id"), one(k % 3 > 0, 4).alias("p"), one(k % 5 > 1, 6).alias("s"), k)
     rows = rows.withColumn("agreement", places.consistency(F.col("p"), F.col("s")))
-    return rows.select("job_id", "agreement", places.eligibility(F.col("p"), F.col("x"), F.col("agreement"), F.lit("Hybrid"), "C1").alias("verdict"))
+    item = lambda test, kind, disposition, code: F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(disposition).cast("string").alias("disposition"), F.array(F.lit(code)).alias("codes")))
+    evidence = F.array_compact(F.array(item(k % 13 == 0, "mandatory_presence_unresolved", None, "C9"), item(k % 11 == 0, "declared_location", None, "C3"), item(k % 7 == 0, "mandatory_presence", None, "C2"), item(k % 8 == 0, "restriction", "incompatible", "C1")))
+    two = lambda *codes: F.array(*map(F.lit, codes))
+    verdict = places.eligibility(F.col("p"), evidence, F.col("agreement"), F.when(k % 2 == 0, "Hybrid").otherwise("Remote"), two("C2", "C3"), two("C0"), "C1")
+    return rows.select("job_id", "agreement", verdict.alias("v")).select("job_id", "agreement", "v.*")
 
 
 @query(None, "customer", "nation")

@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 from vacancia.operators import runs as R
 from vacancia.operators import upserts as U
 from vacancia.operators.eligibility import top_filters
-from vacancia.plans.fixtures import sql, view
+from vacancia.plans.fixtures import registrar, sql, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def _sent(dispatch: DataFrame) -> DataFrame:
+    code = F.element_at(F.array(*map(F.lit, (200, 401, 404, 429, 503, None))), (F.col("event_id") % 6 + 1).cast("int"))
+    return R.dispatch_step(dispatch.select("dispatch_id", "attempt_count", code.alias("http_status")), now())
+
+
 ORACLE_SQL: dict[str, str] = {}
 NOW = "TIMESTAMP '2024-01-25 00:00:00'"
 
@@ -21,16 +28,7 @@ def now() -> F.Column:
     return F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")
 
 
-def query(text: str | None, *views: str) -> Callable:
-    """Registers a function of the named views, and the SQL that says the same."""
-
-    def register(f: Callable[..., DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[view(spark, sf_dir, v) for v in views])
-        if text is not None:
-            ORACLE_SQL[f.__name__] = sql(text, *views)
-        return f
-
-    return register
+query = registrar(QUERIES, ORACLE_SQL)
 
 
 # Changes made of the fixture: every third status moves on a day, and as many new ones come.
@@ -199,10 +197,27 @@ def backoff_exponential(dispatch: DataFrame) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_key ORDER BY requested_at DESC, run_id DESC) AS rn FROM fx_runs) WHERE rn = 1)
-    SELECT subject_key, CASE WHEN status IN ('Pending', 'Queued', 'Leased') THEN 'active' WHEN status = 'Succeeded' THEN CASE WHEN run_id % 4 = 0 THEN 'succeeded_unknown_cv' WHEN run_id % 4 = 1 THEN 'succeeded_current_cv' ELSE 'cv_changed' END ELSE 'other' END AS decision FROM l""", "fx_runs")
+    , s AS (SELECT subject_key, run_id, CASE WHEN run_id % 23 = 0 THEN NULL WHEN run_id % 13 = 0 THEN 'failed' WHEN run_id % 19 = 0 THEN 'running' WHEN run_id % 7 = 0 THEN '' ELSE lower(status) END AS s FROM l),
+    r AS (SELECT subject_key, CASE WHEN s IS NULL THEN 'missing' WHEN s IN ('pending', 'queued', 'leased', 'running') THEN 'active' WHEN s = 'succeeded' THEN CASE WHEN run_id % 4 = 0 THEN 'succeeded_unknown_cv' WHEN run_id % 4 = 1 THEN 'succeeded_current_cv' ELSE 'cv_changed' END WHEN s = '' THEN 'unknown_status' ELSE s END AS reason FROM s)
+    SELECT subject_key, reason, reason NOT IN ('active', 'succeeded_current_cv', 'succeeded_unknown_cv') AS request FROM r""", "fx_runs")
 def compat_request_decision(runs: DataFrame) -> DataFrame:
-    version = F.when(F.col("run_id") % 4 != 0, (F.col("run_id") % 4).cast("string"))
-    return R.latest(runs).select("subject_key", R.request_decision(F.col("status"), version, F.lit("1")).alias("decision"))
+    k = F.col("run_id")
+    version = F.when(k % 4 != 0, F.concat(F.lit("V"), (k % 4).cast("string")))
+    status = F.when(k % 13 == 0, "Failed").when(k % 19 == 0, "RUNNING").when(k % 7 == 0, "").otherwise(F.col("status"))
+    return R.latest(runs).select("subject_key", R.request_decision(k % 23 != 0, status, version, F.lit("v1")).alias("d")).select("subject_key", "d.*")
+
+
+@query(f"""WITH s AS (SELECT dispatch_id, attempt_count, CASE event_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 401 WHEN 2 THEN 404 WHEN 3 THEN 429 WHEN 4 THEN 503 END AS code FROM fx_dispatch),
+    v AS (SELECT *, CASE WHEN code = 200 THEN 'sent' WHEN code = 404 THEN 'dead' ELSE 'retry' END AS status FROM s)
+    SELECT dispatch_id, status, attempt_count + 1 AS attempt_count, CASE WHEN status = 'sent' THEN {NOW} END AS sent_at,
+      CASE WHEN status = 'retry' THEN {NOW} + to_seconds(CASE WHEN code = 401 THEN 900 ELSE least(3600, 30 * CAST(pow(2, least(attempt_count, 8)) AS BIGINT)) END) END AS next_attempt_at FROM v""", "fx_dispatch")
+def dispatch_step(dispatch: DataFrame) -> DataFrame:
+    return _sent(dispatch)
+
+
+@query("SELECT count(*) AS attempted, count(*) FILTER (WHERE event_id % 6 = 0) AS sent, count(*) FILTER (WHERE event_id % 6 NOT IN (0, 2)) AS retry, count(*) FILTER (WHERE event_id % 6 = 2) AS dead, true AS export_enabled FROM fx_dispatch", "fx_dispatch")
+def dispatch_counters(dispatch: DataFrame) -> DataFrame:
+    return R.dispatch_counters(_sent(dispatch))
 
 
 @query(f"SELECT dispatch_id AS outbox_id, CASE WHEN event_id % 3 = 1 THEN {NOW} END AS published_at, attempt_count + CASE WHEN event_id % 3 > 0 THEN 1 ELSE 0 END AS publish_attempts, CASE WHEN event_id % 3 = 2 THEN 'down' END AS last_error FROM fx_dispatch", "fx_dispatch")

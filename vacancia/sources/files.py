@@ -15,13 +15,14 @@ from vacancia.functions.texts import html_to_text
 JOB = "external_id string, title string, url string, location string, description string, posted_at string"
 
 
-def read_envelope(spark: SparkSession, path: str, item: str, version: int = 1) -> DataFrame:
-    """Items of JSON documents ``{schemaVersion, items: [...]}``; another version is an error."""
-    docs = spark.read.schema(f"schemaVersion int, items array<struct<{item}>>").option("multiLine", True).json(path)
+def read_envelope(spark: SparkSession, path: str, item: str, version: int = 1, lines: bool = False) -> DataFrame:
+    """Items of JSON documents ``{schemaVersion, items: [...]}``, or with ``lines`` of what write_envelope writes; another
+    version is an error."""
+    docs = spark.read.schema(f"schemaVersion int, items array<struct<{item}>>, item struct<{item}>").option("multiLine", not lines).json(path)
     wrong = docs.where(~F.col("schemaVersion").eqNullSafe(F.lit(version))).limit(1).count()
     if wrong:
         raise ValueError(f"an envelope's schemaVersion isn't {version}")
-    return docs.select(F.explode("items").alias("i")).select("i.*")
+    return docs.select("item.*") if lines else docs.select(F.explode("items").alias("i")).select("i.*")
 
 
 def write_envelope(rows: DataFrame, path: str, version: int = 1) -> None:
@@ -34,10 +35,11 @@ def read_strict_csv(spark: SparkSession, path: str, header: Sequence[str] = ("na
 
     Quotes follow RFC 4180, a byte-order mark is ignored; another header or a stray quote is an error.
     """
-    first = spark.read.text(path).limit(1).collect()
-    found = [c.strip() for c in first[0][0].lstrip("﻿").split(",")] if first else []
-    if found != list(header):
-        raise ValueError(f"the header must be {','.join(header)}")
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    first = text.groupBy("file").agg(F.min_by("value", F.struct("block", "nth")).alias("line"))  # every file's first line
+    cells = F.transform(F.split(F.regexp_replace("line", "^\ufeff", ""), ","), F.trim)
+    if first.isEmpty() or not first.where(cells != F.array(*map(F.lit, header))).isEmpty():
+        raise ValueError(f"the header of each file must be {','.join(header)}")
     schema = ", ".join(f"`{c}` string" for c in header) + ", _bad string"
     rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').option("columnNameOfCorruptRecord", "_bad").csv(path)
     open_quote = F.length(F.regexp_replace("_bad", '[^"]', "")) % 2 == 1
