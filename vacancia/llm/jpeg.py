@@ -308,6 +308,20 @@ def thumbnails(files: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
     return out
 
 
+#: What reading a file raises that isn't a baseline JPEG, or is cut short.
+MALFORMED = (ValueError, IndexError, KeyError, struct.error, ZeroDivisionError)
+
+
+def readable_thumbnails(files: list[bytes]) -> list[list[tuple[int, int, np.ndarray]] | None]:
+    """As ``thumbnails``, with None for files that can't be read: a batch that holds one is halved until it stands alone."""
+    try:
+        return thumbnails(files)
+    except MALFORMED:
+        if len(files) == 1:
+            return [None]
+        return readable_thumbnails(files[: len(files) // 2]) + readable_thumbnails(files[len(files) // 2 :])
+
+
 def feature(images: list[tuple[int, int, np.ndarray]]) -> str:
     """Dimensions of the first image, a 64-bit average hash of its thumbnail, and XXH64 of all thumbnails' samples."""
     width, height, first = images[0]
@@ -334,15 +348,20 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def features(stored: DataFrame) -> DataFrame:
-    """What the stored bytes hold: payload and media digests, and the thumbnail feature."""
+    """What the stored bytes hold: payload and media digests, and the thumbnail feature.
+
+    Media that aren't a baseline JPEG, or are null, give their own size and digest and nulls for what can't be read."""
     key = stored.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media", 3 << 20):
-            media = batch.column("media").to_pylist()
+            media = [m or b"" for m in batch.column("media").to_pylist()]
             rows = []
-            for data, images in zip(media, thumbnails(media), strict=True):
+            for data, images in zip(media, readable_thumbnails(media), strict=True):
+                if not images:
+                    rows.append((None, None, None, len(data), hashlib.sha256(data).hexdigest(), None))
+                    continue
                 payload = b"".join(samples.tobytes() for *_, samples in images)
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(images)))
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
