@@ -328,6 +328,61 @@ def test_media_is_a_jpeg_that_others_read():
     assert picture.mode == "L" and np.asarray(picture)[::8, ::8].tobytes() == data
 
 
+def colour_jpeg(rng, width, height):
+    """A baseline file of three components (4:2:0) with AC coefficients and no restart markers, and its luma DC levels."""
+    dc_symbols, ac_symbols = list(range(12)), [0, 0xF0, *(r << 4 | s for r in range(4) for s in range(1, 5))]
+    dc = {s: (i, 4) for i, s in enumerate(dc_symbols)}
+    ac = {s: (i, 6) for i, s in enumerate(ac_symbols)}
+    across, down = -(-width // 16), -(-height // 16)
+    bits, previous, luma = [], [0, 0, 0], np.zeros((2 * down, 2 * across), dtype=int)
+
+    def put(value, n):
+        bits.append(format(value, f"0{n}b") if n else "")
+
+    def number(value, size):
+        put(value if value > 0 else value + (1 << size) - 1, size)
+
+    for m in range(across * down):
+        for c, k in [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (2, 0)]:
+            level = int(rng.integers(-60, 60))
+            diff, previous[c] = level - previous[c], level
+            put(*dc[abs(diff).bit_length()])
+            number(diff, abs(diff).bit_length())
+            at = 1
+            while at < 64 and rng.random() < 0.6:
+                run, value = int(rng.integers(0, 4)), int(rng.integers(1, 15)) * int(rng.choice([-1, 1]))
+                if at + run >= 63:
+                    break
+                put(*ac[run << 4 | abs(value).bit_length()])
+                number(value, abs(value).bit_length())
+                at += run + 1
+            put(*ac[0])
+            if c == 0:
+                luma[2 * (m // across) + k // 2, 2 * (m % across) + k % 2] = level
+    text = "".join(bits)
+    text += "1" * (-len(text) % 8)
+    scan = int(text, 2).to_bytes(len(text) // 8, "big").replace(b"\xff", b"\xff\x00")
+    segment = lambda marker, body: bytes([255, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+    table = lambda kind, symbols, n: segment(0xC4, bytes([kind]) + bytes(len(symbols) if k == n else 0 for k in range(1, 17)) + bytes(symbols))
+    frame = bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
+    head = b"\xff\xd8" + segment(0xDB, bytes([0]) + bytes([16] * 64)) + segment(0xC0, frame) + table(0, dc_symbols, 4) + table(0x10, ac_symbols, 6)
+    return head + segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])) + scan + b"\xff\xd9", luma
+
+
+def test_colour_with_coefficients_and_broken_files(spark):
+    rng = np.random.default_rng(3)
+    files = [colour_jpeg(rng, 70, 40), colour_jpeg(rng, 16, 16), colour_jpeg(rng, 33, 90)]
+    for (data, luma), (width, height) in zip(files, [(70, 40), (16, 16), (33, 90)], strict=True):
+        ((w, h, samples),) = jpeg.thumbnails([data])[0]
+        want = np.clip((luma * 16 + 4) // 8 + 128, 0, 255)[: -(-height // 8), : -(-width // 8)]
+        assert (w, h) == (width, height) and (samples == want).all()
+    good = jpeg.encode([b"x" * 192])[0]
+    rows = [(1, 0, files[0][0]), (2, 0, b"no image"), (3, 0, files[1][0][:-30]), (4, 192, good), (5, 0, None), (6, 0, good[:-2]), (None, 0, good)]
+    got = {r.doc_id: r for r in jpeg.features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert {k for k, r in got.items() if r.feature is None} == {2, 3, 5, 6} and got[4].payload_sha256 == hashlib.sha256(b"x" * 192).hexdigest() == got[None].payload_sha256
+    assert got[2].media_bytes == 8 and got[5].media_bytes == 0
+
+
 def test_token_rollup(spark):
     counters = {"words-1": token_rollup.count_words, "chars-1": lambda ts: np.array([len(t) for t in ts])}
     schema = "doc_id long, change string, seq int, text string, source string, lang string, tokens string, sign string"
@@ -465,6 +520,107 @@ def test_quality_learns_and_keeps_its_fold(spark):
     assert {r.score for r in quality.classify(docs.limit(3), labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_ratios_against_counts(spark):
+    rnd = random.Random(6)
+    words = [f"k{c}" for c in "abcdefgh"]
+    texts = [" ".join(rnd.choice(words[: 5 if i % 2 else 8]) for _ in range(6)) for i in range(60)]
+    docs, labels = frame(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    learned = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    count = {k: Counter() for k in (0, 1)}
+    for i in learned:
+        w = texts[i].split()
+        count[i % 2].update({*w, *zip(w, w[1:], strict=False)})
+    total = {k: sum(c.values()) + 2**18 for k, c in count.items()}
+    hashes = quality.WordHashes()
+    for w in words:
+        column = quality.indicators([w.encode()], hashes, 18)[0][0]
+        want = np.log((count[1][w] + 1) / total[1]) - np.log((count[0][w] + 1) / total[0])
+        assert model.scale[column] == pytest.approx(want)
+    rows = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    assert rows == pytest.approx({i: float(model.scores([t.encode()], hashes)[0]) for i, t in enumerate(texts)})
+
+
+def test_dual_coordinate_descent_meets_its_conditions():
+    rng = np.random.default_rng(1)
+    rows = [(np.array([0, 1, 2]), rng.normal(size=3)) for _ in range(80)]
+    y = np.array([1.0 if v[0] + 0.3 * v[1] + 0.2 * rng.normal() > 0 else -1.0 for _, v in rows])
+    cost = np.full(80, 0.7)
+    w, bias = quality.dual_coordinate_descent(rows, y, cost, 3, 2000)
+    x = np.array([[*v, 1.0] for _, v in rows])
+    full = np.array([*w, bias])
+    primal = 0.5 * full @ full + (cost * np.maximum(0, 1 - y * (x @ full))).sum()
+    grid = full + rng.normal(scale=0.05, size=(400, 4))
+    others = 0.5 * (grid**2).sum(1) + (cost * np.maximum(0, 1 - y * (grid @ x.T))).sum(1)
+    assert primal <= others.min() + 1e-6
+
+
+def test_contamination_against_brute_force(spark):
+    rnd = random.Random(12)
+    words = ["pears", "figs", "and", "or", "boats", "sail", "north", "slowly", "while", "rain", "falls", "on", "7", "8", "9", "kg", "Ann", "Bob"]
+    items = [" ".join(rnd.choice(words) for _ in range(rnd.choice([5, 9, 16, 30]))) for _ in range(12)]
+    items[5] = items[4]
+    docs = []
+    for i in range(40):
+        w = [rnd.choice(words) for _ in range(rnd.randint(0, 25))]
+        if i % 2:
+            part = rnd.choice(items).split()
+            if i % 4 == 1:
+                part = [{"7": "21", "8": "22", "9": "23"}.get(x, x) for x in part]
+            w[len(w) // 2 : len(w) // 2] = part
+        docs.append(" ".join(w))
+    lexicon = decontaminate.Lexicon()
+    read = lambda t: decontaminate.canonical([t.encode()], lexicon)
+
+    def places(s, w, wide):
+        """Every window of a text by its content: (key, start, width, slots)."""
+        out = []
+        kinds, codes, values = s.kind.tolist(), s.code.tolist(), s.value.tolist()
+        for a in range(len(kinds) - w + 1):
+            ends = {a + w: kinds[a : a + w].count(0) >= min(5, w)}
+            literal = [k for k in range(a, len(kinds)) if not kinds[k]]
+            if wide and not ends[a + w] and len(literal) >= 5:
+                ends[literal[4] + 1] = True
+            for end, enough in ends.items():
+                at = [k for k in range(a, end) if kinds[k]]
+                seen = {}
+                order = tuple(seen.setdefault((kinds[k], values[k]), len(seen)) for k in at)
+                out.append(((enough, tuple((codes if enough else list(zip(values, kinds, strict=True)))[a:end]), order), a, end - a, [values[k] for k in at]))
+        return out
+
+    want = {}
+    for d, text in enumerate(docs):
+        s = read(text)
+        for i, item in enumerate(items):
+            t, size = read(item), len(read(item).code)
+            w = min(8, size)
+            mine, theirs = places(s, w, w == 8), places(t, w, w == 8)
+            diagonals = {}
+            for key, a, wide, slots in mine:
+                for other, b, _, item_slots in theirs:
+                    if key == other:
+                        diagonals.setdefault(a - b, []).append((a, wide, slots, item_slots))
+            good = []
+            for found in diagonals.values():
+                became = {}
+                for a, wide, slots, item_slots in sorted(found, key=lambda f: f[:2]):
+                    if all(became.get(x, y) == y for x, y in zip(item_slots, slots, strict=True)):
+                        became.update(zip(item_slots, slots, strict=True))
+                        good.append((a, a + wide))
+            run = best = 0
+            flat = sorted({k for a, b in good for k in range(a, b)})
+            for k, at in enumerate(flat):
+                run = run + 1 if k and flat[k - 1] == at - 1 else 1
+                best = max(best, run)
+            if best >= min(12, size):
+                want[d, i] = best
+    table = spark.createDataFrame(list(enumerate(items)) + [(None, items[0]), (99, None)], "item_id long, text string")
+    odd = frame(spark, [*docs, items[0], docs[0], items[6]], [*range(len(docs)), None, 0, 70]).withColumn("item_id", F.lit(1)).withColumn("template", F.lit("x"))
+    got = {(r.doc_id, r.item_id): r.n_symbols for r in decontaminate.contaminated(odd, table).collect()}
+    want |= {(70, i): len(read(items[6]).code) for i in range(12) if items[i] == items[6]}
+    assert {k: v for k, v in got.items() if k[0] not in (0, 70)} == {k: v for k, v in want.items() if k[0] not in (0, 70)} and (70, 6) in got and len(want) > 10
+
+
 EMPTY = {
     "quality": lambda d, s: quality.classify(d, s.createDataFrame([(1, 1)], "doc_id long, quality int")),
     "pst": lambda d, s: pst.score(d),
