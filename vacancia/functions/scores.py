@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacancia.functions.texts import truncate_with_note
+
+# The longest summary and the longest piece of raw output that are stored.
+LONGEST_SUMMARY, LONGEST_SNIPPET = 1800, 400
 # Levels, what other words for them mean, and in which order parts of longer phrases are tried.
 LEVELS = ("A1", "A2", "B1", "B2", "C1", "C2")
 LEVEL_ALIASES = {
@@ -55,6 +59,41 @@ def language_gate(required: DataFrame, spoken: DataFrame, key: str, applicant: s
     return rows.groupBy(key, applicant).agg(F.count_if(~met).alias("missing"), F.count_if(met).alias("met")).withColumn("disqualified", F.col("missing") > 0)
 
 
+def scored_section(answer: Column, names: tuple[str, ...], missing: str) -> Column:
+    """Struct of score and description of a section of a model's answer, under any of its names."""
+    path = lambda *parts: F.get_json_object(answer, "$." + ".".join(parts))
+    told = F.coalesce(*[F.when(path(n).startswith("{"), F.lit(True)) for n in names], F.lit(False))
+    first = lambda fields: F.coalesce(*[F.nullif(path(n, f), F.lit("")) for n in names for f in fields])
+    score = F.when(told, clamp_score(first(("score", "Score", "value", "Value")))).otherwise(0.0)
+    text = F.when(told, F.trim(F.coalesce(first(("description", "Description", "summary", "Summary")), F.lit(missing)))).otherwise(missing)
+    return F.struct(score.alias("score"), truncate_with_note(text, LONGEST_SUMMARY).alias("description"))
+
+
+def model_result(answer: Column) -> Column:
+    """A model's answer (a JSON object) in the form that is stored: description, languages, three scored sections, notes."""
+    from vacancia.functions.profiles import language_list
+
+    either = lambda *names: F.coalesce(*[F.nullif(F.get_json_object(answer, f"$.{n}"), F.lit("")) for n in names])
+    told = F.trim(F.coalesce(either("Description", "description", "summary", "Summary"), F.lit("")))
+    description = F.when(told == "", "Structured compatibility summary could not be reliably extracted.").otherwise(truncate_with_note(told, LONGEST_SUMMARY))
+    listed = lambda part: language_list(F.coalesce(*[F.get_json_object(answer, f"$.{n}.{part}") for n in ("Languages", "languages")]))
+    failed, raw = F.get_json_object(answer, "$.__parse_error"), F.get_json_object(answer, "$.__raw")
+    notes = F.array(
+        F.when(told == "", "description was absent"),
+        F.when(failed != "", F.concat(F.lit("model output JSON parse failed: "), failed)),
+        F.when((failed != "") & (raw != ""), F.concat(F.lit("raw model output snippet: "), truncate_with_note(raw, LONGEST_SNIPPET))),
+    )
+    sections = {
+        "hard_skills": (("HardSkills", "hardSkills", "hard_skills"), "Hard skills match could not be reliably extracted."),
+        "experience": (("Experience", "experience"), "Experience match could not be reliably extracted."),
+        "soft_skills": (("SoftSkills", "softSkills", "soft_skills"), "Soft skills match could not be reliably extracted."),
+    }
+    return F.struct(
+        description.alias("description"), listed("Applicant").alias("applicant_languages"), listed("Job.Mandatory").alias("mandatory_languages"), listed("Job.Optional").alias("optional_languages"),
+        *[scored_section(answer, names, missing).alias(part) for part, (names, missing) in sections.items()], F.array_compact(notes).alias("notes"),
+    )
+
+
 def valid_score(value: Column) -> Column:
     """A score from 0 to 10 to one decimal, half to even; null outside."""
     number = value.try_cast("double")

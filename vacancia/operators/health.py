@@ -293,6 +293,48 @@ def tenant_step(rows: DataFrame, now: Column, p: Policy = Policy()) -> DataFrame
     )
 
 
+def with_previous(results: DataFrame, targets: DataFrame, previous: DataFrame) -> DataFrame:
+    """Results with their target's key and the state kept under it, else under its key without a variant.
+
+    ``targets``: sequence, provider, tenant, variant; ``previous``: state columns under the same key. ``legacy`` says that
+    the state was found without the variant, and moves to the new key.
+    """
+    key = ["provider", "tenant"]
+    named = results.join(targets, "sequence")
+    state = [c for c in previous.columns if c not in (*key, "variant")]
+    exact = previous.select(*[F.col(c).alias(f"_e_{c}") for c in (*key, "variant")], F.struct(*state).alias("_exact"))
+    plain = previous.where("variant is null").select(*[F.col(c).alias(f"_l_{c}") for c in key], F.struct(*state).alias("_plain"))
+    same = [named[c].eqNullSafe(exact[f"_e_{c}"]) for c in (*key, "variant")]
+    joined = named.join(exact, same, "left").join(plain, [named[c] == plain[f"_l_{c}"] for c in key], "left")
+    found = F.coalesce("_exact", "_plain")
+    return joined.select(*[named[c] for c in named.columns], *[found[c].alias(c) for c in state], (F.col("_exact").isNull() & F.col("_plain").isNotNull()).alias("legacy"))
+
+
+def retained_providers(before: DataFrame, observed: DataFrame) -> DataFrame:
+    """Kept states of providers, without those of no variant where a variant of the provider was observed."""
+    families = observed.where("variant is not null").select("provider").distinct()
+    whole = before.where("variant is null").join(families, "provider", "left_anti").select(*before.columns)
+    return before.where("variant is not null").unionByName(whole)
+
+
+def partition_report(health: DataFrame, changes: DataFrame, canaries: DataFrame, planned: DataFrame) -> DataFrame:
+    """Health of every planned or observed partition with its listings' anomalies, outcomes and canaries, and warnings.
+
+    ``changes``: health_partition, listing_outcome; ``canaries``: health_partition, verdict.
+    """
+    count = lambda outcome: F.count_if(F.col("listing_outcome") == outcome)
+    listed = changes.groupBy("health_partition", F.coalesce("listing_outcome", F.lit("unknown")).alias("listing_outcome")).agg(F.count("*").alias("n"))
+    outcomes = listed.groupBy("health_partition").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("listing_outcome", "n")))).alias("outcomes"))  # outcomes are few
+    odd = changes.groupBy("health_partition").agg(count("listing_empty_anomaly").alias("empty_anomalies"), count("listing_volume_anomaly").alias("volume_anomalies"))
+    watched = canaries.groupBy("health_partition").agg(F.count("*").alias("canaries"), F.count_if(F.col("verdict") == "degraded").alias("degraded_canaries"))
+    keys = planned.select("health_partition").union(health.select("health_partition")).distinct()
+    rows = keys.join(health, "health_partition", "left").join(odd, "health_partition", "left").join(outcomes, "health_partition", "left").join(watched, "health_partition", "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("empty_anomalies", "volume_anomalies", "canaries", "degraded_canaries")}
+    rows = rows.withColumns(zero).withColumn("state", F.coalesce("state", F.lit("not_observed")))
+    warnings = {"degraded": F.col("state") == "degraded", "empty_listings": F.col("empty_anomalies") > 0, "volume_changes": F.col("volume_anomalies") > 0, "canary_degraded": F.col("degraded_canaries") > 0}
+    return rows.withColumn("warnings", F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in warnings.items()])))
+
+
 def provider_step(before: DataFrame, observed: DataFrame, events: DataFrame, now: Column, p: Policy = Policy()) -> DataFrame:
     """Providers' cooldowns: a breaker's event starts one, one that is over ends."""
     keys = before.select("health_partition").union(observed.select("health_partition")).union(events.select("health_partition")).distinct()

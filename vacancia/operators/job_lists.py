@@ -11,7 +11,7 @@ from datetime import datetime, timedelta
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacancia.functions.statuses import FINAL_STATUSES, status_key_sql
@@ -209,3 +209,19 @@ def exists_probe(probes: DataFrame, jobs: DataFrame) -> DataFrame:
     key = ["provider", "provider_tenant", "external_id"]
     found = jobs.where(~F.col("is_deleted")).groupBy(*key).agg(F.min("job_id").alias("job_id"))
     return probes.join(found, key, "left").withColumn("found", F.col("job_id").isNotNull())
+
+
+def exists_probe_url(probes: DataFrame, jobs: DataFrame, url: str) -> DataFrame:
+    """As ``exists_probe``, by the identity of a URL, which is returned with the answer."""
+    from vacancia.functions.urls import with_identity
+
+    rows = with_identity(probes, url, "_identity")
+    named = rows.withColumns({"provider": F.col("_identity.provider"), "provider_tenant": F.col("_identity.tenant"), "external_id": F.col("_identity.external_id")})
+    return exists_probe(named.drop("_identity"), jobs)
+
+
+def newest_per_user(status: DataFrame, jobs: DataFrame, most: int) -> DataFrame:
+    """The ``most`` newest jobs that each user has a status for; deleted jobs don't count. Spark drops later ones early."""
+    rows = status.join(jobs.where(~F.col("is_deleted")).select("job_id", "created_at"), "job_id")
+    w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("job_id").desc())
+    return rows.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= most).select("user_id", "job_id", "status")

@@ -112,6 +112,23 @@ def country_mentions(texts: DataFrame, key: str, text: str, countries: DataFrame
     return found.join(names.select("key", "country_code"), "key").groupBy(key, "country_code").agg(F.min("key").alias("term"))
 
 
+def country_lookup(rows: DataFrame, key: str, text: str, countries: DataFrame) -> DataFrame:
+    """key and country_code of what a user typed: ``Name (CC)``, a code, a name, or the first country that begins so.
+
+    ``countries``: code, name and nth, their order in the dictionary. Beginnings are looked up by an equi-join on all
+    beginnings of names.
+    """
+    typed = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    in_brackets = F.nullif(F.regexp_extract(typed, r"\((\w{2})\)\s*$", 1), F.lit(""))
+    asked = rows.select(key, typed.alias("_typed"), in_brackets.alias("_cc")).withColumn("_code", F.coalesce("_cc", "_typed"))
+    first = lambda column: F.min_by("code", "nth").alias(column)
+    codes = countries.groupBy(F.lower("code").alias("_code")).agg(first("_by_code"))
+    names = countries.groupBy(F.lower("name").alias("_typed")).agg(first("_by_name"))
+    begins = countries.select("code", "nth", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.left(F.lower(F.col("name")), n))).alias("_typed")).groupBy("_typed").agg(first("_begins"))
+    joined = asked.join(codes, "_code", "left").join(names, "_typed", "left").join(begins, "_typed", "left")
+    return joined.select(key, F.when(F.col("_cc").isNotNull(), F.col("_by_code")).otherwise(F.coalesce("_by_code", "_by_name", "_begins")).alias("country_code"))
+
+
 def consistency(primary: Column, secondary: Column) -> Column:
     """How two arrays of country codes agree: consistent, refined, conflicting or insufficient."""
     a, b = F.size(primary) > 0, F.size(secondary) > 0

@@ -74,6 +74,17 @@ def sweep(counts: DataFrame, most: int, days: int) -> DataFrame:
     return wide.select("provider", F.col("population_healthy").alias("healthy"), wanted.alias("healthy_per_run"), needed.alias("needed_per_run"), estimate.alias("sweep_days"), (F.lit(most) >= needed).alias("feasible"))
 
 
+def whole_sweep(sweeps: DataFrame, most: int) -> DataFrame:
+    """One row over all providers' sweeps: sums, the longest sweep (null if any provider never comes round), feasibility."""
+    stuck = (F.col("healthy") > 0) & F.col("sweep_days").isNull()
+    sums = sweeps.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("healthy", "healthy_per_run", "needed_per_run")],
+        F.coalesce(F.bool_or(stuck), F.lit(False)).alias("_stuck"), F.max("sweep_days").alias("_days"), F.coalesce(F.bool_and("feasible"), F.lit(True)).alias("_feasible"),
+    )
+    days = F.when(~F.col("_stuck"), F.coalesce("_days", F.lit(0)))
+    return sums.select("healthy", "healthy_per_run", "needed_per_run", days.alias("sweep_days"), (F.col("_feasible") & (F.lit(most) >= F.col("needed_per_run"))).alias("feasible"))
+
+
 def allot(due: dict[tuple[str, str], int], quotas: dict[str, int], budgets: dict[str, int], most: int, day: int) -> dict[tuple[str, str], int]:
     """How many targets each provider and bucket gets, from their counts alone (a number a provider and bucket).
 

@@ -98,6 +98,16 @@ def owned_delete(rows: DataFrame, wanted: DataFrame, key: str, owner: str) -> Da
     return rows.join(wanted.select(key, owner), [key, owner], "left_anti")
 
 
+def repair(before: Column, after: Column) -> Column:
+    """Whether a repaired text differs from the stored one: updated or unchanged."""
+    return F.when(after.eqNullSafe(before), "unchanged").otherwise("updated")
+
+
+def backfilled(rows: DataFrame, source: str, into: str, kind: str = "bigint") -> DataFrame:
+    """``rows`` with ``into`` filled from a text column where it casts, null elsewhere."""
+    return rows.withColumn(into, F.col(source).try_cast(kind))
+
+
 def set_difference(before: Column, after: Column) -> Column:
     """What came and what went between two arrays, each sorted, as a struct; null where they hold the same."""
     came, went = F.sort_array(F.array_except(after, before)), F.sort_array(F.array_except(before, after))

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancia.functions import texts, urls
+from vacancia.functions import scores, texts, urls
 from vacancia.operators import accounts as A
 from vacancia.operators import discovery as D
 from vacancia.operators import events as E
 from vacancia.operators import health as H
+from vacancia.operators import job_lists as J
 from vacancia.operators import planning as P
 from vacancia.operators import places
 from vacancia.plans.fixtures import registrar
@@ -173,3 +174,83 @@ def _case(nth: int) -> str:
 def proxy_identities(pages: DataFrame) -> DataFrame:
     url = F.replace(F.element_at(F.array(*[F.lit(row[0]) for row in PROXIED]), (F.col("page_id") % 9 + 1).cast("int")), F.lit("@"), F.col("page_id").cast("string"))
     return pages.select("page_id", urls.proxy_identity(url).alias("i")).select("page_id", "i.*")
+
+
+@query("SELECT o_orderkey, j.job_id, j.job_id IS NOT NULL AS found, 'acme' || o_custkey % 40 AS tenant FROM (SELECT *, 'x' || o_orderkey % 9000 AS ext FROM orders) LEFT JOIN (SELECT 'acme' || substr(provider_tenant, 2) AS tenant, external_id, min(job_id) AS job_id FROM fx_jobs WHERE NOT is_deleted AND provider = 'prov1' GROUP BY ALL) j ON j.tenant = 'acme' || o_custkey % 40 AND j.external_id = ext", "orders", "fx_jobs")
+def job_exists_by_url(orders: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Orders as postings on a system, looked up among the jobs of one provider that stands for that system."""
+    url = F.concat(F.lit("https://boards.greenhouse.io/acme"), (F.col("o_custkey") % 40).cast("string"), F.lit("/jobs/x"), (F.col("o_orderkey") % 9000).cast("string"))
+    known = jobs.where("provider = 'prov1'").withColumns({"provider": F.lit("greenhouse"), "provider_tenant": F.concat(F.lit("acme"), F.substr("provider_tenant", F.lit(2)))})
+    found = J.exists_probe_url(orders.select("o_orderkey", url.alias("url")), known, "url")
+    return found.select("o_orderkey", "job_id", "found", F.col("provider_tenant").alias("tenant"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, s_suppkey % 7 AS healthy, s_suppkey % 3 AS per_run, s_suppkey % 5 AS needed, CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey % 4 END AS days FROM supplier)
+    SELECT sum(healthy) AS healthy, sum(per_run) AS healthy_per_run, sum(needed) AS needed_per_run, max(days) AS sweep_days, 1000000 >= sum(needed) AS feasible FROM s""", "supplier")
+def sweep_total(supplier: DataFrame) -> DataFrame:
+    k = F.col("s_suppkey")
+    sweeps = supplier.select((k % 7).alias("healthy"), (k % 3).alias("healthy_per_run"), (k % 5).alias("needed_per_run"), F.when(k % 7 > 0, k % 4).alias("sweep_days"), F.lit(True).alias("feasible"))
+    return P.whole_sweep(sweeps, 1_000_000)
+
+
+@query("""WITH r AS (SELECT l.sequence, 'prov' || (sequence % 5) AS provider, tenant, CASE WHEN sequence % 3 > 0 THEN 'v' || (sequence % 3) END AS variant FROM fx_provider_results l),
+    b AS (SELECT DISTINCT provider, tenant, variant, CASE WHEN variant IS NULL THEN 'old' ELSE 'new' END AS health FROM r WHERE variant IS NULL OR variant = 'v1')
+    SELECT sequence, coalesce(e.health, p.health) AS health, e.health IS NULL AND p.health IS NOT NULL AS legacy FROM r LEFT JOIN b e ON e.provider = r.provider AND e.tenant = r.tenant AND e.variant IS NOT DISTINCT FROM r.variant LEFT JOIN b p ON p.provider = r.provider AND p.tenant = r.tenant AND p.variant IS NULL""", "fx_provider_results")
+def tenant_previous_state(results: DataFrame) -> DataFrame:
+    k = F.col("sequence")
+    targets = results.select("sequence", F.concat(F.lit("prov"), (k % 5).cast("string")).alias("provider"), "tenant", F.when(k % 3 > 0, F.concat(F.lit("v"), (k % 3).cast("string"))).alias("variant"))
+    before = targets.where("variant is null or variant = 'v1'").select("provider", "tenant", "variant").distinct().withColumn("health", F.when(F.col("variant").isNull(), "old").otherwise("new"))
+    return H.with_previous(results.select("sequence", "status"), targets, before).select("sequence", "health", "legacy")
+
+
+@query("WITH b AS (SELECT DISTINCT provider, CASE WHEN job_id % 2 = 0 THEN 'v' END AS variant FROM fx_jobs) SELECT provider, variant FROM b WHERE variant IS NOT NULL OR provider NOT IN ('prov2', 'prov4')", "fx_jobs")
+def providers_retained(jobs: DataFrame) -> DataFrame:
+    before = jobs.select("provider", F.when(F.col("job_id") % 2 == 0, "v").alias("variant")).distinct()
+    seen = jobs.select("provider", F.when(F.col("provider").isin("prov2", "prov4"), "v").alias("variant"))
+    return H.retained_providers(before, seen).select("provider", "variant")
+
+
+@query("""WITH h AS (SELECT health_partition, CASE WHEN count(*) FILTER (WHERE status = 'error') * 4 > count(*) THEN 'degraded' ELSE 'healthy' END AS state FROM fx_provider_results WHERE health_partition <> 'a:f' GROUP BY 1),
+    c AS (SELECT health_partition, CASE sequence % 3 WHEN 0 THEN 'listing_empty_anomaly' WHEN 1 THEN 'ok' END AS o, sequence FROM fx_provider_results WHERE health_partition NOT LIKE 'n%'),
+    k AS (SELECT health_partition, count(*) AS canaries, count(*) FILTER (WHERE sequence % 2 = 0) AS degraded FROM fx_provider_results WHERE health_partition LIKE 'r%' GROUP BY 1),
+    a AS (SELECT health_partition, count(*) FILTER (WHERE o = 'listing_empty_anomaly') AS empty, count(*) FILTER (WHERE o = 'ok') AS fine, count(*) FILTER (WHERE o IS NULL) AS unknown FROM c GROUP BY 1), p AS (SELECT DISTINCT health_partition FROM fx_provider_results)
+    SELECT health_partition, coalesce(state, 'not_observed') AS state, coalesce(empty, 0) AS empty_anomalies, 0 AS volume_anomalies, coalesce(canaries, 0) AS canaries, coalesce(degraded, 0) AS degraded_canaries,
+      array_to_string(list_filter([CASE WHEN empty > 0 THEN 'listing_empty_anomaly=' || empty END, CASE WHEN fine > 0 THEN 'ok=' || fine END, CASE WHEN unknown > 0 THEN 'unknown=' || unknown END], lambda x: x IS NOT NULL), ',') AS outcomes,
+      array_to_string(list_filter([CASE WHEN state = 'degraded' THEN 'degraded' END, CASE WHEN empty > 0 THEN 'empty_listings' END, CASE WHEN degraded > 0 THEN 'canary_degraded' END], lambda x: x IS NOT NULL), ',') AS warnings
+    FROM p LEFT JOIN h USING (health_partition) LEFT JOIN a USING (health_partition) LEFT JOIN k USING (health_partition)""", "fx_provider_results")
+def partition_report(results: DataFrame) -> DataFrame:
+    k = F.col("sequence")
+    health = results.where("health_partition <> 'a:f'").groupBy("health_partition").agg(F.when(F.count_if(F.col("status") == "error") * 4 > F.count("*"), "degraded").otherwise("healthy").alias("state"))
+    changes = results.where("health_partition NOT LIKE 'n%'").select("health_partition", F.when(k % 3 == 0, "listing_empty_anomaly").when(k % 3 == 1, "ok").alias("listing_outcome"))
+    canaries = results.where("health_partition LIKE 'r%'").select("health_partition", F.when(k % 2 == 0, "degraded").otherwise("healthy").alias("verdict"))
+    rows = H.partition_report(health, changes, canaries, results)
+    text = F.coalesce(F.array_join(F.transform(F.map_entries("outcomes"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","), F.lit(""))
+    return rows.withColumns({"outcomes": text, "warnings": F.array_join("warnings", ",")})
+
+
+@query("SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'C' || chr(CAST(65 + c_nationkey AS INT)) WHEN 1 THEN 'CD' WHEN 2 THEN 'C' || chr(CAST(65 + c_nationkey AS INT)) WHEN 3 THEN 'CA' WHEN 5 THEN NULL END AS country_code FROM customer", "customer", "nation")
+def country_typed(customer: DataFrame, nation: DataFrame) -> DataFrame:
+    k, n = F.col("c_custkey") % 6, F.col("c_nationkey").cast("string")
+    countries = nation.select(F.concat(F.lit("C"), F.char(65 + F.col("n_nationkey"))).alias("code"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("nth"))
+    said = F.when(k == 0, F.concat(F.lit(" nation_"), n, F.lit(" "))).when(k == 1, "Anything (cd)").when(k == 2, F.concat(F.lit("c"), F.lower(F.char(65 + F.col("c_nationkey"))))).when(k == 3, "NAT").when(k == 4, "elsewhere").otherwise("x (zz)")
+    return places.country_lookup(customer.select("c_custkey", said.alias("said")), "c_custkey", F.col("said"), countries)
+
+
+@query("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'Fits well' WHEN 1 THEN repeat('d', 1800) || '... 200 symbols cut' ELSE 'Structured compatibility summary could not be reliably extracted.' END AS description,
+    CASE WHEN s_suppkey % 3 = 0 THEN 'German=C1,English=B1' ELSE '' END AS applicant, CASE s_suppkey % 3 WHEN 0 THEN 7.3 WHEN 1 THEN 10 ELSE 0 END AS hard, CASE s_suppkey % 3 WHEN 0 THEN 'good' ELSE 'Hard skills match could not be reliably extracted.' END AS hard_text,
+    CASE WHEN s_suppkey % 3 = 2 THEN 'description was absent|model output JSON parse failed: bad|raw model output snippet: {x' ELSE '' END AS notes FROM supplier""", "supplier")
+def model_results(supplier: DataFrame) -> DataFrame:
+    k = F.col("s_suppkey") % 3
+    good = '{"Description":" Fits well ","Languages":{"Applicant":{"german":"advanced","English":""}},"HardSkills":{"Score":"7.26","summary":"good"}}'
+    odd = F.concat(F.lit('{"summary":"'), F.repeat(F.lit("d"), 2000), F.lit('","hard_skills":{"value":12}}'))
+    answer = F.when(k == 0, good).when(k == 1, odd).otherwise('{"__parse_error":"bad","__raw":"{x"}')
+    rows = supplier.select("s_suppkey", scores.model_result(answer).alias("r"))
+    spoken = F.array_join(F.transform("r.applicant_languages", lambda x: F.concat_ws("=", x["language"], x["level"])), ",")
+    return rows.select("s_suppkey", "r.description", spoken.alias("applicant"), F.col("r.hard_skills.score").alias("hard"), F.col("r.hard_skills.description").alias("hard_text"), F.array_join("r.notes", "|").alias("notes"))
+
+
+@query("SELECT c_custkey AS filter_id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_name || '!' END AS name FROM customer", "customer")
+def filters_insert(customer: DataFrame) -> DataFrame:
+    kept = customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("filter_id"), F.col("c_name").alias("name"))
+    new = customer.select(F.col("c_custkey").alias("filter_id"), F.concat("c_name", F.lit("!")).alias("name"))
+    return A.add_filters(kept, new, "filter_id")

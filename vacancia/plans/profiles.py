@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vacancia.functions import profiles, texts
 from vacancia.operators import discovery as D
-from vacancia.operators import eligibility, scheduling
+from vacancia.operators import eligibility, job_lists, scheduling
 from vacancia.operators import health as H
 from vacancia.operators import upserts as U
 from vacancia.operators.numbering import numbered
@@ -135,23 +135,19 @@ def two_phase_order(c: DataFrame) -> DataFrame:
 
 @query("SELECT user_id, job_id, status FROM (SELECT us.user_id, us.job_id, us.status, row_number() OVER (PARTITION BY us.user_id ORDER BY j.created_at DESC, j.job_id DESC) AS rn FROM fx_user_job_status us JOIN fx_jobs j USING (job_id) WHERE NOT is_deleted) WHERE rn <= 5", "fx_user_job_status", "fx_jobs")
 def active_jobs_per_user(status: DataFrame, jobs: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = status.join(jobs.where(~F.col("is_deleted")).select("job_id", "created_at"), "job_id")
-    w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("job_id").desc())
-    return rows.withColumn("_nth", F.row_number().over(w)).where("_nth <= 5").select("user_id", "job_id", "status")
+    return job_lists.newest_per_user(status, jobs, 5)
 
 
 @query("SELECT job_id, CASE WHEN job_id % 3 = 0 THEN 'unchanged' ELSE 'updated' END AS outcome FROM fx_jobs", "fx_jobs")
 def description_repair(jobs: DataFrame) -> DataFrame:
     new = F.when(F.col("job_id") % 3 == 0, F.col("title")).otherwise(F.concat("title", F.lit("!")))
-    return jobs.select("job_id", F.when(new.eqNullSafe(F.col("title")), "unchanged").otherwise("updated").alias("outcome"))
+    return jobs.select("job_id", U.repair(F.col("title"), new).alias("outcome"))
 
 
 @query("SELECT sequence, CASE WHEN sequence % 2 = 0 THEN TRY_CAST(sequence AS BIGINT) END AS telegram_id FROM fx_candidates", "fx_candidates")
 def cast_backfill(c: DataFrame) -> DataFrame:
     text = F.when(F.col("sequence") % 2 == 0, F.col("sequence").cast("string")).otherwise("x1")
-    return c.select("sequence", text.try_cast("bigint").alias("telegram_id"))
+    return U.backfilled(c.select("sequence", text.alias("text")), "text", "telegram_id").drop("text")
 
 
 @query("SELECT sequence, NOT contains(lower(source_provider), 'prov3') AND (contains(lower(source_provider), 'prov1') OR contains(lower(source_provider), 'prov2')) AS allowed FROM fx_candidates", "fx_candidates")
