@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vacancia.operators import discovery as D
 from vacancia.operators import health as H
 from vacancia.operators import planning as P
+from vacancia.operators import summary as S
 from vacancia.operators.numbering import numbered
 from vacancia.plans.fixtures import registrar, sql, table, view
 
@@ -320,3 +321,23 @@ def error_classes(r: DataFrame) -> DataFrame:
     code = F.when(F.col("sequence") % 4 == 0, "ETIMEDOUT").when(F.col("sequence") % 4 == 1, "ECONNRESET")
     e, h = F.col("error_class"), F.col("http_status")
     return r.select("sequence", H.error_class(code, h, F.lit("Error"), F.lit("")).alias("class"), H.is_durable(e, h).alias("durable"), H.is_transient(F.col("status"), e, h).alias("transient"))
+
+
+@query("""WITH t AS (SELECT sequence, CASE sequence % 10 WHEN 0 THEN 'priority' WHEN 1 THEN 'canary' ELSE 'normal' END AS kind, CASE sequence % 7 WHEN 1 THEN 'not_due' WHEN 2 THEN 'provider_cooldown' WHEN 3 THEN 'disabled' END AS why, CASE WHEN sequence % 3 > 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(sequence % 9 AS INT)) END AS start FROM fx_provider_results),
+    a AS (SELECT count(*) FILTER (WHERE why IS NULL) AS targets_planned, count(why) AS targets_skipped_by_schedule, count(*) FILTER (WHERE why IS NULL AND kind = 'priority') AS priority_targets, count(*) FILTER (WHERE why IS NULL AND kind = 'canary') AS canary_targets, count(*) FILTER (WHERE why IS NULL AND kind = 'normal') AS normal_targets,
+      count(*) FILTER (WHERE why = 'not_due') AS skipped_not_due, count(*) FILTER (WHERE why = 'provider_cooldown') AS skipped_provider_cooldown, 0 AS skipped_normal_budget, count(*) FILTER (WHERE why = 'disabled') AS disabled_targets_removed, 0 AS planning_rejected, min(start) FILTER (WHERE why IS NULL) AS lookback_earliest, max(start) FILTER (WHERE why IS NULL) AS lookback_latest, count(*) FILTER (WHERE why IS NULL AND start IS NULL) AS unbounded_lookback_targets FROM t),
+    b AS (SELECT count(*) FILTER (WHERE status <> 'skipped') AS targets_attempted, count(*) FILTER (WHERE status = 'skipped') AS targets_skipped_by_circuit, count(*) FILTER (WHERE status = 'ok') AS provider_successes, count(*) FILTER (WHERE status = 'error') AS provider_errors, count(*) FILTER (WHERE error_class = 'rate_limited') AS provider_rate_limited, sum(jobs_returned) AS raw_jobs_returned, sum(jobs_returned) AS candidates_matched_before_cap, sum(CASE WHEN sequence % 4 = 0 THEN 1 ELSE 0 END) AS candidates_dropped_by_cap FROM fx_provider_results),
+    e AS (SELECT sequence % 3 > 0 AS cat, CASE WHEN sequence % 5 = 0 THEN 'error' ELSE 'ok' END AS pre, sequence % 4 = 0 AS here FROM fx_candidates),
+    c AS (SELECT count(*) AS candidates, count(*) FILTER (WHERE pre = 'ok') AS preflight_checked, count(*) FILTER (WHERE pre = 'ok' AND here) AS preflight_existing, count(*) FILTER (WHERE pre = 'ok' AND NOT here) AS preflight_missing, count(*) FILTER (WHERE pre = 'error') AS preflight_errors, count(*) FILTER (WHERE cat) AS catalog_candidates, count(*) FILTER (WHERE cat AND pre = 'ok') AS catalog_preflight_checked, count(*) FILTER (WHERE cat AND pre = 'ok' AND here) AS catalog_preflight_existing, count(*) FILTER (WHERE cat AND pre = 'ok' AND NOT here) AS catalog_preflight_missing, count(*) FILTER (WHERE cat AND pre = 'error') AS catalog_preflight_errors FROM e),
+    d AS (SELECT count(*) AS tenant_state_changes, count(*) FILTER (WHERE sequence % 4 = 0) AS tenants_marked_active, count(*) FILTER (WHERE sequence % 4 = 1) AS tenants_marked_long_empty, count(*) FILTER (WHERE sequence % 4 = 2) AS tenants_marked_suspected_dead, 0 AS tenants_marked_confirmed_dead, count(*) FILTER (WHERE sequence % 6 = 0) AS tenants_scheduled_for_empty_reprobe, count(*) FILTER (WHERE sequence % 6 IN (0, 1)) AS tenants_scheduled_for_listing_reprobe FROM fx_provider_results WHERE status = 'ok'),
+    f AS (SELECT count(*) AS provider_canaries, count(*) FILTER (WHERE status = 'ok') AS provider_canaries_healthy, count(*) FILTER (WHERE status = 'error') AS provider_canaries_degraded, count(*) FILTER (WHERE status = 'skipped') AS provider_canaries_inconclusive FROM fx_provider_results)
+    SELECT *, round(preflight_existing / preflight_checked, 4) AS preflight_existing_ratio, round(catalog_preflight_existing / catalog_preflight_checked, 4) AS catalog_preflight_existing_ratio, round(provider_successes / targets_attempted, 4) AS provider_success_ratio, round(candidates / raw_jobs_returned, 4) AS candidate_ratio FROM a, b, c, d, f""", "fx_provider_results", "fx_candidates")
+def run_report(r: DataFrame, c: DataFrame) -> DataFrame:
+    k = F.col("sequence")
+    start = F.when(k % 3 > 0, F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval((k % 9).cast("int")))
+    targets = r.select(F.when(k % 10 == 0, "priority").when(k % 10 == 1, "canary").otherwise("normal").alias("target_class"), F.when(k % 7 == 1, "not_due").when(k % 7 == 2, "provider_cooldown").when(k % 7 == 3, "disabled").alias("skip_reason"), start.alias("lookback_start"))
+    results = r.select("status", "error_class", F.when(F.col("status") == "skipped", "provider_circuit_open").alias("skip_reason"), "jobs_returned", F.col("jobs_returned").alias("matched"), F.when(k % 4 == 0, 1).otherwise(0).alias("dropped_by_cap"))
+    evaluated = c.select(F.when(k % 3 > 0, "catalog").otherwise("portal").alias("source_mode"), F.when(k % 5 == 0, "error").otherwise("ok").alias("preflight"), (k % 4 == 0).alias("exists"))
+    changes = r.where("status = 'ok'").select(F.when(k % 4 == 0, "active").when(k % 4 == 1, "long_empty").when(k % 4 == 2, "suspected_dead").alias("health"), F.when(k % 6 == 0, "listing_empty_anomaly").when(k % 6 == 1, "listing_volume_anomaly").alias("listing_outcome"))
+    canaries = r.select(F.when(F.col("status") == "ok", "healthy").when(F.col("status") == "error", "degraded").otherwise("inconclusive").alias("verdict"))
+    return S.run_report(targets, results, evaluated, changes, canaries)

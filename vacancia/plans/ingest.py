@@ -154,3 +154,26 @@ def stream_rolling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stream_event_dedupe"] = stream_event_dedupe
 QUERIES["stream_rolling_counts"] = stream_rolling_counts
+
+
+def stream_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures in a row, results and last health of each user, whose events stand for a target's results, as a stream folds
+    them to its end."""
+    schema = table(spark, sf_dir, "events").schema
+    rows = ingest.read_events(spark, sf_dir, schema).select(
+        F.col("event_id").alias("sequence"), F.col("user_id").cast("string").alias("tenant"), F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "skipped").otherwise("ok").alias("status")
+    )
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ingest.STATE_PROVIDER)
+    try:
+        found = ingest.to_table(ingest.fold_tenants(rows), new_folder(spark, "state"), "update")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    last = found.groupBy("tenant").agg(F.max_by(F.struct("failures", "seen", "health"), "batch").alias("s"))
+    return last.select("tenant", "s.*")
+
+
+QUERIES["stream_state_counts"] = stream_state_counts
+ORACLE_SQL["stream_state_counts"] = """WITH r AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'skipped' ELSE 'ok' END AS status FROM events),
+    o AS (SELECT user_id, max(event_id) FILTER (WHERE status = 'ok') AS ok, count(*) AS seen FROM r GROUP BY 1), f AS (SELECT user_id, any_value(seen) AS seen, count(*) FILTER (WHERE status = 'error' AND event_id > coalesce(ok, -1)) AS failures FROM r JOIN o USING (user_id) GROUP BY 1)
+    SELECT CAST(user_id AS VARCHAR) AS tenant, failures, seen, CASE WHEN failures = 0 THEN 'healthy' WHEN failures < 3 THEN 'temporarily_failed' WHEN failures < 5 THEN 'suspected_dead' ELSE 'confirmed_dead' END AS health FROM f"""
