@@ -44,7 +44,7 @@ class Params:
     mu: float = 2.0
     alpha: float = 0.1
     folds: int = 10
-    chunk_bytes: int = 12 << 20
+    chunk_bytes: int = 10 << 20
 
 
 def held_out(doc_id: Column, folds: int) -> Column:
@@ -68,19 +68,17 @@ class Chunk:
     """The tokens of some documents and their distinct n-grams of each order up to ``order``."""
 
     def __init__(self, table: pa.Table, order: int, indexed: bool = True):
-        words = [t.lower().split() for cell in table.column("texts").to_pylist() for t in _unbundled(cell)]
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        self.sizes = sizes + 1
+        end, parts, sizes = np.array([END], dtype=U64), [], []
+        for cell in table.column("texts"):  # words of one text at a time: a chunk's words take many times its bytes
+            for text in _unbundled(cell.as_py()):
+                words = text.lower().split()
+                sizes.append(len(words) + 1)
+                parts += [_HASHES.of(words), end]
+        token = np.concatenate(parts) if parts else np.zeros(0, dtype=U64)
+        del parts
+        self.sizes = np.array(sizes, dtype=np.int64)
         ends = np.cumsum(self.sizes)
-        token = np.empty(int(ends[-1]) if len(ends) else 0, dtype=U64)
-        is_word = np.ones(len(token), dtype=bool)
-        is_word[ends - 1] = False
-        out, at = np.empty(int(sizes.sum()), dtype=U64), 0
-        for ws in words:
-            out[at : at + len(ws)] = _HASHES.of(ws)
-            at += len(ws)
-        token[is_word], token[~is_word] = out, END
-        self.doc = np.repeat(np.arange(len(words)), self.sizes)
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), self.sizes)
         place = np.arange(len(token)) - np.repeat(ends - self.sizes, self.sizes)
         train = ~np.array([h for cell in table.column("held_out").to_pylist() for h in cell], dtype=bool)
         weight = train[self.doc]
@@ -179,12 +177,13 @@ def answers(group: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
     for kind in np.unique(kinds):
         part = group.filter(pa.array(kinds == kind))
         sent = [np.cumsum(_unpacked(x), dtype=U64) for x in part.column("keys").to_pylist()]
-        amounts = np.concatenate([_from_amounts(x) for x in part.column("amounts").to_pylist()])
+        cuts = np.cumsum([0, *map(len, sent)])
         keys, inverse = np.unique(np.concatenate(sent), return_inverse=True)
         sums = np.zeros(len(keys), dtype=np.int64)
-        np.add.at(sums, inverse, amounts)
+        for a, x in zip(cuts[:-1], part.column("amounts").to_pylist(), strict=True):
+            amounts = _from_amounts(x)
+            np.add.at(sums, inverse[a : a + len(amounts)], amounts)
         back = sums[inverse]
-        cuts = np.cumsum([0, *map(len, sent)])
         cells = [np.packbits(x > least).tobytes() if kind >= 100 else _packed(x.astype(U64)) for x in (back[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
         n = len(sent)
         yield pa.RecordBatch.from_arrays(
