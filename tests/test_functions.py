@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacancia.functions import identity, scores, statuses, texts, urls
-from vacancia.operators import discovery, events, job_lists, places, planning
+from vacancia.operators import discovery, events, health, job_lists, places, planning
 from vacancia.sources import files
 
 
@@ -136,6 +136,7 @@ def test_levels_and_scores(spark):
 
 
 FEEDS = {
+    "softgarden": '<li data-job-id="1"><a class="jobTitle" href="/job/1">Dev</a></li><li data-job-id="2">no link</li>',
     "greenhouse": '{"jobs":[{"id":1,"title":" Dev ","absolute_url":"https://x/1","location":{"name":"Berlin"},"content":"c","updated_at":"2024-01-01"}]}',
     "lever": '[{"id":"1","text":"Dev","hostedUrl":"https://x/1","categories":{"location":"A","allLocations":["Berlin","Berlin"]},"descriptionPlain":"c","createdAt":0}]',
     "ashby": '{"jobs":[{"id":"1","title":"Dev","jobUrl":"https://x/1","location":"Berlin","isListed":true},{"id":"2","title":"No","isListed":false}]}',
@@ -157,6 +158,21 @@ def test_json_ld(spark):
     assert [json.loads(x)["title"] if x else None for x in each(spark, [page, "<p>", None], files.job_posting)] == ["Dev", None, None]
 
 
+def test_softgarden_widget(spark):
+    html = """<ul><li data-job-id="7" class="x"><a class="jobTitle" href="/job/7/dev?x=1"><b>Dev &amp; Ops</b></a><span class="location-view-item">Bonn</span><span class="a location-view-item">bonn</span>
+      <span class="location-view-item">Köln</span><span class="matchValue date">1.2.24</span></li><li data-job-id="8"><a href="/other">no</a></li><li data-job-id="7"><a href="/job/7">again</a></li></ul>"""
+    rows = files.parse_feed(spark.createDataFrame([("s", html)], "tenant string, payload string"), "softgarden").collect()
+    assert [(r.tenant, r.external_id, r.title, r.url, r.location, r.posted_at) for r in rows] == [("s", "7", "Dev & Ops", "/job/7/dev?x=1", "Bonn / Köln", "1.2.24")]
+
+
+def test_policies_are_checked():
+    got = health.policies({"defaults": {"concurrency": 4}, "lever": {"ratio_threshold": 0.25}, "ashby": None})
+    assert (got["lever"].concurrency, got["lever"].ratio_threshold, got["ashby"].concurrency, got["defaults"].transient_threshold) == (4, 0.25, 4, 8)
+    for bad in ({"x y": {}}, {"lever": {"speed": 1}}, {"lever": {"concurrency": 0}}, {"lever": {"concurrency": True}}, {"lever": {"concurrency": 2.5}}, {"lever": {"ratio_threshold": 1.5}}, {"lever": {"ratio_threshold": "1"}}):
+        with pytest.raises(ValueError):
+            health.policies(bad)
+
+
 def test_envelope_and_csv(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"schemaVersion":1,"items":[{"slug":"x"},{"slug":"y"}]}')
     assert files.read_envelope(spark, str(tmp_path / "a.json"), "slug string").count() == 2

@@ -194,6 +194,49 @@ def match_profiles(candidates: DataFrame, users: Sequence[dict]) -> DataFrame:
     return rows.select("sequence", F.explode(F.array_compact(F.array(*items))).alias("m")).select("sequence", "m.*")
 
 
+def users_error(users: DataFrame, most: int = 100) -> DataFrame:
+    """user_id and the first thing wrong with each user of a payload, null for a valid one.
+
+    Reads user_id, cv_version_id, cv_last_updated, has_saved_filters, invalid_profile_count and profiles: an array of
+    profile_id and ``lists``, a map from a list's name to its terms. More than ``most`` users are an error as a whole.
+    """
+    if users.limit(most + 1).count() > most:
+        raise ValueError(f"a payload holds {most} users at most")
+    control = r"[\x00-\x1f\x7f]"
+    key = F.lower("user_id")
+    again = F.count("*").over(Window.partitionBy(key)) > 1
+
+    def bounded(value: Column) -> Column:
+        return (F.trim(value) != "") & (F.length(value) <= 128) & ~value.rlike(control)
+
+    def long_list(name: Column, terms: Column) -> Column:
+        few = F.when(name == "remote_types", 10).otherwise(50)
+        length = F.when(name == "remote_types", 40).otherwise(120)
+        return (F.size(terms) > few) | F.exists(terms, lambda t: t.isNull() | (F.trim(t) == "") | (F.length(t) > length))
+
+    def bad(p: Column) -> Column:
+        lists = F.map_entries(F.coalesce(p["lists"], F.create_map().cast("map<string,array<string>>")))
+        empty = ~F.exists(lists, lambda e: F.size(e["value"]) > 0)
+        return empty | F.exists(lists, lambda e: F.coalesce(long_list(e["key"], e["value"]), F.lit(False))) | (p["profile_id"].isNotNull() & ~bounded(p["profile_id"]))
+
+    no = F.lit(False)
+    rules = {
+        "invalid_user_id": ~F.coalesce(key.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"), no),
+        "invalid_cv_version_id": ~F.coalesce(bounded(F.col("cv_version_id")), no),
+        "duplicate_user": again,
+        "missing_profiles": F.col("profiles").isNull(),
+        "too_many_profiles": F.size("profiles") > 20,
+        "missing_has_saved_filters": F.col("has_saved_filters").isNull(),
+        "invalid_profile_count": ~F.coalesce(F.col("invalid_profile_count").between(0, 20), no),
+        "invalid_cv_last_updated": F.col("cv_last_updated").isNotNull() & F.col("cv_last_updated").try_cast("timestamp").isNull(),
+        "invalid_profile": F.coalesce(F.exists("profiles", bad), no),
+    }
+    out = None
+    for code, broken in rules.items():
+        out = F.when(broken, code) if out is None else out.when(broken, code)
+    return users.select("user_id", out.alias("error"))
+
+
 def profile_stats(users: DataFrame) -> DataFrame:
     """One row of counts over users (user_id, has_saved_filters, profiles as a count): eligible, with filters, failing closed."""
     n = F.col("profiles")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections.abc import Mapping
+from dataclasses import dataclass, fields, replace
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Policy:
-    """Scheduling, breaker, monitoring and review thresholds of a provider."""
+    """Scheduling, breaker, monitoring and review thresholds of a provider. The defaults."""
 
     concurrency: int = 3
     min_interval_ms: int = 150
@@ -42,6 +45,33 @@ class Policy:
     rate_limit_minutes: int = 120
     transient_minutes: int = 60
 
+    @classmethod
+    def of(cls, given: Mapping[str, Any], base: Policy | None = None) -> Policy:
+        """A policy from settings over ``base``'s values; unknown names, other types and numbers out of range are errors.
+
+        Counts and times are whole numbers from 1 (intervals from 0), ratios numbers from 0 to 1.
+        """
+        kinds = {f.name: f.type for f in fields(cls)}
+        for name, value in given.items():
+            if name not in kinds:
+                raise ValueError(f"a policy has no {name}")
+            ratio_ = kinds[name] == "float"
+            if isinstance(value, bool) or not isinstance(value, int | float if ratio_ else int):
+                raise ValueError(f"{name} must be a {'number' if ratio_ else 'whole number'}")
+            least, most = (0, 1) if ratio_ else (0 if name == "min_interval_ms" else 1, 2**53 - 1)
+            if not least <= value <= most:
+                raise ValueError(f"{name} must be from {least} to {most}")
+        return replace(base or cls(), **given)
+
+
+def policies(settings: Mapping[str, Any]) -> dict[str, Policy]:
+    """A policy by provider, each over the defaults, which have the key ``defaults``."""
+    base = Policy.of(settings.get("defaults") or {})
+    for name in settings:
+        if not re.fullmatch(r"[a-z][a-z0-9_-]*", name):
+            raise ValueError(f"{name} is no provider's name")
+    return {name: Policy.of(given or {}, base) for name, given in settings.items() if name != "defaults"} | {"defaults": base}
+
 
 def is_durable(error_class: Column, http_status: Column) -> Column:
     """A tenant that is gone or closed, not one that fails for now."""

@@ -254,3 +254,18 @@ def filters_insert(customer: DataFrame) -> DataFrame:
     kept = customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("filter_id"), F.col("c_name").alias("name"))
     new = customer.select(F.col("c_custkey").alias("filter_id"), F.concat("c_name", F.lit("!")).alias("name"))
     return A.add_filters(kept, new, "filter_id")
+
+
+@query("SELECT c_custkey % 100 AS k, CASE k WHEN 3 THEN 'invalid_user_id' WHEN 4 THEN 'invalid_cv_version_id' WHEN 5 THEN 'duplicate_user' WHEN 6 THEN 'duplicate_user' WHEN 7 THEN 'missing_profiles' WHEN 8 THEN 'invalid_profile_count' WHEN 9 THEN 'invalid_cv_last_updated' WHEN 10 THEN 'invalid_profile' WHEN 11 THEN 'invalid_profile' WHEN 12 THEN 'too_many_profiles' END AS error FROM customer GROUP BY ALL", "customer")
+def users_payload_errors(customer: DataFrame) -> DataFrame:
+    """A payload of a hundred users, made of the customers' keys."""
+    k = F.col("k")
+    rows = customer.select((F.col("c_custkey") % 100).alias("k")).distinct()
+    guid = lambda n: F.concat(F.lit("6F1C2D3E-0000-4000-8000-"), F.lpad(n.cast("string"), 12, "0"))
+    profile = lambda terms: F.struct(F.lit(None).cast("string").alias("profile_id"), F.create_map(F.lit("title_positive"), terms).alias("lists"))
+    one = F.array(profile(F.when(k == 10, F.array().cast("array<string>")).when(k == 11, F.array(F.repeat(F.lit("x"), 121))).otherwise(F.array(F.lit("lead")))))
+    users = rows.select(
+        F.when(k == 3, "nobody").when(k == 6, F.lower(guid(F.lit(5)))).otherwise(guid(k)).alias("user_id"), F.when(k == 4, " ").otherwise("v1").alias("cv_version_id"), F.when(k == 9, "yesterday").when(k == 2, "2024-01-01T00:00:00Z").alias("cv_last_updated"),
+        F.lit(True).alias("has_saved_filters"), F.when(k == 8, 21).otherwise(0).alias("invalid_profile_count"), F.when(k == 12, F.array_repeat(F.get(one, F.lit(0)), 21)).when(k != 7, one).alias("profiles"), "k",
+    )
+    return D.users_error(users).withColumn("k", F.when(F.col("user_id") == "nobody", 3).when(F.col("user_id").contains("f1c"), 6).otherwise(F.substr("user_id", F.lit(25)).cast("int"))).select("k", "error")

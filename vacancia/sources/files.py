@@ -153,6 +153,32 @@ def successfactors(payload: Column) -> Column:
     return _jobs(tiles, external_id=lambda x: F.regexp_extract(link(x), r"/(\d+)(?:-[a-z]{2}_[A-Z]{2})?/?$", 1), title=html_to_text, url=link)
 
 
+@parser("softgarden")
+def softgarden(payload: Column) -> Column:
+    """Blocks of an HTML widget, each with its job's id; a link with a title is its posting, the first of equal ids stays."""
+    blocks = F.regexp_extract_all(payload, F.lit(r'(?is)(<[^>]*\bdata-job-id="[^"]+"[^>]*>.*?)(?=<[^>]*\bdata-job-id="|$)'), F.lit(1))
+    href = lambda a: F.regexp_extract(a, r'(?is)^<a\b[^>]*\bhref="([^"]+)"', 1)
+
+    def link(block: Column) -> Column:
+        anchors = F.regexp_extract_all(block, F.lit(r"(?is)(<a\b[^>]*>.*?</a>)"), F.lit(1))
+        return F.get(F.filter(anchors, lambda a: (href(a) != "") & (a.rlike(r'(?is)^<a\b[^>]*\bclass="[^"]*job-?title') | href(a).rlike("(?i)/job/"))), F.lit(0))
+
+    def places(block: Column) -> Column:
+        found = F.regexp_extract_all(block, F.lit(r'(?is)class="[^"]*\blocation-view-item\b[^"]*"[^>]*>(.*?)</span>'), F.lit(1))
+        names = F.filter(F.transform(found, html_to_text), lambda t: t != "")
+        low = F.transform(names, F.lower)
+        return F.array_join(F.filter(names, lambda t, i: F.array_position(low, F.lower(t)) == i + 1), " / ")
+
+    def date(block: Column) -> Column:
+        either = r'(?is)class="[^"]*\b(?:matchValue\b[^"]*\bdate|date\b[^"]*\bmatchValue)\b[^"]*"[^>]*>(.*?)</'
+        return F.nullif(html_to_text(F.regexp_extract(block, either, 1)), F.lit(""))
+
+    jobs = _jobs(blocks, external_id=lambda x: F.regexp_extract(x, r'(?i)\bdata-job-id="([^"\s]+)"', 1), title=lambda x: html_to_text(link(x)), url=lambda x: href(link(x)), location=places, posted_at=date)
+    whole = F.filter(jobs, lambda j: F.coalesce((j["title"] != "") & (j["external_id"] != ""), F.lit(False)))
+    ids = F.transform(whole, lambda j: j["external_id"])
+    return F.filter(whole, lambda j, i: F.array_position(ids, j["external_id"]) == i + 1)
+
+
 def parse_feed(payloads: DataFrame, provider: str, payload: str = "payload") -> DataFrame:
     """A row a job of captured payloads, beside the payload's other columns."""
     rest = [c for c in payloads.columns if c != payload]
