@@ -165,7 +165,7 @@ def softgarden(payload: Column) -> Column:
 
     def places(block: Column) -> Column:
         found = F.regexp_extract_all(block, F.lit(r'(?is)class="[^"]*\blocation-view-item\b[^"]*"[^>]*>(.*?)</span>'), F.lit(1))
-        names = F.filter(F.transform(found, html_to_text), lambda t: t != "")
+        names = F.filter(F.transform(found, lambda t: html_to_text(t)), lambda t: t != "")
         low = F.transform(names, F.lower)
         return F.array_join(F.filter(names, lambda t, i: F.array_position(low, F.lower(t)) == i + 1), " / ")
 
