@@ -131,7 +131,7 @@ def report_csv(history: DataFrame, jobs: DataFrame) -> DataFrame:
     return reports.report_lines(full, "Europe/Berlin")
 
 
-@query(None, "pages")
+@query("SELECT page_id, CAST(page_id AS VARCHAR) AS title FROM pages", "pages")
 def jsonld_postings(pages: DataFrame) -> DataFrame:
     """JobPosting blocks of the pages, to each of which the fixture adds one."""
     block = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"JobPosting","title":"'), F.col("page_id").cast("string"), F.lit('"}]}</script>'))

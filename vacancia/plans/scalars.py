@@ -177,12 +177,12 @@ def pseudonymous_id(customer: DataFrame) -> DataFrame:
     return customer.select("c_custkey", identity.pseudonym(F.col("c_name"), "a salt of the deployment").alias("distinct_id"))
 
 
-@query(None, "events")
+@query("SELECT event_id, sha256(replace(props, ' ', '')) AS version FROM events", "events")
 def canonical_hash(events: DataFrame) -> DataFrame:
     return events.select("event_id", texts.version_id(F.col("props")).alias("version"))
 
 
-@query(None, "conversations")
+@query("""SELECT conv_id, turn, '{"role":"' || role || '","turn":' || turn || '}' AS object FROM conversations""", "conversations")
 def llm_json_extract(conversations: DataFrame) -> DataFrame:
     answer = F.concat(F.lit("<think>{no}</think>Sure: "), F.to_json(F.struct("turn", "role")), F.lit(" and so on"))
     return conversations.select("conv_id", "turn", texts.first_json_object(answer).alias("object"))
@@ -302,7 +302,8 @@ def geo_eligibility(orders: DataFrame) -> DataFrame:
     return rows.select("job_id", "agreement", verdict.alias("v")).select("job_id", "agreement", "v.*")
 
 
-@query(None, "customer", "nation")
+@query("""WITH ci AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 3 = 0)
+    SELECT c_custkey, 0 AS nth, 'C' || chr(CAST(65 + c.c_nationkey AS INT)) AS country_code, ci.c_mktsegment AS city_name FROM customer c LEFT JOIN ci ON ci.c_nationkey = c.c_nationkey AND ci.c_mktsegment = c.c_mktsegment UNION ALL SELECT c_custkey, 1, 'CD', NULL FROM customer""", "customer", "nation")
 def geo_raw_parse(customer: DataFrame, nation: DataFrame) -> DataFrame:
     raw = F.concat(F.initcap("c_mktsegment"), F.lit(", NATION_"), F.col("c_nationkey").cast("string"), F.lit(" (Remote) or Nation 3; Hybrid - Elsewhere"))
     return places.parse_location(customer.select("c_custkey", raw.alias("raw")), "c_custkey", "raw", *_dictionary(nation, customer))
