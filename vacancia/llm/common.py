@@ -9,22 +9,21 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancia.sources.shared import new_folder, written
 
-__all__ = ["HOT", "U64", "WordHashes", "behind_first", "bit_flags", "flagged", "fresh", "id_flags", "join_counted", "mix", "new_folder", "ranges", "signed", "slices", "utf8", "with_spans", "written"]
+__all__ = ["HOT", "U64", "WordHashes", "behind_first", "bit_flags", "fresh", "join_counted", "mix", "new_folder", "ranges", "signed", "slices", "utf8", "with_spans", "written"]
 
 U64 = np.uint64
 
 
 HOT = 1000
+ONE_TASK = 1 << 20
 
 
 def fresh(name: str, taken: Iterable[str]) -> str:
@@ -53,7 +52,10 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int) -> Dat
     """``rows`` joined with ``table``, which has each key once and with ``n``, how many of the ``total`` rows have it.
 
     Keys that hold a thousandth of the rows or more are a thousand at most and joined by broadcast; their rows don't move.
+    Up to ``ONE_TASK`` rows, which one task takes easily whatever their keys, this would only make the plan longer.
     """
+    if total <= ONE_TASK:
+        return rows.join(table.drop("n"), key)
     hot = F.col("n") >= F.lit(max(total // HOT, 2))
     mark = fresh("hot", [*rows.columns, *table.columns])
     marked = rows.join(F.broadcast(table.where(hot).drop("n").withColumn(mark, F.lit(True))), key, "left")
@@ -61,38 +63,35 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int) -> Dat
     return marked.where(mark).drop(mark).unionByName(rest)
 
 
+def flag_pages(rows: DataFrame, at: Column) -> DataFrame:
+    """Flags set at the places that ``at`` names from 0, in pages of 32,768: page and set, a bitmap of 4096 bytes."""
+    at = at.cast("long") + 1
+    return rows.where(at.isNotNull()).groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("set"))
+
+
 def bit_flags(rows: DataFrame, at: Column, bits: int) -> np.ndarray:
     """2**bits flags, eight a byte and the lowest bit first, set at the places that ``at`` names from 0. Tasks set the
     bits; the driver gets the flags only, of one size however many rows there are."""
-    at = at.cast("long") + 1
-    pages = rows.where(at.isNotNull()).groupBy(F.bitmap_bucket_number(at).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("set"))
     flags = np.zeros(max(1, (1 << bits) >> 15) << 12, dtype=np.uint8)
-    for row in pages.collect():  # 2**bits / 32,768 rows at most
+    for row in flag_pages(rows, at).collect():  # 2**bits / 32,768 rows at most
         flags[(row["page"] - 1) << 12 : row["page"] << 12] = np.frombuffer(row["set"], dtype=np.uint8)
     return flags
 
 
-def id_flags(ids: DataFrame, bits: int = 26) -> Broadcast:
-    """Flags at the places of the ids of ``ids`` (column doc_id)."""
-    flags = bit_flags(ids.where("doc_id is not null"), _flag_place(F.col("doc_id"), bits), bits)
-    return ids.sparkSession.sparkContext.broadcast((bits, flags))
-
-
 def _flag_place(doc_id: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(1 << bits))
 
 
-def flagged(docs: DataFrame, flags: Broadcast, wanted: bool) -> DataFrame:
-    """Rows whose doc_id falls on a set flag, as all ids do that set one, or the others. Nothing moves."""
-    bits = flags.value[0]
-
-    @F.pandas_udf("boolean")
-    def is_set(at: pd.Series) -> pd.Series:
-        place = at.fillna(-1).to_numpy(dtype=np.int64)
-        return pd.Series(((flags.value[1][place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1) & (place >= 0))
-
-    test = is_set(F.when(F.col("doc_id").isNotNull(), _flag_place(F.col("doc_id"), bits)))
-    return docs.where(test if wanted else ~test)
+def flagged(docs: DataFrame, pages: DataFrame, wanted: bool, bits: int) -> DataFrame:
+    """Rows whose doc_id falls on a set flag of ``pages``, as all ids do that set one, or the others. Nothing moves: the
+    pages are broadcast, 2**bits / 8 bytes at most, and Spark reads the bit, so that no second Python worker is needed."""
+    page, set_ = fresh("page", docs.columns), fresh("set", docs.columns)
+    at = _flag_place(F.col("doc_id"), bits) + 1
+    bit = F.bitmap_bit_position(at)
+    joined = docs.withColumn(page, F.bitmap_bucket_number(at)).join(F.broadcast(pages.select(F.col("page").alias(page), F.col("set").alias(set_))), page, "left")
+    byte = F.conv(F.hex(F.substr(F.col(set_), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    test = F.col("doc_id").isNotNull() & F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    return joined.where(test if wanted else ~test).select(*docs.columns)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, name: str, bits: int = 26) -> DataFrame:
@@ -102,9 +101,9 @@ def with_spans(docs: DataFrame, spans: DataFrame, name: str, bits: int = 26) ->
     """
     by_text = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     by_id = by_text.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "spans")).alias(name))
-    flags = id_flags(spans, bits)
-    free = flagged(docs, flags, False).withColumn(name, F.lit(None).cast(by_id.schema[name].dataType))
-    return free.unionByName(flagged(docs, flags, True).join(by_id, "doc_id", "left").select(*free.columns))
+    pages = written(flag_pages(spans.where("doc_id is not null"), _flag_place(F.col("doc_id"), bits)), "flags")
+    free = flagged(docs, pages, False, bits).withColumn(name, F.lit(None).cast(by_id.schema[name].dataType))
+    return free.unionByName(flagged(docs, pages, True, bits).join(by_id, "doc_id", "left").select(*free.columns))
 
 
 class WordHashes(dict):
