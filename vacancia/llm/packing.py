@@ -10,7 +10,9 @@ of lengths with how many sequences follow each. A piece finds its place by its r
 its rank within its part of the written table, plus what earlier parts hold of that length. No task sees more than a
 part, whatever lengths repeat.
 
-Defined cases: a null text counts as empty, whose only piece is the end id. Repeated rows are packed one for one.
+Defined cases: a null text counts as empty, whose only piece is the end id. Repeated rows are packed one for one. Texts of
+any length are taken whole. Among pieces of one length the order of the written table decides, which no length or gap
+depends on.
 Columns beside doc_id and text are left out, whatever their names. An empty table gives an empty result.
 """
 
@@ -134,7 +136,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         encode = encoder(path).encode
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             ids, each = encode([t or "" for t in batch.column("text").to_pylist()])
             stop = np.cumsum(each + 1)
             ids = np.insert(ids, np.cumsum(each), end).astype("<u4")

@@ -41,7 +41,7 @@ def splits_at_spaces(tokenizer) -> bool:
 class Encoder:
     """Ids of texts, by the ids of their parts."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
