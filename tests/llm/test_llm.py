@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vacancia.llm import decontaminate, jpeg, line_dedup, packing, pst, quality, simhash, substring_dedup, token_rollup, warc
+from vacancia.llm import common, decontaminate, jpeg, line_dedup, packing, pst, quality, simhash, substring_dedup, token_rollup, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name string, key string, place string, found string, status string"
 
@@ -59,7 +59,10 @@ def component_of(prints, radius=2):
     return {i: find(i) for i in prints}
 
 
-def test_simhash_against_all_pairs(spark, texts):
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
+def test_simhash_against_all_pairs(spark, texts, one_task, monkeypatch):
+    monkeypatch.setattr(common, "ONE_TASK", one_task)  # beyond it hot keys are joined by broadcast
+    texts = [*texts, *[texts[7]] * 20]
     prints = {}
     for i, t in enumerate(texts):
         words = (t or "").encode().lower().split()
