@@ -48,13 +48,13 @@ def behind_first(rows: DataFrame, key: list[str], place: list[str], carried: tup
     return marked.where("first is not null").unionByName(rest).where(F.struct(*place) > F.struct(*[F.col(f"first.{c}").alias(c) for c in place]))
 
 
-def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int, one_task: int = ONE_TASK) -> DataFrame:
     """``rows`` joined with ``table``, which has each key once and with ``n``, how many of the ``total`` rows have it.
 
     Keys that hold a thousandth of the rows or more are a thousand at most and joined by broadcast; their rows don't move.
-    Up to ``ONE_TASK`` rows, which one task takes easily whatever their keys, this would only make the plan longer.
+    Up to ``one_task`` rows, which one task takes easily whatever their keys, this would only make the plan longer.
     """
-    if total <= ONE_TASK:
+    if total <= one_task:
         return rows.join(table.drop("n"), key)
     hot = F.col("n") >= F.lit(max(total // HOT, 2))
     mark = fresh("hot", [*rows.columns, *table.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancia.llm import decontaminate, jpeg, line_dedup, packing, periodic, pst, quality, simhash, substring_dedup, token_rollup, warc
+from vacancia.llm import decontaminate, jpeg, line_dedup, packing, periodic, phrases, pst, quality, simhash, substring_dedup, token_rollup, warc
 from vacancia.llm.common import new_folder, written
 
 
@@ -78,6 +78,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find(periodic.with_repeats(_table(spark, sf_dir, "documents"))))
 
 
+def op13_phrase_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def _changes(docs: DataFrame, change: str, seq: int) -> DataFrame:
     return docs.select("doc_id", F.lit(change).alias("change"), F.lit(seq).alias("seq"), "text", "source", "lang")
 
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_recompression": op9_substring_recompression,
     "op10_token_rollup": op10_token_rollup,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_phrase_growth": op13_phrase_growth,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_winnowing": line_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_winnowing": line_dedup.ORACLE_SQL, "op13_phrase_growth": phrases.ORACLE_SQL}
