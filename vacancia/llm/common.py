@@ -78,19 +78,19 @@ def bit_flags(rows: DataFrame, at: Column, bits: int) -> np.ndarray:
     return flags
 
 
-def _flag_place(doc_id: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(1 << bits))
+def flag_place(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << bits))
 
 
-def flagged(docs: DataFrame, pages: DataFrame, wanted: bool, bits: int) -> DataFrame:
-    """Rows whose doc_id falls on a set flag of ``pages``, as all ids do that set one, or the others. Nothing moves: the
+def flagged(docs: DataFrame, pages: DataFrame, wanted: bool, bits: int, on: str = "doc_id") -> DataFrame:
+    """Rows whose ``on`` falls on a set flag of ``pages``, as all do that set one, or the others. Nothing moves: the
     pages are broadcast, 2**bits / 8 bytes at most, and Spark reads the bit, so that no second Python worker is needed."""
     page, set_ = fresh("page", docs.columns), fresh("set", docs.columns)
-    at = _flag_place(F.col("doc_id"), bits) + 1
+    at = flag_place(F.col(on), bits) + 1
     bit = F.bitmap_bit_position(at)
     joined = docs.withColumn(page, F.bitmap_bucket_number(at)).join(F.broadcast(pages.select(F.col("page").alias(page), F.col("set").alias(set_))), page, "left")
     byte = F.conv(F.hex(F.substr(F.col(set_), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    test = F.col("doc_id").isNotNull() & F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    test = F.col(on).isNotNull() & F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
     return joined.where(test if wanted else ~test).select(*docs.columns)
 
 
@@ -101,7 +101,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, name: str, bits: int = 26) ->
     """
     by_text = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     by_id = by_text.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "spans")).alias(name))
-    pages = written(flag_pages(spans.where("doc_id is not null"), _flag_place(F.col("doc_id"), bits)), "flags")
+    pages = written(flag_pages(spans.where("doc_id is not null"), flag_place(F.col("doc_id"), bits)), "flags")
     free = flagged(docs, pages, False, bits).withColumn(name, F.lit(None).cast(by_id.schema[name].dataType))
     return free.unionByName(flagged(docs, pages, True, bits).join(by_id, "doc_id", "left").select(*free.columns))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancia.llm import decontaminate, jpeg, line_dedup, packing, periodic, phrases, pst, quality, simhash, substring_dedup, token_rollup, warc
+from vacancia.llm import decontaminate, jpeg, line_dedup, ngram_join, packing, periodic, phrases, pst, quality, simhash, substring_dedup, token_rollup, warc
 from vacancia.llm.common import new_folder, written
 
 
@@ -74,6 +74,10 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op11_ngram_heavy_light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find(periodic.with_repeats(_table(spark, sf_dir, "documents"))))
 
@@ -97,8 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_neardup": op8_simhash_neardup,
     "op9_substring_recompression": op9_substring_recompression,
     "op10_token_rollup": op10_token_rollup,
+    "op11_ngram_heavy_light": op11_ngram_heavy_light,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_phrase_growth": op13_phrase_growth,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_line_winnowing": line_dedup.ORACLE_SQL, "op13_phrase_growth": phrases.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_line_winnowing": line_dedup.ORACLE_SQL, "op11_ngram_heavy_light": ngram_join.ORACLE_SQL, "op13_phrase_growth": phrases.ORACLE_SQL}

@@ -7,7 +7,7 @@ the other as bit planes: plane k holds bit k of every fingerprint of many blocks
 with lane i + d for all lanes at once is an exclusive-or of each plane with itself shifted by d; a carry-save
 counter adds the differing planes up, and the rest of the planes is skipped once every lane exceeds the radius.
 Each block yields one link a member at most (to the smallest fingerprint that it reaches within the block), never
-all its pairs. Components come from alternating large-star and small-star rounds, each written to the shared folder.
+all its pairs. Components come from star contraction, within parts and then over all links, each round written to the shared folder.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other. Rows are returned one for
 one; a repeated row gets the same values. A null doc_id takes part, but a component is named by the smallest doc_id
@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import U64, join_counted, slices, utf8, written
+from vacancia.llm.common import ONE_TASK, U64, join_counted, slices, utf8, written
 
 TABLES = tuple(itertools.combinations(range(8), 2))  # the two bytes that a table leaves out
 ROUNDS = 60
@@ -189,15 +190,48 @@ def links(fingerprints_: DataFrame, partitions: int | None = None) -> DataFrame:
     return dealt.mapInArrow(run, "src long, dst long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def contracted(links_: DataFrame, most: int = ONE_TASK) -> DataFrame:
+    """Links u, v within each partition, ``most`` at a time, as a star around each component's smallest node."""
+    kind = links_.schema["u"].dataType.simpleString()
+
+    def star(rows: pa.Table) -> pa.RecordBatch:
+        ends = pa.chunked_array([*rows.column("u").chunks, *rows.column("v").chunks]).combine_chunks().dictionary_encode()
+        order = pc.array_sort_indices(ends.dictionary).to_numpy()
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        ends = rank[ends.indices.to_numpy()], ends.dictionary.take(pa.array(order))
+        root = _smallest_reached(len(order), ends[0][: len(rows)], ends[0][len(rows) :])
+        at = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([ends[1].take(pa.array(at)), ends[1].take(pa.array(root[at]))], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= most:
+                yield star(pa.Table.from_batches(held))
+                held = []
+        if sum(b.num_rows for b in held):
+            yield star(pa.Table.from_batches(held))
+
+    return links_.mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def components(edges: DataFrame, rounds: int = ROUNDS, most: int = ONE_TASK) -> DataFrame:
     """node and root (its component's smallest node) of every node that has a link, by star contraction.
 
-    A large-star round links each node's larger neighbours to the smallest node around it, a small-star round its
-    smaller ones; both keep components, and what stays unchanged is a star around each root.
+    Links that one task takes (``most``) are contracted by it. More of them are first contracted in parts of that size;
+    then a large-star round links each node's larger neighbours to the smallest node around it, a small-star round its
+    smaller ones. Both keep components, and what stays unchanged is a star around each root.
     """
     current = written(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), "links")
-    if current.isEmpty():
-        return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    named = lambda links_: links_.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    total = current.count()
+    if not total:
+        return named(current)
+    if total <= most:
+        return named(written(contracted(current.coalesce(1), most + 1), "components"))
+    current = written(contracted(current.repartition(-(-total // most), "v"), most), "links")
 
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -217,7 +251,7 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return named(current)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
