@@ -38,7 +38,7 @@ from vacancia.operators.numbering import numbered
 LEAST, LONGEST, TOP = 30, 4, 2000
 SCALE, COVERED = 2_000_000, (80, 100)
 FLAG_BITS = 26
-WORDS_HELD, PLACES_HELD, ROWS_HELD = 300_000, 2 << 20, 1 << 20  # what a task holds at once
+WORDS_HELD, PLACES_HELD, ROWS_HELD = 200_000, 1 << 20, 1 << 20  # what a task holds at once
 LANGS_HELD = 32
 
 #: Bytes between pieces, and between words.
