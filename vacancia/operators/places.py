@@ -44,11 +44,25 @@ def lookup_key_any(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(one)
 
 
+# Other names of countries, as keys, with their codes.
+COUNTRY_ALIASES = {
+    "deutschland": "DE", "german federal republic": "DE", "us": "US", "u s": "US", "usa": "US", "u s a": "US", "united states of america": "US", "uk": "GB", "u k": "GB", "great britain": "GB", "britain": "GB",
+    "bosnia": "BA", "bosnia herzegovina": "BA", "uae": "AE", "u a e": "AE", "czech republic": "CZ", "republic of korea": "KR", "korea south": "KR", "south korea": "KR", "russian federation": "RU",
+    "ivory coast": "CI", "cote d ivoire": "CI", "viet nam": "VN",
+}
+
+
 def country_keys(countries: DataFrame) -> DataFrame:
-    """key, country_code and country_name of each name and code; the first code wins a key."""
-    names = F.array_distinct(F.array(lookup_key(F.col("name")), german_key(F.col("name")), lookup_key(F.col("code"))))
-    rows = countries.select(F.upper("code").alias("country_code"), F.col("name").alias("country_name"), F.explode(names).alias("key")).where("key <> ''")
-    return rows.groupBy("key").agg(F.min(F.struct("country_code", "country_name")).alias("c")).select("key", "c.*")
+    """key, country_code, country_name and in_text of each other name, name and code, in this order of preference; the first
+    code wins a key. Codes don't count in running text."""
+    names = [F.struct(F.lit(1).alias("kind"), f(F.col("name")).alias("key")) for f in (lookup_key, german_key)]
+    rows = countries.select(F.upper("code").alias("country_code"), F.col("name").alias("country_name"), F.explode(F.array(*names, F.struct(F.lit(2).alias("kind"), lookup_key(F.col("code")).alias("key")))).alias("e"))
+    spark = countries.sparkSession
+    aliases = spark.createDataFrame([(k, c) for k, c in COUNTRY_ALIASES.items()], "key string, country_code string")
+    known = rows.select("country_code", "country_name").distinct().join(F.broadcast(aliases), "country_code")  # a row an alias of the table above
+    rows = rows.select("e.key", "e.kind", "country_code", "country_name").unionByName(known.select("key", F.lit(0).alias("kind"), "country_code", "country_name")).where("key <> ''")
+    found = rows.groupBy("key").agg(F.min(F.struct("kind", "country_code", "country_name")).alias("c"))
+    return found.select("key", "c.country_code", "c.country_name", (F.col("c.kind") < 2).alias("in_text"))
 
 
 def city_keys(cities: DataFrame) -> DataFrame:
@@ -96,20 +110,37 @@ def canonical(locations: DataFrame, countries: DataFrame, cities: DataFrame) ->
     return rows.select(*locations.columns, F.when(~fatal, F.col("_country")).alias("geo_country"), F.when(~fatal, F.col("_city")).alias("geo_city"), "geo_status", "issues")
 
 
-def country_mentions(texts: DataFrame, key: str, text: str, countries: DataFrame, most_words: int = 5) -> DataFrame:
-    """key and country_code of each country that a text names, by its words: no text meets every name.
+TERMS_HELD = 2000  # as many names, read out of a dictionary, go into an expression
+
+
+def country_mentions(texts: DataFrame, key: str, text: str, countries: DataFrame) -> DataFrame:
+    """key and country_code of each country that a text names, and the first such name (term)."""
+    return country_terms(texts, key, text, countries).groupBy(key, "country_code").agg(F.min("term").alias("term"))
 
-    Each run of up to ``most_words`` words is looked up by an equi-join; a dictionary with longer names needs a greater value.
+
+def country_terms(texts: DataFrame, key: str, text: str, countries: DataFrame) -> DataFrame:
+    """key, country_code and term of each name of a country in a text, by its words: no text meets every name. Runs of as
+    many words as the dictionary's names have are looked up, however long these are.
+
+    A dictionary of few names is put into the expression; of more, runs of words are joined with it. Rows are the same.
     """
-    names = country_keys(countries).where(F.length("key") > 2)
+    names = country_keys(countries).where("in_text").where(F.length("key") > 1).select("key", "country_code")
+    widths = sorted(r.w for r in names.select(F.size(F.split("key", " ")).alias("w")).distinct().collect())  # few: lengths of names in words
+    held = names.limit(TERMS_HELD + 1).collect()
     words = texts.select(key, F.split(lookup_key(F.col(text)), " ").alias("_w"))
 
     def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0)))
-        return F.transform(starts, lambda i: F.array_join(F.slice(F.col("_w"), i + 1, n), " "))
-
-    found = words.select(key, F.explode(F.array_distinct(F.concat(*[runs(n) for n in range(1, most_words + 1)]))).alias("key"))
-    return found.join(names.select("key", "country_code"), "key").groupBy(key, "country_code").agg(F.min("key").alias("term"))
+        starts = F.sequence(F.lit(1), F.size("_w") - n + 1)
+        return F.when(F.size("_w") >= n, F.transform(starts, lambda i: F.array_join(F.slice(F.col("_w"), i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    every = F.array_distinct(F.concat(*[runs(n) for n in widths])) if widths else F.array().cast("array<string>")
+    if len(held) <= TERMS_HELD:
+        code = F.create_map(*[F.lit(x) for r in held for x in r]) if held else F.create_map().cast("map<string,string>")
+        terms = F.array(*[F.lit(r.key) for r in held]).cast("array<string>")
+        found = words.select(F.col(key).alias("_k"), F.explode(F.array_intersect(every, terms)).alias("key")).withColumn("country_code", F.try_element_at(code, F.col("key"))).withColumnRenamed("_k", key)
+    else:
+        found = words.select(F.col(key).alias("_k"), F.explode(every).alias("key")).join(names, "key").withColumnRenamed("_k", key)
+    return found.select(key, "country_code", F.col("key").alias("term"))
 
 
 def country_lookup(rows: DataFrame, key: str, text: str, countries: DataFrame) -> DataFrame:
