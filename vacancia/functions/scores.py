@@ -64,7 +64,9 @@ def scored_section(answer: Column, names: tuple[str, ...], missing: str) -> Colu
     path = lambda *parts: F.get_json_object(answer, "$." + ".".join(parts))
     told = F.coalesce(*[F.when(path(n).startswith("{"), F.lit(True)) for n in names], F.lit(False))
     first = lambda fields: F.coalesce(*[F.nullif(path(n, f), F.lit("")) for n in names for f in fields])
-    score = F.when(told, clamp_score(first(("score", "Score", "value", "Value")))).otherwise(0.0)
+    zero = lambda text: F.when(F.coalesce(text.try_cast("double") == 0, F.lit(False)), None).otherwise(text)  # noqa: E731  a score of 0 leaves the place to other names
+    scores = F.coalesce(*[zero(F.nullif(path(n, f), F.lit(""))) for n in names for f in ("score", "Score", "value", "Value")])
+    score = F.when(told, F.coalesce(clamp_score(scores), F.lit(0.0))).otherwise(0.0)
     text = F.when(told, F.trim(F.coalesce(first(("description", "Description", "summary", "Summary")), F.lit(missing)))).otherwise(missing)
     return F.struct(score.alias("score"), truncate_with_note(text, LONGEST_SUMMARY).alias("description"))
 

@@ -250,7 +250,7 @@ def proxy_identity(url: Column) -> Column:
     smart = F.split_part(first_part(parts, 2), F.lit("-"), F.lit(1))
     return (
         F.when(name.isin("boards.greenhouse.io", "job-boards.greenhouse.io"), greenhouse)
-        .when(name.endswith("jobs.lever.co") | name.endswith("jobs.eu.lever.co"), two("lever", first_part(parts, 2), "high"))
+        .when(matches_host(name, ["jobs.lever.co", "jobs.eu.lever.co"]), two("lever", first_part(parts, 2), "high"))
         .when(name == "jobs.ashbyhq.com", two("ashby", first_part(parts, 2), "high"))
         .when(name.endswith(".myworkdayjobs.com"), workday)
         .when(name.isin("jobs.smartrecruiters.com", "www.smartrecruiters.com"), two("smartrecruiters", smart, "medium", F.lit("smartrecruiters_external_id_inferred_from_slug_prefix")))

@@ -132,14 +132,19 @@ def workday(payload: Column) -> Column:
 
 @parser("personio")
 def personio(payload: Column) -> Column:
-    """An XML feed: each ``position`` block outside comments; the first of equal ids stays."""
-    bare = F.regexp_replace(payload, "(?s)<!--.*?-->", "")
-    blocks = F.regexp_extract_all(bare, F.lit(r"(?s)<position>(.*?)</position>"), F.lit(1))
-
-    def tag(name: str) -> Callable[[Column], Column]:
-        return lambda x: F.trim(F.regexp_replace(F.nullif(F.regexp_extract(x, f"(?s)<{name}>(.*?)</{name}>", 1), F.lit("")), r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1"))
-
-    jobs = _jobs(blocks, external_id=tag("id"), title=tag("name"), location=tag("office"), description=tag("value"), posted_at=tag("createdAt"))
+    """An XML feed's positions, read as XML; the first of equal ids stays. Sections of a description under their headings."""
+    section = "struct<jobDescription:array<struct<name:string,value:string>>>"
+    kind = f"struct<position:array<struct<id:string,name:string,office:string,subcompany:string,department:string,employmentType:string,createdAt:string,jobDescriptions:{section}>>>"
+    blocks = F.filter(F.coalesce(F.from_xml(F.trim(payload), kind, {"ignoreSurroundingSpaces": "true"})["position"], F.array()), lambda x: x.isNotNull())
+
+    def sections(x: Column) -> Column:
+        told = F.transform(x["jobDescriptions"]["jobDescription"], lambda d: F.struct(F.trim(d["name"]).alias("name"), html_to_text(d["value"]).alias("value")))
+        told = F.filter(told, lambda d: F.coalesce(d["value"], F.lit("")) != "")
+        texts = F.transform(told, lambda d: F.when(F.coalesce(d["name"], F.lit("")) != "", F.concat(d["name"], F.lit("\n"), d["value"])).otherwise(d["value"]))
+        return F.nullif(F.array_join(texts, "\n\n"), F.lit(""))
+
+    trimmed = lambda name: lambda x: F.nullif(F.trim(x[name]), F.lit(""))
+    jobs = _jobs(blocks, external_id=trimmed("id"), title=trimmed("name"), location=trimmed("office"), description=sections, posted_at=trimmed("createdAt"))
     numeric = F.filter(jobs, lambda j: F.coalesce(j["external_id"].rlike("^[0-9]+$"), F.lit(False)))
     ids = F.transform(numeric, lambda j: j["external_id"])
     return F.filter(numeric, lambda j, i: F.array_position(ids, j["external_id"]) == i + 1)
@@ -185,6 +190,48 @@ def parse_feed(payloads: DataFrame, provider: str, payload: str = "payload") ->
     return payloads.select(*rest, F.explode(PARSERS[provider](F.col(payload))).alias("job")).select(*rest, "job.*")
 
 
+# Hosts of each provider's boards; a name with a leading dot stands for its subdomains.
+HOSTS = {
+    "ashby": ("jobs.ashbyhq.com", "api.ashbyhq.com"),
+    "greenhouse": ("boards.greenhouse.io", "job-boards.greenhouse.io", "boards-api.greenhouse.io"),
+    "lever": ("jobs.lever.co", "jobs.eu.lever.co", "api.lever.co"),
+    "personio": (".jobs.personio.de", ".jobs.personio.com"),
+    "smartrecruiters": ("jobs.smartrecruiters.com", "api.smartrecruiters.com", "careers.smartrecruiters.com"),
+    "softgarden": (".softgarden.io",),
+    "workday": (".myworkdayjobs.com",),
+}
+
+
+def detect(url: Column) -> Column:
+    """The provider whose board a URL is on, by its host; null for others and for none."""
+    host = F.lower(F.try_parse_url(F.trim(url), F.lit("HOST")))
+    found = [F.when(host.endswith(h) if h.startswith(".") else host == h, F.lit(name)) for name, hosts in HOSTS.items() for h in hosts]
+    return F.coalesce(*found)
+
+
+def resolve_provider(provider: Column, url: Column) -> Column:
+    """Struct of provider and problem: a stated provider that has a parser, else the one that the URL's host detects."""
+    stated = F.nullif(F.lower(F.trim(provider)), F.lit(""))
+    known = stated.isin(*PARSERS)
+    name = F.when(stated.isNull(), detect(url)).when(known, stated)
+    problem = F.when(stated.isNotNull() & ~known, F.concat(F.lit("unknown provider: "), stated)).when(name.isNull(), "no provider")
+    return F.struct(name.alias("provider"), problem.alias("problem"))
+
+
+def parse_feeds(payloads: DataFrame, provider: str, url: str, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """A row a job of captured payloads of any providers, each read by its own parser in one pass, and the payloads that no
+    parser reads, with their problem. Other columns go along; ``provider`` holds the resolved one."""
+    rest = [c for c in payloads.columns if c not in (payload, provider)]
+    resolved = payloads.withColumn("_r", resolve_provider(F.col(provider), F.col(url)))
+    jobs = None
+    for name, parse in PARSERS.items():
+        mine = F.col("_r.provider") == name
+        read = parse(F.when(mine, F.col(payload)))
+        jobs = F.when(mine, read) if jobs is None else jobs.when(mine, read)
+    parsed = resolved.where("_r.provider is not null").select(*rest, F.col("_r.provider").alias(provider), F.explode(jobs).alias("job")).select(*rest, provider, "job.*")
+    return parsed, resolved.where("_r.provider is null").select(*rest, F.col(provider), F.col("_r.problem").alias("problem"))
+
+
 @F.pandas_udf(StringType())
 def job_posting(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The first JobPosting among a page's JSON-LD blocks, at whatever depth, as JSON; null without one."""
