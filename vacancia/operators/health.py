@@ -152,9 +152,30 @@ def after_breaker(results: DataFrame, p: Policy = Policy()) -> DataFrame:
     return joined.withColumn("outcome", F.when(F.col("sequence") > F.col("_opened"), "skipped_by_circuit").otherwise(F.col("status"))).drop("_opened")
 
 
+def nearest_ranks(rows: DataFrame, key: str, value: str, ranks: dict[str, tuple[int, int]], width: int = 1024) -> DataFrame:
+    """key and, for each of ``ranks`` (a fraction), the least whole ``value`` that at least this share of the key's values
+    doesn't exceed. Null values don't count; null keys are a key.
+
+    Values are counted, combined before they move; blocks of ``width`` values are summed up to find the one that holds a
+    rank, then the values in it. No task holds the values of a key: a window has a row a block, or ``width`` rows at most.
+    """
+    named = rows.select(F.struct(F.col(key).alias("of")).alias("_k"), F.col(value).cast("long").alias("_v")).where("_v is not null")
+    counts = named.groupBy("_k", "_v").agg(F.count("*").alias("_n")).withColumn("_b", F.floor(F.col("_v") / width))
+    blocks = counts.groupBy("_k", "_b").agg(F.sum("_n").alias("_in"))
+    upto = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.withColumns({"_upto": F.sum("_in").over(upto), "_all": F.sum("_in").over(Window.partitionBy("_k"))})
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), F.expr(f"(_all * {a} + {b - 1}) div {b}").alias("nth")) for name, (a, b) in ranks.items()])
+    held = blocks.select("_k", "_b", (F.col("_upto") - F.col("_in")).alias("_before"), "_upto", F.explode(asked).alias("r")).where("r.nth > _before and r.nth <= _upto")
+    inside = counts.join(held.drop("_upto"), ["_k", "_b"])
+    within = Window.partitionBy("_k", "r.name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    reached = inside.withColumn("_at", F.col("_before") + F.sum("_n").over(within)).where("_at >= r.nth")
+    return reached.groupBy("_k").agg(*[F.min(F.when(F.col("r.name") == name, F.col("_v"))).alias(name) for name in ranks]).select(F.col("_k.of").alias(key), *ranks)
+
+
 def rates(results: DataFrame, p: Policy = Policy()) -> DataFrame:
     """Counts, latencies and a recommendation a partition; percentiles are nearest ranks."""
     f = _flags(results)
+    slow = nearest_ranks(f.where("_attempted"), "health_partition", "duration_ms", {"p50_ms": (1, 2), "p95_ms": (19, 20)}).withColumnRenamed("health_partition", "_hp")
     ms = F.when(F.col("_attempted"), F.col("duration_ms"))
     rows = f.groupBy("health_partition").agg(
         F.count("*").alias("planned"),
@@ -167,10 +188,9 @@ def rates(results: DataFrame, p: Policy = Policy()) -> DataFrame:
         F.sum("jobs_returned").alias("jobs"),
         F.min(ms).alias("min_ms"),
         F.round(F.sum(ms) / F.count_if("_attempted"), 3).alias("average_ms"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN _attempted THEN duration_ms END)").cast("long").alias("p50_ms"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY CASE WHEN _attempted THEN duration_ms END)").cast("long").alias("p95_ms"),
         F.max(ms).alias("max_ms"),
     )
+    rows = rows.join(slow, F.col("health_partition").eqNullSafe(F.col("_hp")), "left").drop("_hp")
     many = F.col("attempted") >= p.minimum_requests
     transient = F.when(F.col("attempted") == 0, 0.0).otherwise(F.col("transient") / F.col("attempted"))
     success = F.when(F.col("attempted") == 0, 1.0).otherwise(F.col("successes") / F.col("attempted"))
@@ -273,12 +293,17 @@ def catalogue_metrics(catalogues: DataFrame, evaluated: DataFrame) -> DataFrame:
     return joined.withColumns(zero).withColumns({"missing": F.col("checked") - F.col("existing"), "existing_ratio": F.when(F.col("checked") > 0, F.round(F.col("existing") / F.col("checked"), 4))})
 
 
+# Outcomes of a listing that a provider's check finds odd.
+LISTING_ANOMALIES = ("listing_empty_anomaly", "listing_volume_anomaly")
+
+
 def tenant_step(rows: DataFrame, now: Column, p: Policy = Policy()) -> DataFrame:
     """The next state of tenants after one result each.
 
     ``rows`` holds the previous state (health, failures, durable, transient, empty, suspicious, recent_counts,
     last_relevant_at, next_at) beside the result (status, error_class, http_status, jobs_returned, matched,
-    target_class). A skipped target keeps its state.
+    target_class, and where there is one listing_outcome). A skipped target keeps its state. A listing that a provider's
+    check found empty or of an odd size is looked at again soon, and counts as suspicious until a result is sound.
     """
     ok, skipped = F.col("status") == "ok", F.col("status") == "skipped"
     durable = is_durable(F.col("error_class"), F.col("http_status"))
@@ -286,6 +311,8 @@ def tenant_step(rows: DataFrame, now: Column, p: Policy = Policy()) -> DataFrame
     suspicious = ok & baseline & (F.col("jobs_returned") == 0)
     confirmed = suspicious & (F.col("suspicious") >= 1)
     waiting = suspicious & ~confirmed
+    outcome = F.col("listing_outcome") if "listing_outcome" in rows.columns else F.lit(None).cast("string")
+    odd = F.coalesce((F.col("status") == "error") & (F.col("error_class") == "provider_anomaly") & outcome.isin(*LISTING_ANOMALIES), F.lit(False))
     empty = F.when(F.col("jobs_returned") == 0, F.col("empty") + 1).otherwise(0)
     relevant = F.when(F.col("matched") > 0, now).otherwise(F.col("last_relevant_at"))
     recent = F.coalesce(relevant >= hours(now, -p.recent_window_hours), F.lit(False))
@@ -294,11 +321,12 @@ def tenant_step(rows: DataFrame, now: Column, p: Policy = Policy()) -> DataFrame
     dead = F.col("durable") + 1
     limited = F.col("error_class") == "rate_limited"
     gone = F.when(dead >= p.dead_after, "confirmed_dead").when(dead >= p.suspected_after, "suspected_dead").otherwise("temporarily_failed")
-    health = F.when(skipped, F.col("health")).when(waiting, "temporarily_failed").when(ok, listed).when(durable, gone).when(limited, "cooldown").otherwise("temporarily_failed")
+    health = F.when(skipped, F.col("health")).when(waiting, "temporarily_failed").when(ok, listed).when(odd, "temporarily_failed").when(durable, gone).when(limited, "cooldown").otherwise("temporarily_failed")
     next_at = (
         F.when(skipped, F.col("next_at"))
         .when(waiting, minutes(now, p.empty_reprobe_minutes))
         .when(ok, hours(now, interval))
+        .when(odd, minutes(now, p.empty_reprobe_minutes))
         .when(durable, F.when(dead >= p.suspected_after, hours(now, p.dead_reprobe_hours)).otherwise(hours(now, p.first_durable_hours)))
         .when(limited, minutes(now, p.rate_limit_minutes))
         .otherwise(minutes(now, p.transient_minutes))
@@ -311,9 +339,9 @@ def tenant_step(rows: DataFrame, now: Column, p: Policy = Policy()) -> DataFrame
             "_health": health,
             "_next": next_at,
             "_failures": failures,
-            "_durable": F.when(skipped | waiting, F.col("durable")).when(ok, 0).when(durable, dead).otherwise(0),
-            "_transient": F.when(skipped | waiting, F.col("transient")).when(ok | durable, 0).otherwise(F.col("transient") + 1),
-            "_suspicious": F.when(waiting, 1).when(ok | durable, F.when(skipped, F.col("suspicious")).otherwise(0)).otherwise(F.col("suspicious")),
+            "_durable": F.when(skipped | waiting | odd, F.col("durable")).when(ok, 0).when(durable, dead).otherwise(0),
+            "_transient": F.when(skipped | waiting | odd, F.col("transient")).when(ok | durable, 0).otherwise(F.col("transient") + 1),
+            "_suspicious": F.when(odd, F.col("suspicious") + 1).when(waiting, 1).when(ok | durable, F.when(skipped, F.col("suspicious")).otherwise(0)).otherwise(F.col("suspicious")),
             "_empty": F.when(ok & ~waiting, empty).otherwise(F.col("empty")),
             "_counts": counts,
         }

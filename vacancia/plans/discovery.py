@@ -341,3 +341,20 @@ def run_report(r: DataFrame, c: DataFrame) -> DataFrame:
     changes = r.where("status = 'ok'").select(F.when(k % 4 == 0, "active").when(k % 4 == 1, "long_empty").when(k % 4 == 2, "suspected_dead").alias("health"), F.when(k % 6 == 0, "listing_empty_anomaly").when(k % 6 == 1, "listing_volume_anomaly").alias("listing_outcome"))
     canaries = r.select(F.when(F.col("status") == "ok", "healthy").when(F.col("status") == "error", "degraded").otherwise("inconclusive").alias("verdict"))
     return S.run_report(targets, results, evaluated, changes, canaries)
+
+
+@query(f"""WITH s AS (SELECT CAST(sequence AS VARCHAR) AS tenant, sequence AS k, CASE sequence % 4 WHEN 0 THEN 'listing_empty_anomaly' WHEN 1 THEN 'listing_volume_anomaly' WHEN 2 THEN 'listing_ok' END AS outcome FROM fx_provider_results WHERE status = 'ok'), a AS (SELECT *, k % 4 < 2 AS odd FROM s)
+    SELECT tenant, 'temporarily_failed' AS health, {NOW} + INTERVAL '60' MINUTE AS next_at, k % 4 + 1 AS failures, CASE WHEN odd THEN k % 6 ELSE 0 END AS durable, CASE WHEN odd THEN k % 2 ELSE k % 2 + 1 END AS transient, CASE WHEN odd THEN k % 2 + 1 ELSE k % 2 END AS suspicious, k % 6 AS empty FROM a""", "fx_provider_results")
+def tenant_listing_anomalies(r: DataFrame) -> DataFrame:
+    """Listings that a provider's check found odd, beside other failures of the same class: sound results taken as such."""
+    k = F.col("tenant").cast("long") % 4
+    rows = _tenants(r.where("status = 'ok'")).withColumns({"status": F.lit("error"), "error_class": F.lit("provider_anomaly"), "http_status": F.lit(None).cast("int")})
+    rows = rows.withColumn("listing_outcome", F.when(k == 0, "listing_empty_anomaly").when(k == 1, "listing_volume_anomaly").when(k == 2, "listing_ok"))
+    return H.tenant_step(rows, now()).drop("recent_counts")
+
+
+@query("SELECT l_returnflag, quantile_disc(CAST(floor(l_extendedprice) AS BIGINT), 0.01) AS low, quantile_disc(CAST(floor(l_extendedprice) AS BIGINT), 0.5) AS middle, quantile_disc(CAST(floor(l_extendedprice) AS BIGINT), 1.0) AS high FROM lineitem GROUP BY l_returnflag", "lineitem")
+def nearest_rank_prices(lineitem: DataFrame) -> DataFrame:
+    """Nearest ranks of a wide range of values in few large groups."""
+    rows = lineitem.select("l_returnflag", F.floor("l_extendedprice").alias("price"))
+    return H.nearest_ranks(rows, "l_returnflag", "price", {"low": (1, 100), "middle": (1, 2), "high": (1, 1)})
