@@ -6,8 +6,8 @@ descent (Hsieh et al. 2008) on the vectors ``r * indicator``, and its margins ar
 rows held back from the fit (Platt). Scoring is one pass over whole texts with a weight vector of fixed size, with
 no shuffle.
 
-Bounds, all documented parameters: ``label_rows`` labelled rows a class, of which ``fit_rows`` a class are fitted, with
-``fit_features`` distinct n-grams in all; ``2**bits`` weights. Rows are taken by the smallest hash of their id, so a choice doesn't depend on partitions.
+Bounds, all documented parameters: ``label_rows`` labelled rows a class of documents in the table, of which ``fit_rows`` a class are fitted, with
+``fit_features`` distinct n-grams in all, but one row a class at least; ``2**bits`` weights. Labels without their document don't count. Rows are taken by the smallest hash of their id, so a choice doesn't depend on partitions.
 
 Defined cases: texts of any length are taken whole; a null text counts as empty; an empty text gets the calibrated score of the bias alone. A null
 doc_id is never learned from; of repeated documents one is fitted, the one of fewest n-grams. Of repeated label rows of one document the smallest quality counts; null ids or
@@ -67,15 +67,17 @@ def held_out(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(True))
 
 
-def training_labels(labels: DataFrame, p: Params, folds: int) -> DataFrame:
-    """At most ``label_rows`` rows a class: doc_id, quality, and ``rank`` from 0 in the order of the id's hash."""
+def training_labels(docs: DataFrame, labels: DataFrame, p: Params, folds: int) -> DataFrame:
+    """At most ``label_rows`` rows a class of documents that are there: doc_id, quality, and order, the id's hash."""
     one = (
         labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality"))
         .where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"), folds))
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"))
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
         .withColumn("order", F.xxhash64("doc_id"))
     )
+    one = written(one, "labelled")
     parts = [one.where(F.col("quality") == k).orderBy("order", "doc_id").limit(p.label_rows) for k in (0, 1)]
     return parts[0].unionByName(parts[1])
 
@@ -140,7 +142,7 @@ def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), folds: int = 5) -> Model:
     spark = docs.sparkSession
-    chosen = training_labels(labels, p, folds)
+    chosen = training_labels(docs, labels, p, folds)
     # At most 2 * label_rows rows of two numbers, by training_labels' limits: broadcast, so that no text is shuffled.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     dim, bits = 1 << p.bits, p.bits
@@ -187,11 +189,13 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), folds: int =
     sample = docs.select("doc_id", "text").join(few, "doc_id").mapInArrow(gather, "quality int, order long, features long, columns binary")
     # One row a document; then, in the order of their hashes, rows while their n-grams are ``fit_features`` at most.
     sample = written(sample.groupBy("order", "quality").agg(F.min(F.struct("features", "columns")).alias("one")).select("order", "quality", "one.*"), "fit-rows")
-    sizes = sample.select("order", "features").orderBy("order").toPandas()  # 2 * fit_rows rows at most
-    last = sizes.order[sizes.features.cumsum() <= p.fit_features].max()
-    sample = sample.where(F.col("order") <= F.lit(int(last) if last == last else None).cast("long")).toPandas().sort_values(["order", "quality"], kind="stable")
-    if not len(sample) or sample.quality.nunique() < 2:
-        raise ValueError("fit_features is too small for rows of both classes")
+    sizes = sample.select("order", "quality", "features").orderBy("order", "quality").toPandas()  # 2 * fit_rows rows at most
+    taken = sizes[sizes.features.cumsum() <= p.fit_features]
+    last = taken.order.max()
+    # A class that has no row by then takes part with its smallest.
+    lone = [int(of.order[of.features.idxmin()]) for k, of in sizes.groupby("quality") if k not in set(taken.quality)]
+    within = F.col("order") <= F.lit(int(last) if last == last else None).cast("long")
+    sample = sample.where(F.coalesce(within, F.lit(False)) | F.col("order").isin(lone)).toPandas().sort_values(["order", "quality"], kind="stable")
     y = np.where(sample.quality.to_numpy() == 1, 1.0, -1.0)
     vectors = []
     for cell in sample["columns"]:
