@@ -3,9 +3,10 @@
 A change says what happened to one document in one batch: ``insert``, ``delete`` or ``revise`` (a new text, source or
 language). A batch of changes is resolved to its last change a document, compared with what those documents counted for
 before, and turned into signed deltas: +1 document and its tokens where it counts from now on, -1 and what it counted
-where it no longer does. The totals after a batch are those after the batch before plus its deltas, a row a group; no
-other document is looked at. What documents counted for before comes from the last ledger, written every
-``ledger_every`` batches, and the changes since, so that a commit doesn't grow with the history either.
+where it no longer does. The totals after a batch are those after the batch before plus its deltas, a row a group. What
+documents counted for before comes from the last ledger, written every ``ledger_every`` batches, and the changes since. A
+commit reads these, but flags of the batch's ids, of a fixed size, leave out the others' rows before anything moves; a
+ledger is written for all documents.
 
 Commits are idempotent. Batches are numbered as they first come, and stand in a commit log in the shared folder, which
 a new driver reads. A batch is written to a folder of its own, and counts once its row is in the log; what a failed
@@ -32,9 +33,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import new_folder, slices
+from vacancia.llm.common import flag_pages, flag_place, flagged, new_folder, slices, written
 from vacancia.llm.tokens import default_path, encoder
 
+FLAG_BITS = 26
 GROUP = ["source", "lang", "tokenizer"]
 LOG = "version long, number long, batch string, folder string, ledger boolean"
 TOTALS = "source string, lang string, tokenizer string, documents long, tokens long"
@@ -60,7 +62,8 @@ def counted(changes: DataFrame, counters: Mapping[str, Callable[[list[str]], np.
     """``changes`` (doc_id, change, seq, text, source, lang) with ``tokens``, counts by tokenizer version, and ``digest``
     instead of the text."""
     fields = ["doc_id", "change", "seq", "source", "lang", "digest"]
-    rows = changes.withColumn("digest", F.xxhash64("text", "source", "lang")).select(*fields, "text")
+    told_apart = [c for name in ("text", "source", "lang") for c in (F.col(name), F.col(name).isNull())]  # xxhash64 skips nulls
+    rows = changes.withColumn("digest", F.xxhash64(*told_apart)).select(*fields, "text")
     kinds = ", ".join(f"`{f}` {rows.schema[f].dataType.simpleString()}" for f in fields)
     names = list(counters)
 
@@ -120,7 +123,8 @@ class Rollup:
         for part in parts[1:]:
             rows = rows.unionByName(part)
         if docs is not None:
-            rows = rows.join(docs.select("doc_id"), "doc_id", "left_semi")
+            pages = written(flag_pages(docs, flag_place(F.col("doc_id"), FLAG_BITS)), "batch-flags")
+            rows = flagged(rows, pages, True, FLAG_BITS).join(docs.select("doc_id"), "doc_id", "left_semi")
         last = rows.groupBy("doc_id").agg(F.max_by(F.struct("source", "lang", "tokens", "counts"), "number").alias("last"))
         return last.where("last.counts").select("doc_id", "last.source", "last.lang", "last.tokens")
 
@@ -138,7 +142,7 @@ class Rollup:
         earlier = max((n for n in self.batches if n < number), default=None)
         if earlier is not None:
             sums = sums.unionByName(self._read(earlier, "totals")).groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        sums.where("documents <> 0 or tokens <> 0").coalesce(1).write.mode("overwrite").parquet(f"{at}/totals")  # a row a group
+        sums.where("documents <> 0 or tokens <> 0").write.mode("overwrite").parquet(f"{at}/totals")  # a row a group
         ledger = number % self.ledger_every == 0
         self.batches[number] = Batch(version, number, batch, folder, False)
         if ledger:
@@ -173,8 +177,10 @@ class Rollup:
 
     @staticmethod
     def _same(a: DataFrame, b: DataFrame) -> bool:
-        mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "change", "source", "lang", "digest", F.to_json("tokens")).cast("decimal(38,0)"))).first()
-        return tuple(mark(a)) == tuple(mark(b))
+        """Whether two tables of resolved changes, a row a document, have the same rows."""
+        fields = ["change", "source", "lang", "digest"]
+        sides = [df.select("doc_id", F.struct(*fields, F.to_json("tokens").alias("tokens")).alias(side)) for df, side in ((a, "x"), (b, "y"))]
+        return sides[0].join(sides[1], "doc_id", "full").where(~F.col("x").eqNullSafe(F.col("y"))).isEmpty()
 
     def ledger(self) -> DataFrame:
         """What each document counts for at present."""
