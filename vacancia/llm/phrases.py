@@ -242,6 +242,15 @@ def _part(first: int, last: Column | int) -> Column:
     return F.array(*[F.when(F.lit(k) < last, F.col(_IDS[first + k])).otherwise(0) if first + k < LONGEST else F.lit(0).cast("long") for k in range(LONGEST)])
 
 
+def with_ids(words: DataFrame, salt: str) -> DataFrame:
+    return words.select(F.xxhash64(F.concat("lang", F.lit(salt)), "word").alias("id"), "lang", "word", "n")
+
+
+def clash(named: DataFrame) -> bool:
+    """Whether two words have one id, or one has that of a piece's end."""
+    return not named.groupBy("id").count().where("count > 1 or id = 0").isEmpty()
+
+
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, rank (from 1), phrase, a, l, r, n and score of each language's ``top`` phrases."""
     spark = docs.sparkSession
@@ -250,7 +259,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     words = written(word_counts(texts), "word-counts")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     salt = ""
-    while not (named := words.select(F.xxhash64(F.concat("lang", F.lit(salt)), "word").alias("id"), "lang", "word", "n")).groupBy("id").count().where("count > 1 or id = 0").isEmpty():
+    while clash(named := with_ids(words, salt)):
         salt += "+"
     named = written(named.where(F.col("n") >= least), "frequent-words")
     frequent = bit_flags(named, _flag_of(F.col("id")), FLAG_BITS)
