@@ -5,9 +5,9 @@ the columns of documents.
 
 Defined cases, in every stage but the last: rows without doc_id pass where a stage decides by doc_id, and are scored by
 the classifier like any other; null and empty texts are scored as empty and near-duplicates of one another; texts of any
-length are taken whole; a doc_id that repeats is judged by all its rows; of its rows the near-duplicate stage keeps the
-one of the least hash over all columns, so that ties don't depend on partitions; an empty table gives an empty one; extra
-columns are kept whatever their names. n_chars, if there is such a column, follows a text that a stage changes. The last
+length are taken whole; a doc_id that repeats is judged by all its rows, but by the near-duplicate stage each row by its own
+text: of equal ids in one class of texts it keeps the row of the least hash over all columns, so that ties don't depend on
+partitions; an empty table gives an empty one; extra columns are kept whatever their names. n_chars, if there is such a column, follows a text that a stage changes. The last
 stage returns pieces for every row, and leaves other columns out.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancia.llm import decontaminate, jaccard, line_dedup, packing, quality
+from vacancia.llm import decontaminate, line_dedup, near_dedup, packing, quality
 from vacancia.llm.common import written
 
 
@@ -39,10 +39,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (0.8 of their five-word shingles or more) the document of the smallest doc_id, and one row of it."""
-    kept = docs.where("doc_id is not null").join(jaccard.kept_ids(docs), "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"))
-    first = kept.groupBy(F.col("row.doc_id").alias("id")).agg(F.min_by("row", F.xxhash64(*[F.col("row")[c] for c in docs.columns])).alias("row"))
-    return first.select("row.*").unionByName(docs.where("doc_id is null"))
+    """Of each group of near-duplicates (0.8 of their five-word shingles or more) one row, of the smallest doc_id."""
+    return near_dedup.distinct_texts(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
