@@ -297,60 +297,6 @@ def catalogue_metrics(catalogues: DataFrame, evaluated: DataFrame) -> DataFrame:
 LISTING_ANOMALIES = ("listing_empty_anomaly", "listing_volume_anomaly")
 
 
-def tenant_step(rows: DataFrame, now: Column, p: Policy = Policy()) -> DataFrame:
-    """The next state of tenants after one result each.
-
-    ``rows`` holds the previous state (health, failures, durable, transient, empty, suspicious, recent_counts,
-    last_relevant_at, next_at) beside the result (status, error_class, http_status, jobs_returned, matched,
-    target_class, and where there is one listing_outcome). A skipped target keeps its state. A listing that a provider's
-    check found empty or of an odd size is looked at again soon, and counts as suspicious until a result is sound.
-    """
-    ok, skipped = F.col("status") == "ok", F.col("status") == "skipped"
-    durable = is_durable(F.col("error_class"), F.col("http_status"))
-    baseline = median(F.col("recent_counts")) >= p.empty_baseline_jobs
-    suspicious = ok & baseline & (F.col("jobs_returned") == 0)
-    confirmed = suspicious & (F.col("suspicious") >= 1)
-    waiting = suspicious & ~confirmed
-    outcome = F.col("listing_outcome") if "listing_outcome" in rows.columns else F.lit(None).cast("string")
-    odd = F.coalesce((F.col("status") == "error") & (F.col("error_class") == "provider_anomaly") & outcome.isin(*LISTING_ANOMALIES), F.lit(False))
-    empty = F.when(F.col("jobs_returned") == 0, F.col("empty") + 1).otherwise(0)
-    relevant = F.when(F.col("matched") > 0, now).otherwise(F.col("last_relevant_at"))
-    recent = F.coalesce(relevant >= hours(now, -p.recent_window_hours), F.lit(False))
-    listed = F.when(F.col("target_class") == "priority", F.when(recent, "active").otherwise("healthy")).when(empty >= p.long_empty_after, "long_empty").when(recent, "active").otherwise("healthy")
-    interval = F.when(F.col("target_class") == "priority", p.priority_hours).when(empty >= p.long_empty_after, p.long_empty_hours).when(recent, p.active_hours).otherwise(p.healthy_hours)
-    dead = F.col("durable") + 1
-    limited = F.col("error_class") == "rate_limited"
-    gone = F.when(dead >= p.dead_after, "confirmed_dead").when(dead >= p.suspected_after, "suspected_dead").otherwise("temporarily_failed")
-    health = F.when(skipped, F.col("health")).when(waiting, "temporarily_failed").when(ok, listed).when(odd, "temporarily_failed").when(durable, gone).when(limited, "cooldown").otherwise("temporarily_failed")
-    next_at = (
-        F.when(skipped, F.col("next_at"))
-        .when(waiting, minutes(now, p.empty_reprobe_minutes))
-        .when(ok, hours(now, interval))
-        .when(odd, minutes(now, p.empty_reprobe_minutes))
-        .when(durable, F.when(dead >= p.suspected_after, hours(now, p.dead_reprobe_hours)).otherwise(hours(now, p.first_durable_hours)))
-        .when(limited, minutes(now, p.rate_limit_minutes))
-        .otherwise(minutes(now, p.transient_minutes))
-    )
-    window = F.slice(F.concat("recent_counts", F.array(F.col("jobs_returned"))), F.greatest(F.size("recent_counts") + 2 - p.count_window, F.lit(1)), F.lit(p.count_window))
-    counts = F.when(ok & confirmed, F.array(F.lit(0))).when(ok & (F.col("jobs_returned") > 0), window).otherwise(F.col("recent_counts"))
-    failures = F.when(skipped | waiting, F.col("failures")).when(ok, 0).otherwise(F.col("failures") + 1)
-    return rows.withColumns(
-        {
-            "_health": health,
-            "_next": next_at,
-            "_failures": failures,
-            "_durable": F.when(skipped | waiting | odd, F.col("durable")).when(ok, 0).when(durable, dead).otherwise(0),
-            "_transient": F.when(skipped | waiting | odd, F.col("transient")).when(ok | durable, 0).otherwise(F.col("transient") + 1),
-            "_suspicious": F.when(odd, F.col("suspicious") + 1).when(waiting, 1).when(ok | durable, F.when(skipped, F.col("suspicious")).otherwise(0)).otherwise(F.col("suspicious")),
-            "_empty": F.when(ok & ~waiting, empty).otherwise(F.col("empty")),
-            "_counts": counts,
-        }
-    ).select(
-        "tenant", F.col("_health").alias("health"), F.col("_next").alias("next_at"), F.col("_failures").alias("failures"), F.col("_durable").alias("durable"), F.col("_transient").alias("transient"),
-        F.col("_suspicious").alias("suspicious"), F.col("_empty").alias("empty"), F.col("_counts").alias("recent_counts"),
-    )
-
-
 def with_previous(results: DataFrame, targets: DataFrame, previous: DataFrame) -> DataFrame:
     """Results with their target's key and the state kept under it, else under its key without a variant.
 

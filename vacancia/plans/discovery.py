@@ -11,6 +11,7 @@ from vacancia.operators import discovery as D
 from vacancia.operators import health as H
 from vacancia.operators import planning as P
 from vacancia.operators import summary as S
+from vacancia.operators import tenants as T
 from vacancia.operators.numbering import numbered
 from vacancia.plans.fixtures import registrar, sql, table, view
 
@@ -247,7 +248,7 @@ def _tenants(r: DataFrame) -> DataFrame:
       CASE WHEN status = 'skipped' OR waiting THEN k % 2 WHEN status = 'ok' OR gone THEN 0 ELSE k % 2 + 1 END AS transient, CASE WHEN waiting THEN 1 WHEN status = 'ok' OR gone THEN 0 ELSE k % 2 END AS suspicious, CASE WHEN status = 'ok' AND NOT waiting THEN empties ELSE k % 6 END AS empty,
       array_to_string(CASE WHEN status = 'ok' AND suspicious AND NOT waiting THEN [0] WHEN status = 'ok' AND jobs > 0 THEN list_append(counts, jobs) ELSE counts END, ',') AS recent_counts FROM v""", "fx_provider_results")
 def tenant_health_step(r: DataFrame) -> DataFrame:
-    return H.tenant_step(_tenants(r), now()).withColumn("recent_counts", F.array_join("recent_counts", ","))
+    return T.tenant_step(_tenants(r), now()).withColumn("recent_counts", F.array_join("recent_counts", ","))
 
 
 @query(f"""WITH e AS ({EVENTS}), k AS (SELECT DISTINCT health_partition FROM fx_provider_results) SELECT k.health_partition, CASE WHEN reason IS NOT NULL THEN 'cooldown' WHEN k.health_partition LIKE 'a%' THEN 'healthy' ELSE 'cooldown' END AS health,
@@ -350,7 +351,7 @@ def tenant_listing_anomalies(r: DataFrame) -> DataFrame:
     k = F.col("tenant").cast("long") % 4
     rows = _tenants(r.where("status = 'ok'")).withColumns({"status": F.lit("error"), "error_class": F.lit("provider_anomaly"), "http_status": F.lit(None).cast("int")})
     rows = rows.withColumn("listing_outcome", F.when(k == 0, "listing_empty_anomaly").when(k == 1, "listing_volume_anomaly").when(k == 2, "listing_ok"))
-    return H.tenant_step(rows, now()).drop("recent_counts")
+    return T.tenant_step(rows, now()).drop("recent_counts")
 
 
 @query("SELECT l_returnflag, quantile_disc(CAST(floor(l_extendedprice) AS BIGINT), 0.01) AS low, quantile_disc(CAST(floor(l_extendedprice) AS BIGINT), 0.5) AS middle, quantile_disc(CAST(floor(l_extendedprice) AS BIGINT), 1.0) AS high FROM lineitem GROUP BY l_returnflag", "lineitem")

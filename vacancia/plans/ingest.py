@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from vacancia.operators import events as E
 from vacancia.operators import reports, upserts
+from vacancia.operators.tenants import COUNTERS
 from vacancia.plans.fixtures import registrar, sql, table, view
 from vacancia.sources import files
 from vacancia.sources.shared import new_folder
-from vacancia.streaming import ingest
+from vacancia.streaming import ingest, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -177,3 +178,40 @@ QUERIES["stream_state_counts"] = stream_state_counts
 ORACLE_SQL["stream_state_counts"] = """WITH r AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'skipped' ELSE 'ok' END AS status FROM events),
     o AS (SELECT user_id, max(event_id) FILTER (WHERE status = 'ok') AS ok, count(*) AS seen FROM r GROUP BY 1), f AS (SELECT user_id, any_value(seen) AS seen, count(*) FILTER (WHERE status = 'error' AND event_id > coalesce(ok, -1)) AS failures FROM r JOIN o USING (user_id) GROUP BY 1)
     SELECT CAST(user_id AS VARCHAR) AS tenant, failures, seen, CASE WHEN failures = 0 THEN 'healthy' WHEN failures < 3 THEN 'temporarily_failed' WHEN failures < 5 THEN 'suspected_dead' ELSE 'confirmed_dead' END AS health FROM f"""
+
+
+def stream_tenant_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole state of each user, whose events stand for a tenant's results, as a stream folds them to its end."""
+    rows = ingest.read_events(spark, sf_dir, table(spark, sf_dir, "events").schema)
+    k, kind = F.col("event_id"), F.col("event_type")
+    failure = F.when(k % 4 == 0, "rate_limited").when(k % 4 == 1, "provider_anomaly").when(k % 4 == 2, "timeout").otherwise("http_4xx")
+    failed = kind == "error"
+    results = rows.select(
+        F.col("user_id").cast("string").alias("tenant"), F.col("ts").alias("at"), k.alias("sequence"), F.when(failed, "error").when(kind == "signup", "skipped").otherwise("ok").alias("status"),
+        F.when(failed, failure).alias("error_class"), F.when(failed & (k % 4 == 3), 404).alias("http_status"), F.when(kind == "view", 0).when(kind.isin("click", "purchase"), (k % 13 + 1).cast("int")).otherwise(0).alias("jobs_returned"),
+        F.when(kind == "purchase", 1).otherwise(0).alias("matched"), F.when(F.col("user_id") % 5 == 0, "priority").otherwise("normal").alias("target_class"), F.when(failed, "listing_volume_anomaly").alias("listing_outcome"),
+    )
+    found = state.with_rocksdb(spark, lambda: ingest.to_table(state.tenant_states(results), new_folder(spark, "tenants"), "update"))
+    return found.groupBy("tenant").agg(F.max_by(F.struct("health", "next_at", *COUNTERS, F.array_join("recent_counts", ",").alias("recent_counts")), "batch").alias("s")).select("tenant", "s.*")
+
+
+def stream_run_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last status of each user, whose events stand for the changes of a run, with those that timers ended."""
+    rows = ingest.read_events(spark, sf_dir, table(spark, sf_dir, "events").schema)
+    k, kind, ts = F.col("event_id"), F.col("event_type"), F.col("ts")
+    changes = rows.select(
+        F.col("user_id").alias("run_id"), ts.alias("changed_at"), k.alias("sequence"), F.when(kind == "click", "Queued").when(kind == "view", "Leased").when(kind == "signup", "Pending").when(kind == "purchase", "Succeeded").otherwise("Failed").alias("status"),
+        (ts - F.make_dt_interval((k % 15).cast("int"))).alias("requested_at"), (ts + F.make_dt_interval(F.lit(0), (k % 48).cast("int"))).alias("lease_until"), F.when((kind == "error") | (k % 3 == 0), "EARLIER").alias("error_code"),
+    )
+    found = state.with_rocksdb(spark, lambda: ingest.to_table(state.run_expiries(changes, pending_minutes=60 * 24 * 7), new_folder(spark, "expiry"), "update"))
+    last = found.groupBy("key").agg(F.max_by(F.struct("status", "error_code"), F.struct("batch", "late")).alias("s"))
+    return last.select(F.col("key").cast("long").alias("run_id"), "s.status", "s.error_code")
+
+
+QUERIES["stream_tenant_states"] = stream_tenant_states
+QUERIES["stream_run_expiry"] = stream_run_expiry
+ORACLE_SQL["stream_run_expiry"] = """WITH l AS (SELECT user_id AS run_id, arg_max({'e': event_id, 't': event_type, 'ts': ts}, {'ts': ts, 'e': event_id}) AS r FROM events GROUP BY 1),
+    n AS (SELECT run_id, r.ts AS ts, r.t AS t, r.ts - to_days(CAST(r.e % 15 AS INT)) AS requested_at, r.ts + to_hours(CAST(r.e % 48 AS INT)) AS lease_until, CASE WHEN r.t = 'error' OR r.e % 3 = 0 THEN 'EARLIER' END AS code FROM l),
+    d AS (SELECT *, CASE t WHEN 'click' THEN requested_at + INTERVAL 14 DAY WHEN 'view' THEN lease_until + INTERVAL 10 MINUTE WHEN 'signup' THEN requested_at + INTERVAL 7 DAY END < (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS late FROM n)
+    SELECT run_id, CASE WHEN late THEN CASE t WHEN 'signup' THEN 'Failed' ELSE 'Expired' END ELSE CASE t WHEN 'click' THEN 'Queued' WHEN 'view' THEN 'Leased' WHEN 'signup' THEN 'Pending' WHEN 'purchase' THEN 'Succeeded' ELSE 'Failed' END END AS status,
+      coalesce(code, CASE WHEN late THEN CASE t WHEN 'click' THEN 'QueueTTLExceeded' WHEN 'view' THEN 'LeaseExpired' ELSE 'PendingTooLong' END END) AS error_code FROM d"""
