@@ -203,3 +203,18 @@ def test_run_folder(spark, tmp_path):
     base = files.write_run(str(tmp_path), "r1", {"rejected": files.rejection_view(rows)}, rows.limit(1).select("sequence"))
     got = spark.read.json(f"{base}/rejected").first()
     assert len(got.title) == 500 and spark.read.json(f"{base}/summary").count() == 1
+
+
+def test_report_of_a_run_without_rows(spark):
+    from vacancia.operators import summary
+
+    kinds = "detail_status string, import_status string, location_status string, eligibility string, consistency string, preflight string, exists boolean, description string, unresolved int"
+    empty = spark.createDataFrame([], kinds)
+    pairs, rejected, actions = (spark.createDataFrame([], f"{c} string") for c in ("status", "reason", "action"))
+    (row,) = summary.outcome_report(empty, pairs, None, rejected, actions).collect()
+    assert set(row.asDict().values()) == {0} and "discovery_users_eligible" not in row.asDict()
+    one = spark.createDataFrame([(None, None, None, None, None, "ok", False, " ", None), ("unavailable", "skipped_x", "unparsed_y", None, None, "ok", False, None, 2)], kinds)
+    got = summary.outcome_counts(one).first()
+    assert (got.candidate_descriptions_missing, got.missing_descriptions_for_import, got.import_skipped, got.location_unparsed, got.location_unresolved_observations, got.detail_unavailable) == (2, 1, 1, 1, 2, 1)
+    failed = summary.user_counts(spark.createDataFrame([(True, 0)], "saved_filters boolean, profiles int"), "no answer").first()
+    assert (failed.discovery_users_load_status, failed.discovery_users_load_error, failed.discovery_users_failing_closed) == ("error", "no answer", 1)

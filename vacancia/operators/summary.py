@@ -67,3 +67,78 @@ def run_report(targets: DataFrame, results: DataFrame, evaluated: DataFrame, cha
     for part in (result_counts(results), candidate_counts(evaluated), change_counts(changes), canary_counts(canaries)):
         out = out.join(F.broadcast(part))  # one row each
     return out.withColumns({"provider_success_ratio": ratio(F.col("provider_successes"), F.col("targets_attempted")), "candidate_ratio": ratio(F.col("candidates"), F.col("raw_jobs_returned"))})
+
+
+# The fields of a report that count candidates by one status, and the statuses they count.
+BY_STATUS = {
+    "detail_status": {
+        "detail_ready": ("ok",), "detail_already_present": ("already_present",), "detail_existing_skipped": ("skipped_existing",), "detail_fetch_limited": ("skipped_limit",),
+        "detail_unsupported": ("unsupported_provider",), "detail_unavailable": ("unavailable",), "detail_errors": ("error",),
+    },
+    "import_status": {
+        "import_existing": ("existing_preflight",), "import_submitted": ("submitted",), "import_reconciled": ("reconciled_after_ambiguous_post",),
+        "import_detail_unavailable_skipped": ("skipped_detail_unavailable",), "import_skipped_location_ineligible": ("skipped_location_ineligible",), "import_errors": ("error",),
+    },
+    "location_status": {
+        "location_provider_structured": ("provider_structured",), "location_missing": ("missing",),
+        "location_normalized": ("normalized_city_country", "normalized_country", "normalized_country_scope", "normalized_multiple"),
+    },
+    "eligibility": {"location_eligible": ("eligible",), "location_ineligible": ("ineligible",), "location_unclear": ("unclear",)},
+    "consistency": {"location_conflicting": ("conflicting",)},
+}
+# The same of pairs of a user and a candidate.
+PAIRS = {
+    "compatibility_requested": ("requested",), "compatibility_already_active": ("skipped_active",), "compatibility_already_succeeded": ("skipped_succeeded_current_cv", "skipped_succeeded_unknown_cv"),
+    "compatibility_skipped_request_limit": ("skipped_request_limit",), "compatibility_errors": ("error_latest_check", "error_request"),
+}
+
+
+def _counted(column: str, fields: dict[str, tuple[str, ...]]) -> list[Column]:
+    return [_count(F.col(column).isin(*names), field) for field, names in fields.items()]
+
+
+def outcome_counts(evaluated: DataFrame) -> DataFrame:
+    """One row over evaluated candidates: what became of their details, descriptions, imports and locations.
+
+    ``evaluated``: the columns of ``BY_STATUS``, preflight, exists, description, and unresolved, how many observations of its
+    location stayed open.
+    """
+    blank = F.trim(F.coalesce("description", F.lit(""))) == ""
+    wanted = (F.col("preflight") == "ok") & (F.col("exists") == F.lit(False)) & (F.coalesce("detail_status", F.lit("")) != "unavailable")
+    return evaluated.agg(
+        *[c for column, fields in BY_STATUS.items() for c in _counted(column, fields)],
+        _count(F.col("import_status").startswith("skipped_"), "import_skipped"), _count(F.col("location_status").startswith("unparsed_"), "location_unparsed"),
+        F.coalesce(F.sum("unresolved"), F.lit(0)).alias("location_unresolved_observations"),
+        _count(blank, "candidate_descriptions_missing"), _count(blank & wanted, "missing_descriptions_for_import"),
+    )
+
+
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """One row over pairs of users and candidates: status, null for a pair beyond the limit of pairs."""
+    return pairs.agg(F.count("*").alias("compatibility_pairs"), F.count("status").alias("compatibility_evaluated"), _count(F.col("status").isNull(), "compatibility_omitted_by_pair_limit"), *_counted("status", PAIRS))
+
+
+def user_counts(users: DataFrame | None, error: str | None = None) -> DataFrame | None:
+    """One row over users: saved_filters (whether there are any) and profiles (how many are valid); nulls if loading failed.
+    None without users at all, as where discovery isn't made for any."""
+    if users is None:
+        return None
+    saved, valid = F.col("saved_filters"), F.col("profiles") > 0
+    row = users.agg(F.count("*").alias("discovery_users_eligible"), _count(saved, "discovery_users_with_saved_filters"), _count(valid, "discovery_users_with_valid_profiles"), _count(saved & ~valid, "discovery_users_failing_closed"))
+    return row.withColumns({"discovery_users_load_status": F.lit("ok" if error is None else "error"), "discovery_users_load_error": F.lit(error).cast("string")})
+
+
+def rejection_counts(rejected: DataFrame, actions: DataFrame) -> DataFrame:
+    """One row over rejected candidates (reason) and what is recommended for providers' rates (action)."""
+    row = rejected.agg(F.count("*").alias("candidates_rejected"), _count(F.col("reason") == "no_user_match", "candidates_rejected_no_user_match"), _count(F.col("reason") == "location_scope_filter", "location_scope_rejected"))
+    rates = actions.agg(_count(F.col("action") == "decrease", "rate_recommendations_decrease"), _count(F.col("action") == "consider_increase", "rate_recommendations_increase"))
+    return row.join(F.broadcast(rates))  # one row each
+
+
+def outcome_report(evaluated: DataFrame, pairs: DataFrame, users: DataFrame | None, rejected: DataFrame, actions: DataFrame) -> DataFrame:
+    """The second half of a run's report as one row, each input read once."""
+    out = outcome_counts(evaluated)
+    for part in (pair_counts(pairs), user_counts(users), rejection_counts(rejected, actions)):
+        if part is not None:
+            out = out.join(F.broadcast(part))  # one row each
+    return out

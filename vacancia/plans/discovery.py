@@ -359,3 +359,49 @@ def nearest_rank_prices(lineitem: DataFrame) -> DataFrame:
     """Nearest ranks of a wide range of values in few large groups."""
     rows = lineitem.select("l_returnflag", F.floor("l_extendedprice").alias("price"))
     return H.nearest_ranks(rows, "l_returnflag", "price", {"low": (1, 100), "middle": (1, 2), "high": (1, 1)})
+
+
+# Statuses of candidates made of their number, so that every field of a report counts some and leaves out others.
+DETAIL = ("ok", "already_present", "skipped_existing", "skipped_limit", "unsupported_provider", "unavailable", "error", None)
+IMPORT = ("existing_preflight", "submitted", "reconciled_after_ambiguous_post", "skipped_detail_unavailable", "skipped_location_ineligible", "skipped_limit", "error", None, "planned")
+LOCATION = ("provider_structured", "missing", "normalized_city_country", "normalized_country", "normalized_multiple", "unparsed_text", "unparsed_remote")
+ELIGIBLE = ("eligible", "ineligible", "unclear", "not_applicable_existing", None)
+PAIR = ("requested", "skipped_active", "skipped_succeeded_current_cv", "skipped_succeeded_unknown_cv", "skipped_request_limit", "error_latest_check", "error_request", None)
+
+
+def _dealt(k: F.Column, names: tuple[str | None, ...]) -> F.Column:
+    return F.element_at(F.array(*[F.lit(n).cast("string") for n in names]), (k % len(names) + 1).cast("int"))
+
+
+def _dealt_sql(k: str, names: tuple[str | None, ...]) -> str:
+    listed = ", ".join("NULL" if n is None else f"'{n}'" for n in names)
+    return f"([{listed}])[{k} % {len(names)} + 1]"
+
+
+def _filtered(column: str, *names: str) -> str:
+    return f"count(*) FILTER (WHERE {column} IN ({', '.join(repr(n) for n in names)}))"
+
+
+@query(f"""WITH e AS (SELECT {_dealt_sql('sequence', DETAIL)} AS detail, {_dealt_sql('sequence', IMPORT)} AS import, {_dealt_sql('sequence', LOCATION)} AS location, {_dealt_sql('sequence', ELIGIBLE)} AS eligible, sequence % 6 = 0 AS conflict, sequence % 4 AS open, sequence % 5 > 0 AS checked, sequence % 3 = 0 AS here, sequence % 7 < 2 AS blank FROM fx_candidates),
+    a AS (SELECT {_filtered('detail', 'ok')} AS detail_ready, {_filtered('detail', 'already_present')} AS detail_already_present, {_filtered('detail', 'skipped_existing')} AS detail_existing_skipped, {_filtered('detail', 'skipped_limit')} AS detail_fetch_limited, {_filtered('detail', 'unsupported_provider')} AS detail_unsupported, {_filtered('detail', 'unavailable')} AS detail_unavailable, {_filtered('detail', 'error')} AS detail_errors,
+      {_filtered('import', 'existing_preflight')} AS import_existing, {_filtered('import', 'submitted')} AS import_submitted, {_filtered('import', 'reconciled_after_ambiguous_post')} AS import_reconciled, {_filtered('import', 'skipped_detail_unavailable')} AS import_detail_unavailable_skipped, {_filtered('import', 'skipped_location_ineligible')} AS import_skipped_location_ineligible, {_filtered('import', 'error')} AS import_errors, count(*) FILTER (WHERE import LIKE 'skipped%') AS import_skipped,
+      {_filtered('location', 'provider_structured')} AS location_provider_structured, {_filtered('location', 'missing')} AS location_missing, count(*) FILTER (WHERE location LIKE 'normalized%') AS location_normalized, count(*) FILTER (WHERE location LIKE 'unparsed%') AS location_unparsed, {_filtered('eligible', 'eligible')} AS location_eligible, {_filtered('eligible', 'ineligible')} AS location_ineligible, {_filtered('eligible', 'unclear')} AS location_unclear,
+      count(*) FILTER (WHERE conflict) AS location_conflicting, sum(open) AS location_unresolved_observations, count(*) FILTER (WHERE blank) AS candidate_descriptions_missing, count(*) FILTER (WHERE blank AND checked AND NOT here AND detail IS DISTINCT FROM 'unavailable') AS missing_descriptions_for_import FROM e),
+    p AS (SELECT {_dealt_sql('job_id', PAIR)} AS s FROM fx_jobs),
+    b AS (SELECT count(*) AS compatibility_pairs, count(s) AS compatibility_evaluated, count(*) - count(s) AS compatibility_omitted_by_pair_limit, {_filtered('s', 'requested')} AS compatibility_requested, {_filtered('s', 'skipped_active')} AS compatibility_already_active, count(*) FILTER (WHERE s LIKE 'skipped_succeeded%') AS compatibility_already_succeeded, {_filtered('s', 'skipped_request_limit')} AS compatibility_skipped_request_limit, count(*) FILTER (WHERE s LIKE 'error%') AS compatibility_errors FROM p),
+    u AS (SELECT count(*) AS discovery_users_eligible, count(*) FILTER (WHERE c_custkey % 3 > 0) AS discovery_users_with_saved_filters, count(*) FILTER (WHERE c_custkey % 4 > 0) AS discovery_users_with_valid_profiles, count(*) FILTER (WHERE c_custkey % 3 > 0 AND c_custkey % 4 = 0) AS discovery_users_failing_closed, 'ok' AS discovery_users_load_status, CAST(NULL AS VARCHAR) AS discovery_users_load_error FROM customer),
+    r AS (SELECT count(*) AS candidates_rejected, count(*) FILTER (WHERE sequence % 12 = 0) AS candidates_rejected_no_user_match, count(*) FILTER (WHERE sequence % 12 = 4) AS location_scope_rejected FROM fx_candidates WHERE sequence % 4 = 0),
+    x AS (SELECT count(*) FILTER (WHERE c_custkey % 5 = 0) AS rate_recommendations_decrease, count(*) FILTER (WHERE c_custkey % 5 = 1) AS rate_recommendations_increase FROM customer)
+    SELECT * FROM a, b, u, r, x""", "fx_candidates", "fx_jobs", "customer")
+def run_outcome_report(c: DataFrame, jobs: DataFrame, customer: DataFrame) -> DataFrame:
+    """What became of candidates, pairs, users and rates in a run."""
+    k, user = F.col("sequence"), F.col("c_custkey")
+    evaluated = c.select(
+        _dealt(k, DETAIL).alias("detail_status"), _dealt(k, IMPORT).alias("import_status"), _dealt(k, LOCATION).alias("location_status"), _dealt(k, ELIGIBLE).alias("eligibility"), F.when(k % 6 == 0, "conflicting").otherwise("consistent").alias("consistency"),
+        (k % 4).alias("unresolved"), F.when(k % 5 > 0, "ok").otherwise("error").alias("preflight"), (k % 3 == 0).alias("exists"), F.when(k % 7 == 0, "  ").when(k % 7 > 1, F.col("title")).alias("description"),
+    )
+    evaluated = evaluated.withColumn("description", F.when(F.col("description") == "", "untitled").otherwise(F.col("description")))
+    users = customer.select((user % 3 > 0).alias("saved_filters"), (user % 4).alias("profiles"))
+    rejected = c.where("sequence % 4 = 0").select(F.when(k % 12 == 0, "no_user_match").when(k % 12 == 4, "location_scope_filter").otherwise("title_filter").alias("reason"))
+    actions = customer.select(F.when(user % 5 == 0, "decrease").when(user % 5 == 1, "consider_increase").otherwise("keep").alias("action"))
+    return S.outcome_report(evaluated, jobs.select(_dealt(F.col("job_id"), PAIR).alias("status")), users, rejected, actions)
