@@ -77,6 +77,24 @@ def test_any_boundary_gives_the_same_links(spark, monkeypatch, x):
     assert got == dict(enumerate(joined(texts)))
 
 
+@pytest.mark.parametrize("x", [0, 10])
+def test_sets_of_four_meet_sets_of_five(spark, monkeypatch, x):
+    monkeypatch.setattr(ngram_join, "boundary", lambda lists: x)
+    texts = ["a b c d e f g h", "a b c d e f g h i", "A b c d e f g h x", "k l m n o p q", "k l m n o p q r", "q r s t u v w x y", "r s t u v w x y"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(joined(texts)))
+    assert [got[k][1] for k in (1, 2, 4, 6)] == [0, 0, 4, 5]
+    kept = near_dedup.distinct_texts(frame(spark, texts))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5]
+
+
+def test_sets_that_only_equals_are_similar_to():
+    for n in range(1, 200):
+        larger = ngram_join.SIMILAR[1] * n >= ngram_join.SIMILAR[0] * (n + 1)
+        assert ngram_join.only_equals(n) == (not larger)
+    assert [n for n in range(1, 9) if ngram_join.only_equals(n)] == [1, 2, 3]
+
+
 def test_boundary_weighs_subsets_and_lists(spark):
     rows = [(k, bytes([c]), n, 0, m) for k, (c, n, m) in enumerate([(1, 5, 50), (2, 5, 50), (3, 100, 3), (4, 100, 3), (5, 5000, 900)])]
     lists = spark.createDataFrame(rows, "list long, class binary, n long, at int, m long")

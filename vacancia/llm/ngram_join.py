@@ -144,6 +144,12 @@ def needed(n: int) -> int:
     return -(-above * n // below)
 
 
+def only_equals(n: int) -> bool:
+    """Whether a set of ``n`` n-grams is similar to its equals only: even one more n-gram is too many."""
+    above, below = SIMILAR
+    return below * n < above * (n + 1)
+
+
 def set_class(found: np.ndarray) -> bytes | None:
     """128 bits that tell a set from others; None for an empty set."""
     return xxhash.xxh128_digest(found.tobytes()) if len(found) else None
@@ -174,7 +180,7 @@ def with_keys(docs: DataFrame, ranks: np.ndarray, fingerprints: bool = False) ->
                 sizes.append(n)
                 if fingerprints:
                     prints.append(majority(found))
-                if n <= needed(n):
+                if only_equals(n):
                     keys.append(none)
                     continue
                 keys.append(found[np.argsort(ranks[(found & last).astype(np.int64)], kind="stable")[: n - needed(n) + 2]].view(np.int64))
