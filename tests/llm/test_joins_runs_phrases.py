@@ -110,6 +110,30 @@ def test_join_of_odd_rows(spark):
     assert ngram_join.join(rows.limit(0)).count() == 0
 
 
+def test_parities_and_lists_of_two_never_tell_similar_sets_apart(spark):
+    rnd = random.Random(6)
+    similar = apart = 0
+    rows, kept = [], set()
+    for k in range(1500):
+        size = rnd.choice([1, 3, 4, 5, 9, 60, 63, 64, 65, 130, 700])
+        a = {rnd.getrandbits(64) for _ in range(size)}
+        b = set(rnd.sample(sorted(a), rnd.randint(max(1, size * 3 // 4), size))) | {rnd.getrandbits(64) for _ in range(rnd.randint(0, 1 + size // 5))}
+        x, y = (ngram_join.np.array(sorted(s), dtype=ngram_join.U64) for s in (a, b))
+        if ngram_join.are_similar(x.tobytes(), y.tobytes()):
+            assert ngram_join.few_differ(ngram_join.parities(x), ngram_join.parities(y))
+            assert ngram_join.few_differ(ngram_join.parities(y), ngram_join.parities(x))
+            first = min(a & b)
+            rows += [(k, len(v), sorted(v).index(first)) for v in (a, b)]
+            kept.add(k)
+            similar += 1
+        c = ngram_join.np.array(sorted({rnd.getrandbits(64) for _ in range(size)}), dtype=ngram_join.U64)
+        apart += size > 60 and not ngram_join.few_differ(ngram_join.parities(x), ngram_join.parities(c))
+    assert similar > 500 and apart > 600
+    rows += [(-1, 100, 0), (-1, 79, 0), (-2, 100, 12), (-2, 100, 0), (-3, 100, 0)]
+    lists = ngram_join.shared(spark.createDataFrame(rows, "list long, n long, at int"))
+    assert {r.list for r in lists.collect()} == kept
+
+
 def test_prints_never_tell_similar_sets_apart():
     rnd = random.Random(2)
     for _ in range(200):

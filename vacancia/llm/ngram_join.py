@@ -14,7 +14,8 @@ stands behind it bounds what they can share. The exact sets decide.
 
 Only components are asked for, so no list is written out in pairs. First each set is held against the set of its list
 that meets most others. What that connects is known; then sets of one list that are in different components still are
-held against one another, all of them, long lists in salted blocks. No link between components is missed.
+held against one another, all of them, long lists in salted blocks. No link between components is missed. Most pairs that
+aren't similar are told apart by parities: a bit a slot of hashes, so that sets differ in no more bits than n-grams.
 
 Defined cases: a null or empty text, or one without words, has no n-grams and links with nothing, equal texts neither. Rows
 with a null doc_id aren't joined: their component_id is null. Rows that repeat a doc_id count by their own texts; rows are
@@ -164,20 +165,41 @@ def majority(found: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(values)).tobytes(), "big", signed=True)
 
 
+def parities(found: np.ndarray) -> bytes:
+    """A set's size (four bytes) and for each slot of last bits, as many as a power of two of at least its size and 64,
+    whether it holds an odd number of the set's hashes."""
+    slots = 1 << max(6, (len(found) - 1).bit_length())
+    odd = np.bincount((found & U64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return len(found).to_bytes(4, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def few_differ(a: bytes, b: bytes) -> bool:
+    """Whether sets may be similar by their parities: of n-grams that only one of them has each changes one slot."""
+    above, below = SIMILAR
+    (n, x, k), (m, y, j) = ((int.from_bytes(v[:4], "little"), int.from_bytes(v[4:], "little"), 8 * (len(v) - 4)) for v in (a, b))
+    if k < j:
+        x, y, k, j = y, x, j, k
+    while k > j:  # of half as many slots
+        k //= 2
+        x = (x >> k) ^ (x & ((1 << k) - 1))
+    return (above + below) * (x ^ y).bit_count() <= (below - above) * (n + m)
+
+
 def with_keys(docs: DataFrame, ranks: np.ndarray, fingerprints: bool = False) -> DataFrame:
-    """doc_id, class (null for an empty set), n (the set's size) and keys, its first n-grams in the order of all; with
+    """doc_id, class (null for an empty set), n (the set's size), parities and keys, its first n-grams in the order of all; with
     ``fingerprints`` also the set's SimHash fingerprint. A set that only its equals can be similar to has no keys."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     last, none = U64((1 << RANK_BITS) - 1), np.zeros(0, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            classes, sizes, keys, prints = [], [], [], []
+            classes, sizes, odd, keys, prints = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = ngrams(utf8(text))
                 n = len(found)
                 classes.append(set_class(found))
                 sizes.append(n)
+                odd.append(parities(found) if n else None)
                 if fingerprints:
                     prints.append(majority(found))
                 if only_equals(n):
@@ -186,16 +208,16 @@ def with_keys(docs: DataFrame, ranks: np.ndarray, fingerprints: bool = False) ->
                 keys.append(found[np.argsort(ranks[(found & last).astype(np.int64)], kind="stable")[: n - needed(n) + 2]].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([none, *keys])))
-            columns = [batch.column("doc_id"), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), listed]
+            columns = [batch.column("doc_id"), pa.array(classes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(odd, pa.binary()), listed]
             more = [pa.array(prints, pa.int64())] if fingerprints else []
-            yield pa.RecordBatch.from_arrays([*columns, *more], ["doc_id", "class", "n", "keys", "fingerprint"][: len(columns) + len(more)])
+            yield pa.RecordBatch.from_arrays([*columns, *more], ["doc_id", "class", "n", "parities", "keys", "fingerprint"][: len(columns) + len(more)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, class binary, n long, keys array<long>" + ", fingerprint long" * fingerprints)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, class binary, n long, parities binary, keys array<long>" + ", fingerprint long" * fingerprints)
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """class, doc_id (the smallest), copies, n, keys and fingerprint, if there is one, of the classes of ``rows``."""
-    same = [F.first(c).alias(c) for c in ("n", "keys", "fingerprint") if c in rows.columns]
+    """class, doc_id (the smallest), copies, n, parities, keys and fingerprint, if there is one, of the classes of ``rows``."""
+    same = [F.first(c).alias(c) for c in ("n", "parities", "keys", "fingerprint") if c in rows.columns]
     return rows.where("doc_id is not null and class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *same)
 
 
@@ -221,10 +243,14 @@ def single_entries(classes: DataFrame, twice: np.ndarray) -> DataFrame:
 def shared(entries: DataFrame) -> DataFrame:
     """list, its length m and whether it can tell similar sets, of those lists of ``entries`` (list, n, at) that have several;
     a written table. A list tells if an entry of it is early: of two similar sets the smaller has its first common n-gram
-    early, since what it shares with one of its own size at least must still follow."""
+    early, since what it shares with one of its own size at least must still follow. Lists of two entries are left out, if
+    their sets can't be similar with it as the first that they share."""
     above, below = SIMILAR
-    early = (above + below) * (F.col("n") - F.col("at")) >= 2 * above * F.col("n")
-    return written(entries.groupBy("list").agg(F.count("*").alias("m"), (F.count_if(early) > 0).alias("tells")).where("m > 1"), "list-lengths")
+    n, rest = F.col("n"), F.col("n") - F.col("at")
+    early = (above + below) * rest >= 2 * above * n
+    two = (below * F.min(n) >= above * F.max(n)) & ((above + below) * F.min(rest) >= above * F.sum(n))
+    counted = entries.groupBy("list").agg(F.count("*").alias("m"), (F.count_if(early) > 0).alias("tells"), two.alias("two"))
+    return written(counted.where("m > 2 or (m = 2 and two)").drop("two"), "list-lengths")
 
 
 def _by_list(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -262,9 +288,9 @@ def _may_link(a: str, b: str) -> str:
 def inverted_lists(classes: DataFrame) -> DataFrame:
     """list, class, n, at, m, tells, small and subset: lists of single n-grams, and of two for small sets."""
     own = classes.where(F.size("keys") > 0)
-    lengths = shared(own.select("n", F.posexplode(F.expr("slice(keys, 1, size(keys) - 1)")).alias("at", "list")))
-    twice = bit_flags(lengths, F.col("list").bitwiseAND((1 << FLAG_BITS) - 1), FLAG_BITS)
-    lists = written(_by_list(written(single_entries(own, twice), "list-entries"), lengths), "lists")
+    several = own.select(F.explode(F.expr("slice(keys, 1, size(keys) - 1)")).alias("list")).groupBy("list").agg(F.count("*").alias("m")).where("m > 1")
+    entries = written(single_entries(own, bit_flags(several, F.col("list").bitwiseAND((1 << FLAG_BITS) - 1), FLAG_BITS)), "list-entries")
+    lists = written(_by_list(entries, shared(entries)), "lists")
     small = boundary(lists)
     lists = lists.withColumn("small", F.col("n") < small).withColumn("subset", F.lit(False))
     if not small:
@@ -306,21 +332,9 @@ def may_follow(a: bytes, b: bytes) -> bool:
     return (above + below) * (shared_ + max(n - x, m - y)) >= above * (n + m)
 
 
-def _first_prints(classes: DataFrame) -> DataFrame:
-    """class and set: what ``may_follow`` compares."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sizes = batch.column("keys"), batch.column("n").to_pylist()
-            packed = [n.to_bytes(4, "little") + _prints(np.sort(keys[i].values.to_numpy().view(U64))) for i, n in enumerate(sizes)]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(packed, pa.binary())], ["class", "set"])
-
-    return classes.select("class", "n", "keys").mapInArrow(run, "class binary, set binary")
-
-
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, packed: Callable[[np.ndarray], bytes]) -> DataFrame:
     """class and set (as ``packed``) of the classes of ``wanted``, from the text of the first document of each."""
-    first = written(classes.select("class", "doc_id").join(wanted, "class"), "set-documents")
+    first = written(_of_classes(classes.select("class", "doc_id"), wanted), "set-documents")
     pages = written(flag_pages(first, flag_place(F.col("doc_id"), FLAG_BITS)), "set-flags")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,11 +346,18 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, packed: Callab
     return written(read.join(first.select("class"), "class", "left_semi").dropDuplicates(["class"]), "ngram-sets")
 
 
-def verified(edges: DataFrame, docs: DataFrame, classes: DataFrame, prints: DataFrame) -> DataFrame:
-    """Those of ``edges`` (src, dst; a written table) whose sets are similar: by 16 bits of each of the first n-grams
-    (``prints``), then of all, which tell most others apart, and last by the hashes."""
+def _of_classes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose class is in ``wanted``; rows that flags of fixed size leave out don't move."""
+    pages = flag_pages(wanted, flag_place(F.col("class"), FLAG_BITS))
+    return flagged(rows, pages, True, FLAG_BITS, "class").join(wanted, "class", "left_semi")
+
+
+def verified(edges: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of ``edges`` (src, dst; a written table) whose sets are similar: by parities, then by 16 bits of each n-gram,
+    which tell most others apart, and last by the hashes."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("class")).distinct()
-    edges = written(similar_pairs(edges, written(prints.join(ends, "class", "left_semi"), "end-prints"), may_follow), "possible-pairs")
+    odd = written(_of_classes(classes.select("class", F.col("parities").alias("set")), ends), "end-parities")
+    edges = written(similar_pairs(edges, odd, few_differ), "possible-pairs")
     for packed, test in ((_prints, may_be_similar), (np.ndarray.tobytes, are_similar)):
         ends = edges.select(F.explode(F.array("src", "dst")).alias("class")).distinct()
         edges = written(similar_pairs(edges, _sets(docs, classes, ends, packed), test), "similar-pairs")
@@ -353,7 +374,6 @@ def links(docs: DataFrame, classes: DataFrame, likely: DataFrame | None = None)
     """src and dst: similar pairs of classes that connect all that are linked. Pairs of ``likely``, if given, are looked at
     first."""
     lists = written(inverted_lists(classes), "all-lists")
-    prints = written(_first_prints(classes), "first-prints")  # packed before they move: two bytes an n-gram
     group = ["list", "subset"]
     weight = lists.groupBy("class").agg(F.sum(F.col("m") - 1).alias("meets"))
     lists = lists.where("tells").drop("tells")
@@ -363,7 +383,7 @@ def links(docs: DataFrame, classes: DataFrame, likely: DataFrame | None = None)
     star = near.select(F.struct("class", "n", "at", "small", "subset").alias("a"), "c").where("a.class <> c.class").where(_may_link("a", "c"))
     star = star.select(F.col("c.class").alias("src"), F.col("a.class").alias("dst"))
     star = written((star if likely is None else star.unionByName(likely)).distinct(), "star-links")
-    first = verified(star, docs, classes, prints)
+    first = verified(star, docs, classes)
 
     rows = written(rooted(lists.drop("m"), first), "rooted-lists")
     open_ = rows.groupBy(*group).agg(F.count("*").alias("m"), (F.min("root") != F.max("root")).alias("open")).where("open")
@@ -377,7 +397,7 @@ def links(docs: DataFrame, classes: DataFrame, likely: DataFrame | None = None)
     both = pairs.join(degree.select(F.col("class").alias("one"), F.col("d").alias("d1")), "one").join(degree.select(F.col("class").alias("two"), F.col("d").alias("d2")), "two")
     most = F.col("d1") >= F.col("d2")
     both = written(both.select(F.when(most, F.col("one")).otherwise(F.col("two")).alias("src"), F.when(most, F.col("two")).otherwise(F.col("one")).alias("dst")), "directed-pairs")
-    return first.unionByName(verified(both, docs, classes, prints))
+    return first.unionByName(verified(both, docs, classes))
 
 
 def join(docs: DataFrame) -> DataFrame:
