@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ def splits_at_spaces(tokenizer) -> bool:
 class Encoder:
     """Ids of texts, by the ids of their parts."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -79,7 +80,7 @@ class Encoder:
         """Ids of parts with a space in front, part after part, and how many each has. Many are encoded as one text: each
         begins at an id that begins with a space, and no other id does."""
         together = ["".join(" " + p for p in parts[a : a + 200]) for a in range(0, len(parts), 200)]
-        ids = np.fromiter((i for x in self._ids(together) for i in x), dtype=np.uint32)
+        ids = np.fromiter(chain.from_iterable(self._ids(together)), dtype=np.uint32)
         return ids, np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids)))
 
     def _learn(self, names: list[str], first: bool) -> None:
@@ -89,7 +90,7 @@ class Encoder:
             if first or "" in some:
                 each = self._ids([x[1:] if first else " " + x for x in some])
                 lengths = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-                ids = np.fromiter((i for x in each for i in x), dtype=np.uint32, count=int(lengths.sum()))
+                ids = np.fromiter(chain.from_iterable(each), dtype=np.uint32, count=int(lengths.sum()))
             else:
                 ids, lengths = self._after_space(some)
             n, k = len(ids), len(self.known)
