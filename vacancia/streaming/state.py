@@ -50,6 +50,17 @@ def _clean(row: dict[str, Any]) -> dict[str, Any]:
     return out
 
 
+def _one(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows by time and sequence; most keys have one frame, and many one row."""
+    found = list(frames)
+    rows = found[0] if len(found) == 1 else pd.concat(found)
+    return rows if len(rows) == 1 else rows.sort_values(["at", "sequence"])
+
+
+def _out(row: dict[str, Any]) -> pd.DataFrame:
+    return pd.DataFrame([list(row.values())], columns=list(row), dtype=object)
+
+
 class TenantStates(StatefulProcessor):
     """The state of each tenant after all its results, in the order of their time and sequence.
 
@@ -71,12 +82,12 @@ class TenantStates(StatefulProcessor):
             self.state.update(tuple({**_NEVER, **given}[c] for c in STATE))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
-        found = pd.concat(list(rows)).sort_values(["at", "sequence"])
+        found = _one(rows)
         state = self._known()
         for row in map(_clean, found.to_dict("records")):
             state = step(Values, state, row, row["at"], self.policy)
         self.state.update(tuple(state[c] for c in STATE))
-        yield pd.DataFrame({"tenant": [key[0]], "results": [len(found)], **{c: pd.Series([state[c]], dtype=object) for c in STATE}})
+        yield _out({"tenant": key[0], "results": len(found), **{c: state[c] for c in STATE}})
 
     def close(self) -> None:
         pass
@@ -111,7 +122,7 @@ class Deadlines(StatefulProcessor):
         self.held = handle.getValueState("held", f"at long, sequence long, deadline long, {self.schema}")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
-        newest = pd.concat(list(rows)).sort_values(["at", "sequence"]).iloc[[-1]].to_dict("records")[0]
+        newest = _one(rows).iloc[[-1]].to_dict("records")[0]
         row = _clean({c: newest[c] for c in ("at", "sequence", "deadline")}) | {c: None if pd.isna(newest[c]) else newest[c] for c in (*self.now_, *self.late)}
         if self.held.exists() and tuple(self.held.get()[:2]) >= (row["at"], row["sequence"]):
             return  # older than what is known
@@ -120,13 +131,13 @@ class Deadlines(StatefulProcessor):
         self.held.update(tuple(row.values()))
         if row["deadline"] is not None:
             self.handle.registerTimer(row["deadline"])
-        yield pd.DataFrame({"key": [key[0]], "at": [row["at"]], "late": [False], **{c: pd.Series([row[c]], dtype=object) for c in self.now_}})
+        yield _out({"key": key[0], "at": row["at"], "late": False, **{c: row[c] for c in self.now_}})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         at, sequence, deadline, *values = self.held.get()
         late = values[len(self.now_) :]
         self.held.update((at, sequence, None, *late, *late))
-        yield pd.DataFrame({"key": [key[0]], "at": [deadline * 1000], "late": [True], **{c: pd.Series([v], dtype=object) for c, v in zip(self.now_, late, strict=True)}})
+        yield _out({"key": key[0], "at": deadline * 1000, "late": True, **dict(zip(self.now_, late, strict=True))})
 
     def close(self) -> None:
         pass
