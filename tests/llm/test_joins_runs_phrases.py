@@ -102,6 +102,17 @@ def test_boundary_weighs_subsets_and_lists(spark):
     assert ngram_join.boundary(lists.where("n > 50")) == 0
 
 
+def test_lists_hold_numbers_of_classes(spark):
+    texts = copies(5, 4)
+    docs = frame(spark, texts)
+    rows = ngram_join.with_keys(docs, ngram_join.ngram_ranks(docs))
+    classes = ngram_join.written(ngram_join.classes_of(rows), "classes")
+    assert {r["class"] for r in classes.collect()} and classes.select("class").distinct().count() == classes.count() == len({frozenset(ngram_set(t)) for t in texts})
+    lists = ngram_join.inverted_lists(classes)
+    assert not [f.name for f in lists.schema if f.dataType.simpleString() == "binary"]
+    assert {f.dataType.simpleString() for f in ngram_join.links(docs, classes).schema} == {"bigint"}
+
+
 def test_join_of_odd_rows(spark):
     same = "one two three four five six seven"
     rows = frame(spark, [same, same, "other words", same, None], [7, None, 7, 3, None])

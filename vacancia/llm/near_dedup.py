@@ -54,8 +54,8 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     rows = written(with_keys(known, ngram_ranks(known), True), "near-keys")
     own = F.coalesce("class", F.lit(b""))
     classes = written(classes_of(rows), "near-classes")
-    found = rooted(classes.select("class", "doc_id"), links(known, classes, close_classes(classes)))
-    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "class")).alias("one")).select("one.*")
+    found = rooted(classes.select("class", "digest", "doc_id"), links(known, classes, close_classes(classes)))
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", F.col("digest").alias("class"))).alias("one")).select("one.*")
     empty = rows.where("class is null").groupBy().agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select("doc_id", F.lit(b"").alias("class"))
     kept = written(first.unionByName(empty), "near-kept")
 

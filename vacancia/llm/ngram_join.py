@@ -1,9 +1,9 @@
 """Jaccard join of word n-gram sets: subsets of small sets, inverted lists for large ones, components of all links.
 
 A text is the set of its runs of ``WORDS`` words without case; a shorter text is one n-gram. Texts of equal sets are a
-class, and only classes are joined. N-grams have one order everywhere: by hash, those that many texts hold last. Two sets
-of the similarity share one of the first n - t + 1 n-grams of both, and two of the first n - t + 2 (n its size, t the
-shared n-grams that a set of n needs at least), if t is 2 or more. So
+class, and only classes are joined; they travel by number. N-grams have one order everywhere: by hash, those that many
+texts hold last. Two sets of the similarity share one of the first n - t + 1 n-grams of both, and two of the first
+n - t + 2 (n its size, t the shared n-grams that a set of n needs at least), if t is 2 or more. So
 
 - large sets scan inverted lists: a row for each of their first n - t + 1 n-grams meets the rows of all sets with it;
 - small sets meet small sets in lists of subsets: a row for each two of their first n - t + 2 n-grams.
@@ -38,7 +38,7 @@ from vacancia.llm.common import HOT, U64, bit_flags, flag_pages, flag_place, fla
 from vacancia.llm.jaccard import SIMILAR, WORDS, are_similar, similar_pairs
 from vacancia.llm.simhash import components
 
-FLAG_BITS = 26
+FLAG_BITS, COUNT_BITS = 26, 40
 FREQUENT, RANK_BITS = 1 << 22, 24  # at most so many n-grams have a rank, by so many bits
 COUNTED = 1 << 19  # n-grams that a task counts at once
 SIZES = 4096  # sets of that size or more are never small
@@ -216,9 +216,11 @@ def with_keys(docs: DataFrame, ranks: np.ndarray, fingerprints: bool = False) ->
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """class, doc_id (the smallest), copies, n, parities, keys and fingerprint, if there is one, of the classes of ``rows``."""
+    """class (a number), digest (128 bits of the set), doc_id (the smallest), copies, n, parities, keys and fingerprint, if
+    there is one, of the classes of ``rows``. Numbers are fixed once this is written."""
     same = [F.first(c).alias(c) for c in ("n", "parities", "keys", "fingerprint") if c in rows.columns]
-    return rows.where("doc_id is not null and class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *same)
+    found = rows.where("doc_id is not null and class is not null").groupBy(F.col("class").alias("digest"))
+    return found.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *same).withColumn("class", F.monotonically_increasing_id())
 
 
 def single_entries(classes: DataFrame, twice: np.ndarray) -> DataFrame:
@@ -237,7 +239,7 @@ def single_entries(classes: DataFrame, twice: np.ndarray) -> DataFrame:
             picked = pa.array(row[kept])
             yield pa.RecordBatch.from_arrays([pa.array(lists[kept]), batch.column("class").take(picked), batch.column("n").take(picked), pa.array(at[kept].astype(np.int32))], ["list", "class", "n", "at"])
 
-    return classes.select("class", "n", "keys").mapInArrow(run, "list long, class binary, n long, at int")
+    return classes.select("class", "n", "keys").mapInArrow(run, "list long, class long, n long, at int")
 
 
 def shared(entries: DataFrame) -> DataFrame:
@@ -286,13 +288,16 @@ def _may_link(a: str, b: str) -> str:
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
-    """list, class, n, at, m, tells, small and subset: lists of single n-grams, and of two for small sets."""
+    """list, class, n, at, m, tells, small and subset: lists of single n-grams, and of two for small sets. The last bit of a
+    list tells these apart; lists that agree in all others are one list, which only adds pairs that the sets decide."""
     own = classes.where(F.size("keys") > 0)
-    several = own.select(F.explode(F.expr("slice(keys, 1, size(keys) - 1)")).alias("list")).groupBy("list").agg(F.count("*").alias("m")).where("m > 1")
+    # Flags need fewer bits of an n-gram; some more let lists of one entry pass, about one in a thousand of 2**30 lists.
+    one = own.select(F.explode(F.expr("slice(keys, 1, size(keys) - 1)")).alias("list")).select(F.col("list").bitwiseAND((1 << COUNT_BITS) - 1).alias("list"))
+    several = one.groupBy("list").agg(F.count("*").alias("m")).where("m > 1")
     entries = written(single_entries(own, bit_flags(several, F.col("list").bitwiseAND((1 << FLAG_BITS) - 1), FLAG_BITS)), "list-entries")
     lists = written(_by_list(entries, shared(entries)), "lists")
     small = boundary(lists)
-    lists = lists.withColumn("small", F.col("n") < small).withColumn("subset", F.lit(False))
+    lists = lists.withColumns({"list": F.shiftleft("list", 1), "small": F.col("n") < small, "subset": F.lit(False)})
     if not small:
         return lists
     some = own.where(F.col("n") < small).join(lists.where("small").select("class").distinct(), "class")
@@ -301,7 +306,7 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
     # The bound on what two sets share counts from the first of two common n-grams' place on, here one before the second's.
     pairs = second.select(F.xxhash64("one", "two").alias("list"), "class", "n", (F.col("j") - 1).alias("at"))
     pairs = written(pairs, "pair-entries")
-    return lists.unionByName(_by_list(pairs, shared(pairs)).withColumn("small", F.lit(True)).withColumn("subset", F.lit(True)))
+    return lists.unionByName(_by_list(pairs, shared(pairs)).withColumns({"list": F.shiftleft("list", 1).bitwiseOR(F.lit(1)), "small": F.lit(True), "subset": F.lit(True)}))
 
 
 def _prints(found: np.ndarray) -> bytes:
@@ -334,16 +339,16 @@ def may_follow(a: bytes, b: bytes) -> bool:
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, packed: Callable[[np.ndarray], bytes]) -> DataFrame:
     """class and set (as ``packed``) of the classes of ``wanted``, from the text of the first document of each."""
-    first = written(_of_classes(classes.select("class", "doc_id"), wanted), "set-documents")
+    first = written(_of_classes(classes.select("class", "digest", "doc_id"), wanted), "set-documents")
     pages = written(flag_pages(first, flag_place(F.col("doc_id"), FLAG_BITS)), "set-flags")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             sets = [ngrams(utf8(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([packed(s) for s in sets], pa.binary())], ["class", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([packed(s) for s in sets], pa.binary())], ["digest", "set"])
 
-    read = flagged(docs.select("doc_id", "text"), pages, True, FLAG_BITS).select("text").mapInArrow(run, "class binary, set binary")
-    return written(read.join(first.select("class"), "class", "left_semi").dropDuplicates(["class"]), "ngram-sets")
+    read = flagged(docs.select("doc_id", "text"), pages, True, FLAG_BITS).select("text").mapInArrow(run, "digest binary, set binary")
+    return written(read.join(first.select("digest", "class"), "digest").dropDuplicates(["digest"]).select("class", "set"), "ngram-sets")
 
 
 def _of_classes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -374,20 +379,19 @@ def links(docs: DataFrame, classes: DataFrame, likely: DataFrame | None = None)
     """src and dst: similar pairs of classes that connect all that are linked. Pairs of ``likely``, if given, are looked at
     first."""
     lists = written(inverted_lists(classes), "all-lists")
-    group = ["list", "subset"]
     weight = lists.groupBy("class").agg(F.sum(F.col("m") - 1).alias("meets"))
     lists = lists.where("tells").drop("tells")
     told = lists.join(weight, "class")
-    centre = told.groupBy(*group).agg(F.max(F.struct("meets", "class", "n", "at", "small", "subset")).alias("c"), F.count("*").alias("m"))
-    near = _by_list(lists.drop("m").withColumn("list", F.struct(*group)), centre.select(F.struct(*group).alias("list"), "c", "m"))
+    centre = told.groupBy("list").agg(F.max(F.struct("meets", "class", "n", "at", "small", "subset")).alias("c"), F.count("*").alias("m"))
+    near = _by_list(lists.drop("m"), centre)
     star = near.select(F.struct("class", "n", "at", "small", "subset").alias("a"), "c").where("a.class <> c.class").where(_may_link("a", "c"))
     star = star.select(F.col("c.class").alias("src"), F.col("a.class").alias("dst"))
     star = written((star if likely is None else star.unionByName(likely)).distinct(), "star-links")
     first = verified(star, docs, classes)
 
     rows = written(rooted(lists.drop("m"), first), "rooted-lists")
-    open_ = rows.groupBy(*group).agg(F.count("*").alias("m"), (F.min("root") != F.max("root")).alias("open")).where("open")
-    rows = _by_list(rows.withColumn("list", F.struct(*group)), open_.select(F.struct(*group).alias("list"), "m"))
+    open_ = rows.groupBy("list").agg(F.count("*").alias("m"), (F.min("root") != F.max("root")).alias("open")).where("open")
+    rows = _by_list(rows, open_.select("list", "m"))
     rows = written(rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")), "open-lists")
     a = rows.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).alias("a")
     b = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("b")
@@ -405,9 +409,9 @@ def join(docs: DataFrame) -> DataFrame:
     known = docs.where("doc_id is not null")
     rows = written(with_keys(docs, ngram_ranks(docs)), "ngram-keys")
     classes = written(classes_of(rows), "ngram-classes")
-    named = written(rooted(classes.select("class", "doc_id", "copies"), links(known, classes)), "rooted-classes")
+    named = written(rooted(classes.select("class", "digest", "doc_id", "copies"), links(known, classes)), "rooted-classes")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
-    table = join_counted(named.select("class", "copies", "root"), least, "root", named.count(), 0).select("class", F.col("copies").alias("n"), "component_id")
+    table = join_counted(named.select("digest", "copies", "root"), least, "root", named.count(), 0).select(F.col("digest").alias("class"), F.col("copies").alias("n"), "component_id")
     linked = rows.where("doc_id is not null and class is not null").select("doc_id", F.col("n").alias("n_shingles"), "class")
     linked = join_counted(linked, table, "class", rows.count(), 0).select("doc_id", "n_shingles", "component_id")
     alone = rows.where("doc_id is null or class is null").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).alias("component_id"))
