@@ -4,9 +4,13 @@ import itertools
 import random
 
 import corpus_pipeline as pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from vacancia.llm import tokens
+from vacancia.llm.common import slices
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -84,3 +88,12 @@ def test_near_duplicates_against_all_pairs(spark):
     got = [r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, SF).collect()]
     assert got.count(None) == 1 and sorted(i for i in got if i is not None) == sorted(set(root))
     assert len(set(root)) < len({frozenset(s) for s in sets})
+
+
+def test_a_kernel_lets_go_of_what_others_keep():
+    rows = [pa.RecordBatch.from_pydict({"text": ["a b", None]})]
+    first = tokens.encoder(tokens.default_path())
+    assert sum(b.num_rows for b in slices(iter(rows), "text", keeps=tokens.KEPT)) == 2
+    assert tokens.encoder(tokens.default_path()) is first
+    assert sum(b.num_rows for b in slices(iter(rows), "text")) == 2
+    assert tokens.encoder(tokens.default_path()) is not first

@@ -6,7 +6,8 @@ bytes and ``bytes.lower()`` changes A-Z only, so both are used as they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vacancia.sources.shared import new_folder, written
 
-__all__ = ["HOT", "U64", "WordHashes", "behind_first", "bit_flags", "fresh", "join_counted", "mix", "new_folder", "ranges", "signed", "slices", "utf8", "with_spans", "written"]
+__all__ = ["HOT", "U64", "WordHashes", "behind_first", "bit_flags", "fresh", "give_back", "join_counted", "kept", "mix", "new_folder", "ranges", "signed", "slices", "utf8", "with_spans", "written"]
 
 U64 = np.uint64
 
@@ -127,8 +128,31 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most_bytes`` of ``column``; a longer text is a batch of its own."""
+_KEPT: dict[str, object] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def kept(name: str, make: Callable):
+    """What kernels keep in a Python worker between their tasks, until one that doesn't name it takes rows there."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def give_back(keeps: str | None = None) -> None:
+    """Lets go of what is kept, but ``keeps``, and gives free memory back: Spark's workers live on between stages, beside
+    an executor that needs it."""
+    for name in [k for k in _KEPT if k != keeps]:
+        del _KEPT[name]
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20, keeps: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most_bytes`` of ``column``; a longer text is a batch of its own. Of what is kept in
+    this worker only ``keeps`` stays."""
+    give_back(keeps)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -137,6 +161,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+        batch = sizes = part = None
+        give_back(keeps)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

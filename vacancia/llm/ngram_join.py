@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import HOT, U64, bit_flags, flag_pages, flag_place, flagged, join_counted, mix, ranges, slices, utf8, written
+from vacancia.llm.common import HOT, U64, bit_flags, flag_pages, flag_place, flagged, give_back, join_counted, mix, ranges, slices, utf8, written
 from vacancia.llm.jaccard import SIMILAR, WORDS, are_similar, similar_pairs
 from vacancia.llm.simhash import components
 
@@ -136,6 +136,8 @@ def ngram_ranks(docs: DataFrame) -> np.ndarray:
     rows = counted.where(F.col("rank") >= least).groupBy(slot).agg(F.max("rank").alias("rank")).toArrow()  # FREQUENT rows at most
     ranks = np.zeros(1 << RANK_BITS, dtype=np.int8)
     ranks[rows.column("slot").to_numpy()] = rows.column("rank").to_numpy()
+    rows = None
+    give_back()
     return ranks
 
 

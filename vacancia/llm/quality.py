@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacancia.llm.common import U64, WordHashes, fresh, mix, slices, utf8, written
+from vacancia.llm.common import U64, WordHashes, fresh, give_back, mix, slices, utf8, written
 
 PIECES = re.compile(rb"[a-z\x80-\xff]+|[0-9]+|[^\x00-\x20a-z0-9\x80-\xff]+").findall
 
@@ -228,6 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), folds: int =
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of ``docs`` with score and predicted, one row a row, in one narrow pass. Kept columns of these
     names stay; the new ones then have underscores behind theirs."""
+    give_back()  # what the fit took in the driver
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.schema.fields if f.name in keep]
     names = [fresh(c, keep) for c in ("score", "predicted")]

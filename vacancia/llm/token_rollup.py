@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacancia.llm.common import flag_pages, flag_place, flagged, new_folder, slices, written
-from vacancia.llm.tokens import default_path, encoder
+from vacancia.llm.tokens import KEPT, default_path, encoder
 
 FLAG_BITS = 26
 GROUP = ["source", "lang", "tokenizer"]
@@ -68,7 +68,7 @@ def counted(changes: DataFrame, counters: Mapping[str, Callable[[list[str]], np.
     names = list(counters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 2 << 20, keeps=KEPT):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             found = np.stack([count(texts) for count in counters.values()], axis=1).astype(np.int64)
             offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(names))

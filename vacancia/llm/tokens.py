@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from vacancia.llm.common import ranges
+from vacancia.llm.common import kept, ranges
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _SPACES = re.compile(r" \s").search
@@ -152,11 +152,12 @@ class Encoder:
         return np.concatenate(cut), each
 
 
-_ENCODERS: dict[str, Encoder] = {}
+KEPT = "encoders"
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder a Python worker, kept between its tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One encoder a Python worker, kept between tasks whose kernels name ``KEPT``."""
+    encoders = kept(KEPT, dict)
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
