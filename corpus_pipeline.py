@@ -9,15 +9,23 @@ length are taken whole; a doc_id that repeats is judged by all its rows, but by
 text: of equal ids in one class of texts it keeps the row of the least hash over all columns, so that ties don't depend on
 partitions; an empty table gives an empty one; extra columns are kept whatever their names. n_chars, if there is such a column, follows a text that a stage changes. The last
 stage returns pieces for every row, and leaves other columns out.
+
+A stage sets the session's limit on bytes of an Arrow batch to ``ARROW_BYTES``, as the JVM and Python of an executor hold
+several at once; it stays set, since the caller runs the stage's last step.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacancia.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from vacancia.llm.common import written
+from vacancia.llm.common import flag_pages, flag_place, flagged, written
+from vacancia.llm.ngram_join import FLAG_BITS
+
+ARROW_BYTES = 4 << 20
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +54,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no run of a benchmark item, under its own or other numbers, names and units."""
     leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    leaks = written(leaks, "leaks")
+    # Rows that flags of fixed size show to be free don't move.
+    pages = written(flag_pages(leaks, flag_place(F.col("doc_id"), FLAG_BITS)), "leak-flags")
+    kept = flagged(docs, pages, True, FLAG_BITS).join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return flagged(docs, pages, False, FLAG_BITS).unionByName(kept)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +66,22 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` with Arrow batches of ``ARROW_BYTES`` or little more."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality", keep_quality),
-    ("line dedup", drop_repeated_lines),
-    ("near-duplicates", drop_near_duplicates),
-    ("decontamination", drop_leaks),
-    ("packing", pack),
+    ("quality", in_small_batches(keep_quality)),
+    ("line dedup", in_small_batches(drop_repeated_lines)),
+    ("near-duplicates", in_small_batches(drop_near_duplicates)),
+    ("decontamination", in_small_batches(drop_leaks)),
+    ("packing", in_small_batches(pack)),
 ]
 
 #: XXH64 fingerprints, a trained model and token ids are beyond DuckDB's SQL; tests compare with brute force.

@@ -97,3 +97,13 @@ def test_a_kernel_lets_go_of_what_others_keep():
     assert tokens.encoder(tokens.default_path()) is first
     assert sum(b.num_rows for b in slices(iter(rows), "text")) == 2
     assert tokens.encoder(tokens.default_path()) is not first
+
+
+def test_stages_bound_arrow_batches(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for _, stage in pipeline.STAGES[2:]:
+        stage(spark, docs, SF)
+        wide = spark.range(0, 8000, 1, 1).selectExpr("repeat('x', 2000) AS text")
+        sizes = wide.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        assert max(r.n for r in sizes.collect()) < 4000
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")

@@ -206,14 +206,15 @@ def document_windows(docs: DataFrame, flags: np.ndarray, widths: list[int], lite
     shared = docs.sparkSession.sparkContext.broadcast(flags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, set_ = Lexicon(), np.unpackbits(shared.value, bitorder="little").view(bool)
-        for batch in slices(batches, "text"):
+        lexicon, flags = Lexicon(), shared.value
+        for batch in slices(batches, "text", 1 << 19):
             s = canonical([utf8(t) for t in batch.column("text").to_pylist()], lexicon)
             size = np.bincount(s.row, minlength=batch.num_rows)
             begin = np.cumsum(size) - size
             for w in widths:
                 starts, hashes, wide = windows(s, w, literals, w == width)
-                chosen = set_[(hashes >> U64(64 - bits)).astype(np.int64)]
+                bit = (hashes >> U64(64 - bits)).astype(np.int64)
+                chosen = (flags[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 != 0
                 if chosen.any():
                     yield _batch("doc_id", batch.column("doc_id"), s, wide[chosen], starts[chosen], hashes[chosen], begin, size)
 

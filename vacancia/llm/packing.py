@@ -136,7 +136,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         encode = encoder(path).encode
-        for batch in slices(batches, "text", 2 << 20, keeps=KEPT):
+        for batch in slices(batches, "text", 1 << 20, keeps=KEPT):
             ids, each = encode([t or "" for t in batch.column("text").to_pylist()])
             stop = np.cumsum(each + 1)
             ids = np.insert(ids, np.cumsum(each), end).astype("<u4")
