@@ -10,8 +10,10 @@ text: of equal ids in one class of texts it keeps the row of the least hash over
 partitions; an empty table gives an empty one; extra columns are kept whatever their names. n_chars, if there is such a column, follows a text that a stage changes. The last
 stage returns pieces for every row, and leaves other columns out.
 
-A stage sets the session's limit on bytes of an Arrow batch to ``ARROW_BYTES``, as the JVM and Python of an executor hold
-several at once; it stays set, since the caller runs the stage's last step.
+A stage sets the session's limit on bytes of an Arrow batch to ``ARROW_BYTES`` and on rows of a batch of the Parquet reader to
+``READ_ROWS``, as the JVM and Python of an executor hold several at once; they stay set, since the caller runs the stage's
+last step. A batch of a megabyte has buffers of two at most, which Arrow cuts from chunks that it keeps and uses again;
+larger ones it asks of the system each time, whose free pieces stay with the JVM.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from vacancia.llm import decontaminate, line_dedup, near_dedup, packing, quality
 from vacancia.llm.common import flag_pages, flag_place, flagged, written
 from vacancia.llm.ngram_join import FLAG_BITS
 
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 1 << 20
+READ_ROWS = 1024
+PARTS = 100_000  # of texts, whose ids a Python worker keeps in packing
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,14 +67,15 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents, each with its sequence and offset."""
-    return packing.pack(docs)
+    return packing.pack(docs, most=PARTS)
 
 
 def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """``stage`` with Arrow batches of ``ARROW_BYTES`` or little more."""
+    """``stage`` with Arrow batches of ``ARROW_BYTES`` or little more, and ``READ_ROWS`` rows a batch read."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
         return stage(spark, docs, sf_dir)
 
     return run

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vacancia.llm import tokens
+from vacancia.llm import packing, tokens
 from vacancia.llm.common import slices
 
 SF = "/root/testdata/sf0.001"
@@ -107,3 +107,24 @@ def test_stages_bound_arrow_batches(spark):
         sizes = wide.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
         assert max(r.n for r in sizes.collect()) < 4000
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def test_batches_fit_the_chunks_that_arrow_keeps(spark):
+    """A batch's buffers are of two megabytes at most; a batch read from Parquet has 1024 rows at most."""
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    _, stage = pipeline.STAGES[-1]
+    stage(spark, docs, SF)
+    wide = spark.range(0, 8000, 1, 1).selectExpr("repeat('x', 2000) AS text")
+    sizes = wide.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.column(0).nbytes]}) for b in batches), "n long")
+    assert max(r.n for r in sizes.collect()) < 1 << 21
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 1024
+    for name in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        spark.conf.unset(name)
+
+
+def test_packing_with_few_kept_parts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    place = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    few, many = (sorted(packing.pack(docs, most=n).select(*place).collect()) for n in (50, tokens.PARTS))
+    assert few == many and few
+    assert tokens.encoder(tokens.default_path(), 50).most == 50

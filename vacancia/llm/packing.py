@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacancia.llm.common import ranges, slices, written
-from vacancia.llm.tokens import KEPT, default_path, encoder
+from vacancia.llm.tokens import KEPT, PARTS, default_path, encoder
 
 CAPACITY = 1024
 END = 2
@@ -123,10 +123,11 @@ def places(patterns: list[Pattern]) -> Places:
     return Places(*np.array(sorted(rows), dtype=np.int64).reshape(-1, 4).T)
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, most: int = PARTS) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32, its place by ``part`` and ``nth`` of its length.
 
-    ``with_ids`` adds the ids themselves, as little-endian unsigned 32-bit numbers.
+    ``with_ids`` adds the ids themselves, as little-endian unsigned 32-bit numbers. A Python worker keeps the ids of ``most``
+    parts of texts, which costs memory and saves time.
     """
     path = path or default_path()
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -135,7 +136,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        encode = encoder(path).encode
+        encode = encoder(path, most).encode
         for batch in slices(batches, "text", 1 << 20, keeps=KEPT):
             ids, each = encode([t or "" for t in batch.column("text").to_pylist()])
             stop = np.cumsum(each + 1)
@@ -184,6 +185,6 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select(*kept, "rank").mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, most: int = PARTS) -> DataFrame:
     """Each piece of each document with its sequence and its offset there."""
-    return place(written(pieces(docs, path, capacity, end, with_ids), "pieces"), capacity)
+    return place(written(pieces(docs, path, capacity, end, with_ids, most), "pieces"), capacity)

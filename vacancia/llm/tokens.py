@@ -24,6 +24,7 @@ from vacancia.llm.common import kept, ranges
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _SPACES = re.compile(r" \s").search
+PARTS = 400_000
 
 
 def default_path() -> str:
@@ -42,7 +43,7 @@ def splits_at_spaces(tokenizer) -> bool:
 class Encoder:
     """Ids of texts, by the ids of their parts."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = PARTS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -155,9 +156,9 @@ class Encoder:
 KEPT = "encoders"
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a Python worker, kept between tasks whose kernels name ``KEPT``."""
+def encoder(path: str, most: int = PARTS) -> Encoder:
+    """One encoder a Python worker and size, kept between tasks whose kernels name ``KEPT``."""
     encoders = kept(KEPT, dict)
-    if path not in encoders:
-        encoders[path] = Encoder(path)
-    return encoders[path]
+    if (path, most) not in encoders:
+        encoders[path, most] = Encoder(path, most)
+    return encoders[path, most]
