@@ -12,8 +12,7 @@ stage returns pieces for every row, and leaves other columns out.
 
 A stage sets the session's limit on bytes of an Arrow batch to ``ARROW_BYTES`` and on rows of a batch of the Parquet reader to
 ``READ_ROWS``, as the JVM and Python of an executor hold several at once; they stay set, since the caller runs the stage's
-last step. A batch of a megabyte has buffers of two at most, which Arrow cuts from chunks that it keeps and uses again;
-larger ones it asks of the system each time, whose free pieces stay with the JVM.
+last step.
 """
 
 from __future__ import annotations

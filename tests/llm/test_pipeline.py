@@ -109,8 +109,8 @@ def test_stages_bound_arrow_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
 
 
-def test_batches_fit_the_chunks_that_arrow_keeps(spark):
-    """A batch's buffers are of two megabytes at most; a batch read from Parquet has 1024 rows at most."""
+def test_batches_are_small(spark):
+    """A column of a batch has less than two megabytes here; a batch read from Parquet has 1024 rows at most."""
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     _, stage = pipeline.STAGES[-1]
     stage(spark, docs, SF)
